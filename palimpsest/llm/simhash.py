@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.shared import components, hex64, written
@@ -128,3 +128,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = least.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_rows"))
     by_print = roots.join(classes, "root").select("fp", "component_id", "component_rows")
     return prints.join(by_print, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "component_rows")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One document of each component, with all its columns: that with the smallest id. Documents with a null id stay
+    only where their component has no other id; rows that repeat an id that stays are brought down to one."""
+    found = written(near_duplicates(docs, id_col, text_col, shingle, radius), "classes")
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    # An id may stand for several texts. Only if one does is a second shuffle of the texts needed.
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(*docs.columns))
+    return kept.withColumn("__first", first).where("__first = 1").drop("__first")
