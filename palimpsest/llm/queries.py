@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import classifier, decontamination, packing, pii, quality, simhash, tokens, warc
+from palimpsest.llm import classifier, decontamination, packing, pii, quality, sharding, simhash, tokens, warc
 
 
 #: The key of the registered queries. Users pass their own secret.
@@ -54,6 +54,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_pii": op5_pii,
     "op8_decontamination": op8_decontamination,
+    "op9_sharding": op9_sharding,
     "op10_quality_classifier": op10_quality_classifier,
     "op7_token_counts": op7_token_counts,
 }

@@ -36,21 +36,23 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ranked(df: DataFrame, group: list[str], order: list[str], out: str, rows_per_bucket: int = 50_000) -> DataFrame:
-    """Adds out: a gapless rank from 0 within each group, in any order, without one task for a whole group.
+def before(df: DataFrame, group: list[str], order: list[str], value: str | None, out: str, rows_per_bucket: int = 50_000) -> DataFrame:
+    """Adds out: the sum of value (None: 1) over the rows that come before in their group, in a fixed order by hash,
+    without one task for a whole group.
 
-    Rows of a group are dealt into hash buckets of about rows_per_bucket; a bucket's first rank is the sum of the
-    buckets before it. df is read twice, so pass a written one. order: the columns that tell rows apart; rows equal in
-    all of them are interchangeable. Null keys count as a group of their own.
+    Rows of a group are dealt into hash buckets of about rows_per_bucket; a bucket starts from the sum of the buckets
+    before it. df is read three times, so pass a written one. order: the columns that tell rows apart; rows equal in all
+    of them are interchangeable. Null keys count as a group of their own.
     """
-    total = df.count()
-    buckets = max(8, -(-total // rows_per_bucket))
+    buckets = max(8, -(-df.count() // rows_per_bucket))
+    amount = F.col(value) if value else F.lit(1)
     dealt = df.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     keys = [*group, "__b"]
-    sizes = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    first = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    inside = dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    sizes = dealt.groupBy(*keys).agg(F.sum(amount).alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.withColumn("__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = dealt.withColumn("__r", F.coalesce(F.sum(amount).over(inner), F.lit(0)))
     for k in keys:
         first = first.withColumnRenamed(k, f"__k_{k}")
     same = F.lit(True)
@@ -59,6 +61,11 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str, rows_per
     return inside.join(first, same).withColumn(out, F.col("__first") + F.col("__r")).drop("__b", "__r", "__first", *[f"__k_{k}" for k in keys])
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
+    """Adds out: a gapless rank from 0 within each group."""
+    return before(df, group, order, None, out)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 
