@@ -1,12 +1,16 @@
-"""Registered queries of the report, retrieval and text operators."""
+"""All registered queries but those of the corpus subpackage."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from palimpsest.plans import report_queries
+
+MODULES = (report_queries,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    """Orders of two calendar years by month."""
+    return QUERIES["flagship_report"](spark, sf_dir)
