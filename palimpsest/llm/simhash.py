@@ -89,6 +89,11 @@ def cells(nodes: DataFrame) -> DataFrame:
     return nodes.select("*", near).select(*nodes.columns, F.col("c.cell").alias("cell"))
 
 
+def spread(nodes: DataFrame) -> DataFrame:
+    """Nodes over all shuffle partitions: a small table otherwise makes its many cells in one or two tasks."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+
+
 def near_components(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Components of distinct fingerprints under Hamming distance of radius (4 at most) or less: rows (fp, root).
 
@@ -100,18 +105,22 @@ def near_components(prints: DataFrame, radius: int = 4) -> DataFrame:
     if radius > 4:
         raise ValueError("the grid covers distances of 4 or less")
     nodes = prints.select("fp").distinct()
-    placed = cells(nodes)
+    placed = cells(spread(nodes))
     ends = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    beside = placed.join(ends, "cell")
-    close = lambda x, y: (manhattan(embedding(x), embedding(y)) <= radius) & (hamming(x, y) <= radius)
-    hubs = beside.select("fp", F.explode(F.array("lo", "hi")).alias("hub")).where((F.col("fp") != F.col("hub")) & close(F.col("fp"), F.col("hub")))
+    close = lambda x, y: (x != y) & (manhattan(embedding(x), embedding(y)) <= radius) & (hamming(x, y) <= radius)
+    fp, lo, hi = F.col("fp"), F.col("lo"), F.col("hi")
+    beside = placed.join(ends, (placed["cell"] == ends["cell"]) & (close(fp, lo) | close(fp, hi)))
+    hubs = beside.select("fp", F.explode(F.array("lo", "hi")).alias("hub")).where(close(fp, F.col("hub")))
     first = written(components(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("b"))), "hubs")
     known = nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
-    placed = cells(written(known, "known"))
-    heads = placed.groupBy("cell").agg(F.min(F.struct("fp", "comp")).alias("h"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("cell", F.col("h.comp").alias("head"))
-    mixed = placed.join(heads, "cell")
-    left = mixed.where("comp <> head").select("cell", F.col("fp").alias("lf"), F.col("comp").alias("a"), "head")
-    right = placed.select("cell", F.col("fp").alias("rf"), F.col("comp").alias("b"))
+    known = written(known, "known")
+    # Most components are one fingerprint yet; a null in their place is shuffled for next to nothing.
+    comp = F.coalesce("other", "fp")
+    placed = cells(spread(known.select("fp", F.when(F.col("comp") != F.col("fp"), F.col("comp")).alias("other"))))
+    heads = placed.groupBy("cell").agg(F.min(comp).alias("head"), F.max(comp).alias("top"))
+    tagged = written(placed.join(heads, "cell").select("cell", "fp", comp.alias("comp"), "head", (F.col("head") != F.col("top")).alias("mixed")), "tagged")  # a row for each row of placed
+    left = tagged.where("comp <> head").select("cell", F.col("fp").alias("lf"), F.col("comp").alias("a"), "head")
+    right = tagged.where("mixed").select("cell", F.col("fp").alias("rf"), F.col("comp").alias("b"))
     # Two members outside the head's component meet in one order; those of the head's component are on the right alone.
     once = (F.col("a") != F.col("b")) & ((F.col("b") == F.col("head")) | (F.col("lf") < F.col("rf")))
     links = left.join(right, (left["cell"] == right["cell"]) & once & close(F.col("lf"), F.col("rf"))).select("a", "b")

@@ -134,7 +134,10 @@ def parse(data: bytes | bytearray | memoryview, more=None) -> tuple[dict[str, st
         key, colon, value = line.partition(b":")
         if not colon:
             raise Bad("a header without a colon")
-        headers[key.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        name = key.strip().lower().decode("utf-8", "replace")
+        if name in headers and name != "warc-concurrent-to":
+            raise Bad("a header repeats")  # a record cut inside its headers, and the next one's behind them
+        headers[name] = value.strip().decode("utf-8", "replace")
     if not re.fullmatch(r"\d{1,15}", headers.get("content-length", "")):
         raise Bad("no length")
     return headers, end + 4, int(headers["content-length"])

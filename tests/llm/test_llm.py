@@ -1,0 +1,596 @@
+"""The ten operators against plain versions of themselves, on small tables with nulls, ties, empty and long texts."""
+
+import hashlib
+import io
+import random
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import public_tokenizers as P
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from palimpsest.llm import chat, classifier, decontamination, packing, pii, quality, sharding, simhash, tokens, warc
+from palimpsest.llm.shared import components, ranked, written
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(documents):
+    return [(r["doc_id"], r["text"]) for r in documents.collect()]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, repeated rows, empty, blank and long texts."""
+    long = "wort " * 40_000 + "ende."
+    rows = [(1, None), (1, None), (2, ""), (3, "   \n\t "), (4, "a"), (4, "a"), (None, "a"), (5, long), (6, long), (7, "ein text mit worten " * 30), (7, "other text of words " * 30)]
+    return spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def clashing(df):
+    """df with further columns that operators use as names themselves."""
+    return df.withColumns({c: F.lit(1) for c in ("fp", "g", "r", "n", "shard", "length", "kept", "cell", "features", "score", "piece", "digest")})
+
+
+# shared
+
+
+def test_ranks_and_components(spark):
+    df = written(spark.createDataFrame([(i % 3 or None, i // 2) for i in range(300)], "g long, v long"), "t")
+    got = defaultdict(list)
+    for r in ranked(df, ["g"], ["v"], "r").collect():
+        got[r["g"]].append(r["r"])
+    assert all(sorted(x) == list(range(len(x))) for x in got.values()) and len(got) == 3
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)]
+    root = {x: x for e in edges for x in e}
+    for _ in range(500):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in edges)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 1
+
+
+def plain_fingerprint(text):
+    import re
+
+    import xxhash
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    w = re.findall(r"[^\x20\x09-\x0D]+", low)
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints(spark, texts):
+    for _, t in texts[:40] + [(0, "ÄB  c\x0bD"), (0, "\x1c a\xa0b"), (0, "")]:
+        assert simhash.fingerprint(t.encode()) == plain_fingerprint(t)
+    one = spark.createDataFrame([("the cat sat down",)], "s string").select(F.xxhash64("s")).first()[0]
+    assert simhash.fingerprint(b"The  cat sat\ndown") == one % (1 << 64)
+
+
+def linked(prints, radius=4):
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(prints), 2):
+        if (a ^ b).bit_count() <= radius:
+            root[find(b)] = find(a)
+    return {p: find(p) for p in prints}
+
+
+def test_near_duplicates(spark, documents, texts):
+    got = {(r["doc_id"]): r for r in simhash.near_duplicates(clashing(documents)).collect()}
+    prints = {i: simhash.fingerprint(t.encode()) for i, t in texts}
+    root = linked(set(prints.values()))
+    least = defaultdict(lambda: 1 << 60)
+    for i, p in prints.items():
+        least[root[p]] = min(least[root[p]], i)
+    assert {i: (r["fingerprint"], r["component_id"]) for i, r in got.items()} == {i: (f"{p:016x}", least[root[p]]) for i, p in prints.items()}
+
+
+def test_grid_loses_no_link(spark):
+    """Chains and balls of fingerprints at random distances, many of them exactly 4 and 5."""
+    rnd = random.Random(3)
+    prints = set()
+    for _ in range(60):
+        x = rnd.getrandbits(64)
+        for _ in range(6):
+            prints.add(x)
+            for b in rnd.sample(range(64), rnd.choice((1, 2, 3, 4, 4, 5))):
+                x ^= 1 << b
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
+    got = defaultdict(set)
+    for r in simhash.near_components(df).collect():
+        got[r["root"]].add(r["fp"] % (1 << 64))
+    want = defaultdict(set)
+    for p, r in linked(prints).items():
+        want[r].add(p)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_near_duplicates_edges(odd, empty):
+    got = sorted(((r["doc_id"] or 0), r["fingerprint"] == "0" * 16, r["component_id"]) for r in simhash.near_duplicates(odd).collect())
+    assert len(got) == 11 and [g for g in got if g[1]] == [(1, True, 1), (1, True, 1), (2, True, 1), (3, True, 1)]
+    assert {g[2] for g in got if g[0] in (0, 4)} == {4} and {g[2] for g in got if g[0] in (5, 6)} == {5}
+    assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
+    assert sorted(r["doc_id"] for r in simhash.deduplicated(odd).collect()) == [1, 4, 5, 7]
+
+
+# 2
+
+
+def plain_pages(rows):
+    first = {}
+    for i, html in rows:
+        d = hashlib.sha256((html or "").encode()).hexdigest()
+        if i is not None:
+            first[d] = min(first.get(d, i), i)
+    out = []
+    for i, html in rows:
+        b = (html or "").encode()
+        d = hashlib.sha256(b).hexdigest()
+        again = len(b) >= 100 and i != first.get(d, i)
+        out.append((i, len(b), d, "revisit" if again else "response", first[d] if again else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_archives(spark, tmp_path, compress):
+    same, short = "<p>héllo</p>" * 20, "x" * 50
+    rows = [(3, same), (1, same), (2, same), (2, same), (1, same), (4, short), (5, short), (6, None), (7, ""), (None, same), (8, "a\r\n\r\nWARC/1.1\r\n" * 30)]
+    pages = spark.createDataFrame([(i, h, None if i == 4 else f"http://x/{i}\r\n", 1) for i, h in rows], "page_id long, html string, url string, digest int")
+    archives = warc.write_archives(pages, f"file://{tmp_path}/a", compress=compress)
+    records = written(warc.read_records(archives), "records")
+    got = sorted(((int(r["page_id"]) if r["page_id"] else None, r["payload_bytes"], r["payload_digest"], r["record_type"], int(r["refers_to"]) if r["refers_to"] else None) for r in warc.resolved(records).collect()), key=str)
+    assert got == plain_pages(rows)
+    assert warc.read_gaps(archives).count() == 0
+    assert warc.archives_in(spark, f"{tmp_path}/a").count() == archives.count()
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_salvage(compress):
+    rnd = random.Random(9)
+    payloads = [("x%d WARC/1.1\r\n" % i * rnd.randrange(1, 60)).encode() for i in range(80)]
+    records = [warc.record(str(i), "u", p, hashlib.sha256(p).hexdigest(), None, True) for i, p in enumerate(payloads)]
+    parts = [warc.member(r) if compress else r for r in records]
+    for _ in range(6):
+        broken, data, offsets = set(rnd.sample(range(80), 5)), bytearray(), []
+        for i, p in enumerate(parts):
+            offsets.append(len(data))
+            data += p[: len(p) // 2] if i in broken else p
+        got = list(warc.salvage(io.BytesIO(bytes(data)), len(data)))
+        whole = {int(g[2]["x-page-id"]): g for g in got if g[0] == "record"}
+        assert set(range(80)) - set(whole) == broken
+        assert all(whole[i][1] == offsets[i] and warc.payload_of(whole[i][3]) == payloads[i] for i in whole)
+        sizes = [(g[1], g[2]) if g[0] == "gap" else (g[1], len(parts[int(g[2]["x-page-id"])])) for g in got]
+        assert sum(n for _, n in sizes) == len(data) and all(a + n == b for (a, n), (b, _) in zip(sizes, sizes[1:]))
+
+
+# 3
+
+
+def plain_stats(text):
+    import re
+
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    three = Counter(zip(w, w[1:], w[2:]))
+    within = {j for i in range(len(w) - 2) if three[w[i], w[i + 1], w[i + 2]] > 1 for j in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(within)
+
+
+def test_quality(spark, documents, odd, texts):
+    more = [(900_000 + i, t) for i, t in enumerate(["a a a a", "a b c a b c", "a b a b a b a", "x\n\nx\n x\n|||", "\x0b a\x0c\rb \t", "a\x1fb c", "|" * 70])]
+    df = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = quality.judged(clashing(df)).collect()
+    want = Counter((i, *plain_stats(t)) for i, t in [tuple(r) for r in df.collect()])
+    assert Counter((r["doc_id"], *(r[c] for c in quality.BASE)) for r in got) == want
+    for r in got:
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["kept"] and r["base_failed"])
+
+
+def plain_em(patterns):
+    """patterns: (votes, count)."""
+    import math
+
+    rules = len(patterns[0][0])
+    prior, good, bad = 0.9, [0.95] * rules, [0.4] * rules
+    for _ in range(quality.ROUNDS):
+        sums = defaultdict(float)
+        for votes, n in patterns:
+            odds = math.log(prior / (1 - prior)) + sum(math.log(g / b) if v == 1 else math.log((1 - g) / (1 - b)) for v, g, b in zip(votes, good, bad) if v is not None)
+            p = 1 / (1 + math.exp(-odds))
+            sums["g"] += n * p
+            sums["b"] += n * (1 - p)
+            for j, v in enumerate(votes):
+                if v is not None:
+                    sums[j, v, "g"] += n * p
+                    sums[j, v, "b"] += n * (1 - p)
+        new_prior = (sums["g"] + 1) / (sums["g"] + sums["b"] + 2)
+        new_good = [(sums[j, 1, "g"] + 0.95) / (sums[j, 1, "g"] + sums[j, 0, "g"] + 1) for j in range(rules)]
+        new_bad = [min((sums[j, 1, "b"] + 0.4) / (sums[j, 1, "b"] + sums[j, 0, "b"] + 1), g) for j, g in enumerate(new_good)]
+        done = max(abs(new_prior - prior), *(abs(a - b) for a, b in zip(new_good + new_bad, good + bad))) < 1e-6
+        prior, good, bad = new_prior, new_good, new_bad
+        if done:
+            break
+    return prior, good, bad
+
+
+def test_expectation_maximisation(documents):
+    counted = written(quality.stats(documents), "s")
+    names = list(quality.votes())
+    rows = Counter(tuple(r) for r in counted.select(*(v.alias(k) for k, v in quality.votes().items())).collect())
+    prior, good, bad = plain_em(list(rows.items()))
+    model = quality.fit(counted)
+    assert model["prior"] == pytest.approx(prior, abs=1e-6)
+    assert [model["rules"][n] for n in names] == [(pytest.approx(g, abs=1e-5), pytest.approx(b, abs=1e-5)) for g, b in zip(good, bad)]
+
+
+def test_quality_agrees_with_labels(spark, documents):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = quality.judged(documents).where("not base_failed").join(labels, "doc_id").collect()
+    assert np.mean([r["kept"] == (r["quality"] == 1) for r in got]) > 0.97
+
+
+def test_quality_filter(odd, empty, documents):
+    assert [r["doc_id"] for r in quality.filtered(clashing(odd)).collect()] == [] and quality.filtered(empty).count() == 0
+    assert quality.judged(empty).count() == 0
+    assert quality.filtered(documents).count() == quality.judged(documents).where("kept").count()
+
+
+# 4 and 7
+
+BYTE, RANKS, WORD = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
+TRICKY = [
+    "a  b", "a   b \n c", "  x", " \n y", "x\n \n y", "x \t z  ", "don't  'S", "<|endoftext|> hi<|endoftext|>there", "<|startoftext|>", "e ́x", "a b   c", "\x1c\x1d x",
+    "ΣΑΣ ΟΔΟΣ", "\r\n\r\n  k", "日本語 テスト   다", "", " ", "\n", "<|im_end|> <|endof text|>", "İstanbul ı ß", "a 　b", "a \x85b \xa0 c",
+]
+
+
+def test_tokens(texts):
+    rnd = random.Random(1)
+    s = [t for _, t in texts[:60]] + TRICKY + ["".join(rnd.choice(" \n\ta1.',é<|endoftext|>　") for _ in range(50)) for _ in range(1500)]
+    column = pa.array([t.encode() for t in s])
+    word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    assert tokens.counts(column, WORD).tolist() == [len(e) for e in word.encode_batch(s, add_special_tokens=False)]
+    want = [np.array(e.ids, "<u4").tobytes() for e in byte.encode_batch(s, add_special_tokens=False)]
+    assert list(tokens.packed_ids(column, BYTE, RANKS, P.PATTERN)) == want
+    assert list(tokens.packed_ids(column[5:300], BYTE)) == want[5:300]
+
+
+def test_token_counts(odd, empty):
+    word = Tokenizer.from_file(WORD)
+    got = sorted(map(tuple, tokens.token_counts(clashing(odd), WORD).collect()), key=str)
+    want = sorted(((i, len((t or "").encode()), n := len(word.encode(t or "", add_special_tokens=False)), n > 2048) for i, t, *_ in odd.collect()), key=str)
+    assert got == want and tokens.token_counts(empty, WORD).count() == 0
+
+
+def test_packing(odd, empty, documents):
+    byte = Tokenizer.from_file(BYTE)
+    df = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    got = packing.pack(clashing(df), BYTE, RANKS, P.PATTERN, capacity=256, with_ids=True).collect()
+    want = []
+    for i, t in df.collect():
+        ids = byte.encode(t or "", add_special_tokens=False).ids + [0]
+        at = 0
+        for k, size in enumerate([len(ids)] if len(ids) <= 256 else [len(ids) % 256 or 256] + [256] * ((len(ids) - (len(ids) % 256 or 256)) // 256)):
+            want.append((i, k, at, size, zlib.crc32(np.array(ids[at : at + size], "<u4").tobytes())))
+            at += size
+    assert Counter(tuple(r)[:5] for r in got) == Counter(want)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in got)
+    by = defaultdict(list)
+    for r in got:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in by.values():
+        ends = 0
+        for offset, length in sorted(places):
+            assert offset == ends
+            ends += length
+        assert ends <= 256
+    assert len(by) <= 1.03 * -(-sum(r["length"] for r in got) // 256)
+    assert packing.pack(empty, BYTE).count() == 0
+
+
+def fewest(sizes, capacity):
+    """The least number of bins, by trying everything."""
+    best = [len(sizes)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] >= sizes[i] and bins[k] not in bins[:k]:
+                go(i + 1, bins[:k] + [bins[k] - sizes[i]] + bins[k + 1 :])
+        go(i + 1, [*bins, capacity - sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_dominance_keeps_the_optimum():
+    rnd = random.Random(2)
+    fixed_some = 0
+    for _ in range(150):
+        capacity = rnd.choice((10, 20, 30))
+        sizes = sorted((rnd.randint(1, capacity) for _ in range(9)), reverse=True)
+        left = dict(Counter(sizes))
+        fixed = sum(p.count for p in packing.dominate(left, capacity))
+        fixed_some += fixed > 0
+        rest = sorted((s for s, n in left.items() for _ in range(n)), reverse=True)
+        assert fixed + fewest(rest, capacity) == fewest(sizes, capacity)
+    assert fixed_some > 50
+
+
+def test_plans():
+    for seed in range(200):
+        r = random.Random(seed)
+        capacity = r.choice((10, 50, 2048))
+        h = {r.randint(1, capacity): r.randint(1, 50) for _ in range(r.randint(1, 200))}
+        total = Counter()
+        for p in packing.plan(h, capacity):
+            assert p.count > 0 and sum(size * n for size, n in p.items) <= capacity
+            for size, n in p.items:
+                total[size] += n * p.count
+        assert total == h
+
+
+# 5
+
+
+def test_feistel_is_a_permutation():
+    f = pii.Feistel(b"k")
+    for n in (1, 2, 3, 10, 97, 1000):
+        assert sorted(f.permuted(i, n, "t") for i in range(n)) == list(range(n))
+    assert [f.permuted(i, 1000, "t") for i in range(9)] != [f.permuted(i, 1000, "u") for i in range(9)]
+
+
+def test_pseudonyms():
+    p = pii.Pseudonyms(b"key")
+    new = lambda t: p.replaced(t)[0]
+    card = new("4111 1111 1111 1111")
+    digits = card.replace(" ", "")
+    assert card != "4111 1111 1111 1111" and pii.luhn_digit(digits[:-1]) == digits[-1] and [len(x) for x in card.split()] == [4] * 4
+    assert new("4111-1111-1111-1111").replace("-", "") == digits == new("4111111111111111")
+    iban = new("DE89 3704 0044 0532 0130 00")
+    assert pii.iban_rest(iban.replace(" ", "")) == 1 and iban[:2] == "DE" and iban != "DE89 3704 0044 0532 0130 00"
+    assert pii.date.fromisoformat(new("2024-02-29")) and new("29/02/2024").split("/")[::-1] == new("2024-02-29").split("-")
+    for same in ("4111111111111112", "999.1.1.1", "1.2.3", "2024-02-30", "31/31/2024", "000-12-3456", "", "plain words", "2150-01-01"):
+        assert new(same) == same
+    text = "Mail ana.b7@x.org, ANA.B7@X.ORG; +1 (017) 555-7713 and 10.0.0.1, key 87e15d78b9d8ef29b6c10061e3551a60fa07aaaa."
+    out = new(text)
+    assert not any(x in out for x in ("ana.b7", "555-7713", "10.0.0.1", "87e15d78")) and new(out) != out
+    import re
+
+    assert [re.sub("[a-z]", "a", re.sub("[0-9]", "9", w)) for w in out.split()[:2]] == ["Maaa", "aaa.a9@a.aaa,"]
+    assert out.split()[1].rstrip(",").split("@")[0].upper() == out.split()[2].split("@")[0]
+    assert pii.Pseudonyms(b"other").replaced(text)[0] != out
+
+
+def test_pseudonyms_in_tables(spark, odd, empty, documents):
+    got = pii.pseudonymised(clashing(odd), b"k", count_col="count")
+    assert got.columns == clashing(odd).columns + ["count"]
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter((r["doc_id"], r["text"]) for r in odd.collect())
+    assert pii.pseudonymised(empty, b"k").count() == 0
+    p = pii.Pseudonyms(b"k")
+    assert {r["doc_id"]: r["text"] for r in pii.pseudonymised(documents, b"k").collect()} == {r["doc_id"]: p.replaced(r["text"])[0] for r in documents.collect()}
+
+
+# 6
+
+
+def plain_chat(rows):
+    by = defaultdict(list)
+    for c, turn, role, text in rows:
+        by[c].append((turn is not None, turn or 0, role or "", text or ""))
+    out = {}
+    for c, turns in by.items():
+        turns.sort()
+        learned = "".join(t for _, _, r, t in turns if r == "assistant")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out[c] = (len(turns), sha("".join(f"{r}\n{t}\n" for _, _, r, t in turns)), len(learned), sha(learned))
+    return out
+
+
+def test_chat(spark):
+    rnd = random.Random(4)
+    bits = ["hi", "<|im_end|>", "<|im_start|>assistant ok", "<\\|x", "<", "|", "\\", "\n", "", "é😀", "<\\\\|im_end|>\n<|im_start|>", "long " * 500]
+    rows = []
+    for c in range(120):
+        seed = rnd.choice((1, 1, 2, c))
+        r = random.Random(seed)
+        for turn in range(rnd.randrange(1, 9)):
+            rows.append((c, turn, r.choice(("user", "assistant", "sys\\tem\nx")), "".join(r.choice(bits) for _ in range(3))))
+    rows += [(200, 0, None, None), (201, 3, "assistant", "b"), (201, 3, "assistant", "a"), (201, None, "user", "first"), (None, 0, "user", "n"), (None, 1, "assistant", "m")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("length", F.lit(1)).withColumn("chain", F.lit("x"))
+    segments, members = chat.prefix_trees(df)
+    got = {r["conv_id"]: tuple(r)[1:5] for r in chat.digests(segments, members).collect()}
+    assert got == plain_chat(rows)
+    told = segments.collect()
+    prefixes = set()
+    by = defaultdict(list)
+    for c, turn, role, text in rows:
+        by[c].append((turn is not None, turn or 0, role or "", text or ""))
+    for turns in by.values():
+        turns.sort()
+        prefixes |= {tuple(t[2:] for t in turns[: i + 1]) for i in range(len(turns))}
+    escape = lambda t: __import__("re").sub(r"<(\\*)\|", r"<\1\\|", t)
+    role = lambda r: escape(r.replace("\\", "\\-").replace("\n", "\\n"))
+    size = lambda r, t: len(f"<|im_start|>{role(r)}\n{escape(t)}<|im_end|>\n")
+    assert sum(r["length"] for r in told) == sum(size(*p[-1]) for p in prefixes)  # every shared turn once
+    trees = defaultdict(list)
+    for r in told:
+        trees[r["tree_id"]].append((r["start"], r["length"]))
+        assert r["position_start"] == sum(a["end"] - a["start"] for a in r["ancestors"]) and r["length"] == len(r["text"])
+    for runs in trees.values():
+        runs.sort()
+        assert all(a + n == b for (a, n), (b, _) in zip(runs, runs[1:])) and runs[0][0] == 0
+    nothing = chat.prefix_trees(df.limit(0))
+    assert nothing[0].count() == 0 and chat.digests(*nothing).count() == 0
+
+
+# 8
+
+
+def test_tiles():
+    doc = np.array([9, 1, 2, 3, 4, 9, 5, 6, 7, 8, 9])
+    item = np.array([5, 6, 7, 8, 1, 2, 3, 4])
+    assert sorted(decontamination.tile(doc, item, 3)) == [(4, 1, 4), (4, 6, 0)]
+    assert decontamination.tile(doc, item, 5) == []
+    rnd = random.Random(6)
+    for _ in range(150):
+        doc, item = (np.array([rnd.randrange(4) for _ in range(rnd.randrange(1, 40))]) for _ in range(2))
+        least = rnd.choice((1, 2, 3))
+        tiles = decontamination.tile(doc, item, least)
+        used_doc, used_item = set(), set()
+        for k, i, j in tiles:
+            assert k >= least and (doc[i : i + k] == item[j : j + k]).all()
+            assert not used_doc & set(range(i, i + k)) and not used_item & set(range(j, j + k))
+            used_doc |= set(range(i, i + k))
+            used_item |= set(range(j, j + k))
+        free = [(i, j) for i in range(len(doc) - least + 1) for j in range(len(item) - least + 1) if (doc[i : i + least] == item[j : j + least]).all() and not used_doc & set(range(i, i + least)) and not used_item & set(range(j, j + least))]
+        assert not free  # nothing of the least length is left
+
+
+def test_decontamination(spark, odd, empty, documents, monkeypatch):
+    passage = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    w = passage.split()
+    benchmark = spark.createDataFrame([(1, passage), (2, passage), (3, "Only three words"), (4, None), (5, "")], "item_id long, text string")
+    other = "lorem ipsum dolor sit amet "
+    rows = [(1, other + passage.upper() + "! " + other), (2, " ".join([*w[7:], "x", *w[:7]])), (3, " ".join(w[:6])), (4, "so ONLY, three words?"), (5, other), (6, None), (6, passage), (None, passage)]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = lambda: sorted(((r["doc_id"], r["item_id"], round(r["coverage"], 3), r["tiles"]) for r in decontamination.matches(docs, benchmark).collect()), key=str)
+    want = sorted([(i, k, 1.0, n) for i, n in ((1, 1), (2, 2), (6, 1), (None, 1)) for k in (1, 2)] + [(4, 3, 1.0, 1)], key=str)
+    assert got() == want
+    assert sorted(r["doc_id"] for r in decontamination.cleaned(docs, benchmark).collect()) == [3, 5, 6]
+    real = spark.read.parquet(f"{SF}/benchmark.parquet")
+    first = sorted(map(tuple, decontamination.matches(documents, real, 0.2).drop("text_key").collect()))
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    assert got() == want  # the way for large benchmarks
+    assert sorted(map(tuple, decontamination.matches(documents, real, 0.2).drop("text_key").collect())) == first
+    monkeypatch.undo()
+    assert decontamination.matches(empty, benchmark).count() == decontamination.matches(odd, benchmark.limit(0)).count() == 0
+
+
+# 9
+
+
+def test_sharding(spark, odd, empty, documents):
+    copies = spark.createDataFrame([(10_000 + i, "copied text") for i in range(200)], "doc_id long, text string")
+    df = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(copies)
+    for n in (40, 7):
+        got = sharding.shards(clashing(df), n).collect()
+        want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in df.collect())
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+        by = defaultdict(list)
+        for r in got:
+            by[r["shard"]].append(r["slot"])
+        sizes = [len(by[i]) for i in range(n)]
+        assert max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in by.values()) and set(by) <= set(range(n))
+    together = defaultdict(set)
+    for r in got:
+        together[r["text_crc32"]].add(r["shard"])
+    repeated = [k for k, c in Counter(r["text_crc32"] for r in got).items() if 1 < c < 20]
+    assert np.mean([len(together[k]) == 1 for k in repeated]) > 0.5  # by chance 1 in 7 of the pairs would be
+    assert sharding.shards(empty).count() == 0
+    assert sorted(r["shard"] for r in sharding.shards(df.limit(3)).collect()) == [0, 1, 2]
+
+
+# 10
+
+
+def test_trees_learn():
+    rnd = np.random.default_rng(0)
+    x = rnd.normal(size=(3000, 6))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 3] > 0)).astype(float)
+    t = classifier.fit(x[:2000], y[:2000], trees=40)
+    assert ((t.scores(x[2000:]) >= 0.5) == y[2000:]).mean() > 0.95
+
+    def walk(row):
+        total = t.start
+        for at in t.roots:
+            while t.left[at] != at:
+                at = t.right[at] if row[t.feature[at]] > t.threshold[at] else t.left[at]
+            total += t.value[at]
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(t.scores(x[:50]), [walk(r) for r in x[:50]])
+    assert classifier.fit(x[:10], np.ones(10)).scores(x[:3]) == pytest.approx([1, 1, 1], abs=1e-5)
+    assert classifier.fit(x[:0], y[:0]).scores(x[:2]).tolist() == [0.5, 0.5]
+
+
+def test_classifier(spark, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = classifier.classified(clashing(docs), labels).join(labels, "doc_id").collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
+    assert np.mean([r["predicted"] == r["quality"] for r in held]) > 0.95 and len(held) > 50
+    # Labels of held-out rows change nothing.
+    turned = labels.withColumn("quality", F.when(classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = {r["doc_id"]: r["score"] for r in classifier.classified(docs, turned).collect()}
+    assert all(again[r["doc_id"]] == r["score"] for r in got)
+    edge = classifier.classified(odd, labels).collect()
+    assert len(edge) == 11 and all(0 <= r["score"] <= 1 for r in edge)
+    assert classifier.classified(empty, labels).count() == 0
+
+
+# the pipeline
+
+
+def test_pipeline(spark, documents):
+    import corpus_pipeline as C
+
+    docs = documents
+    for name, stage in C.STAGES:
+        before, docs = docs, written(stage(spark, docs, SF), name)
+        if name != "pack":
+            assert docs.columns == before.columns
+    kept = {r["doc_id"] for r in quality.judged(documents).where("kept").collect()}
+    left = documents.where(F.col("doc_id").isin(list(kept)))
+    kept = {r["doc_id"] for r in simhash.near_duplicates(left).where("doc_id = component_id").collect()}
+    left = left.where(F.col("doc_id").isin(list(kept)))
+    kept -= {r["doc_id"] for r in decontamination.matches(left, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert {r["doc_id"] for r in docs.collect()} == kept
+    p, byte = pii.Pseudonyms(C.PII_KEY), Tokenizer.from_file(BYTE)
+    want = {r["doc_id"]: len(byte.encode(p.replaced(r["text"])[0], add_special_tokens=False).ids) + 1 for r in documents.where(F.col("doc_id").isin(list(kept))).collect()}
+    got = Counter()
+    for r in docs.collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == want
+    assert Counter(map(tuple, C.run(spark, SF).select("doc_id", "piece", "ids_crc32").collect())) == Counter(map(tuple, docs.select("doc_id", "piece", "ids_crc32").collect()))
