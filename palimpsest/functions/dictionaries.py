@@ -107,3 +107,56 @@ ENTITIES = {
 }
 PARTIES = r"\b(?:conste\s+por\s+el\s+presente|intervienen|suscriben|(?:que\s+)?celebran|(?:de|por)\s+una\s+parte)\b"
 ORDINALS = ("primera", "segunda", "tercera", "cuarta", "quinta", "sexta", "septima", "octava", "novena", "decima", "undecima", "duodecima", "vigesima")
+
+#: What is asked about one document, in the order in which they are tried.
+DOCUMENT_INTENTS = (
+    ("partes", r"\b(?:quienes|partes|comparecen|intervienen)\b"),
+    ("monto", r"\b(?:cuanto|monto|precio|capital|canon)\b"),
+    ("plazo", r"\b(?:plazo|duracion|vigencia)\b"),
+    ("firma", r"\b(?:quien firma|quienes firman|firmantes)\b"),
+    ("fecha", r"\b(?:cuando|fecha|vence|vencimiento|empieza|comienza|termina)\b"),
+)
+
+#: Theme, pattern over the folded question, pattern over the folded heading that answers it.
+THEMES = (
+    ("acumulacion", r"coexist|acumul|penal.*(?:gasto|da[nñ]o)|(?:gasto|da[nñ]o).*penal", r"resarcimiento convencional|prohibicion de exigencia conjunta|^resarcimiento del dano$"),
+    ("saldo", r"saldo|pendiente|restante|contraprestacion", r"excepcion del incumplimiento|cumplimiento parcial"),
+    ("vicios", r"vicios|defect|filtracion|ceramicas|obra.*calidad", r"vicios.*obra|obra.*vicios|recepcion de obra afectada"),
+    ("proveedor", r"proveedor|causa no imputable|causa ajena", r"responsabilidad del deudor que no cumple|incumplimiento por imposibilidad"),
+    ("plazo", r"plazo adicional|dias adicionales|efecto.*plazo|requerimiento", r"resolucion por requerimiento|constitucion en mora"),
+    ("mora", r"\bmora\b|retras|vencim|no entreg|no pag|incumplimiento", r"constitucion en mora|mora sin intimacion|responsabilidad del deudor que no cumple"),
+    ("penalidad", r"penalidad|clausula penal|pena convencional|0[,.]5%", r"resarcimiento convencional|cuantia de la pena|disminucion equitativa"),
+    ("resolucion", r"resolucion|resolv|terminar contrato", r"^resolucion por incumplimiento$|^resolucion por requerimiento$|gravedad e importancia"),
+    ("danos", r"\bdanos?\b|gasto adicional|resarcimiento", r"resarcimiento del dano|responsabilidad del deudor que no cumple"),
+    ("informacion", r"informacion adicional|necesitari|que falta", r"$^"),
+)
+WEAK_WORDS = ("contrato", "derecho", "civil", "articulo", "normas")
+
+#: Problems of a case and the pattern over the folded account.
+PROBLEMS = (
+    ("pago", r"no pag|falta de pago|incumpl|responsabilidad contractual"),
+    ("mora", r"requerimiento|intimacion|\bmora\b"),
+    ("resolucion", r"resolucion|resolver el contrato"),
+    ("tercero", r"tercero|otra persona|subarrend|ceder el contrato"),
+    ("modificaciones", r"modific|pared|alteracion"),
+    ("danos", r"\bdanos?\b|perjuicio|resarcimiento"),
+    ("penalidad", r"penalidad|clausula penal|pena convencional"),
+    ("humedad", r"humedad|filtracion|inhabitable|vicios"),
+    ("pruebas", r"prueba|fotograf|testimonio|comprobantes|whatsapp"),
+)
+
+#: Openings of requests, claims that widen an answer's scope.
+REQUESTS = ("quiero saber", "quisiera saber", "indicame", "explicame", "necesito saber", "que obligaciones")
+WIDER_CLAIMS = (r"\b(?:el contrato|el prestamo)\s+(?:empieza|comienza|inicia|termina|finaliza|vence)\b", r"todas las partes")
+
+#: What form fields are checked against, over the folded value.
+MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "setiembre", "octubre", "noviembre", "diciembre")
+RELATIVE_DATES = r"\b(?:hoy|manana|ayer|ahora|actual|cualquiera|la de hoy|hoy dia|no se|n/?a|pendiente|a definir)\b"
+NUMBER_WORDS = (
+    r"\b(?:un|una|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|once|doce|quince|veinte|treinta|cuarenta|cincuenta|sesenta|setenta"
+    r"|ochenta|noventa|cien|ciento|mil|millon|millones|medio)\b"
+)
+TIME_UNITS = r"\b(?:dia|dias|semana|semanas|mes|meses|ano|anos|trimestre|semestre)\b"
+CURRENCY = r"\bbs\b|bs\.|boliviano|\$|\bus\b|\bsus\b|usd|dolar|euro"
+SHORT_WORDS = ("de", "del", "la", "las", "el", "los", "y", "en", "san", "santa")
+AMOUNT_FIELDS, TERM_FIELDS = ("monto", "precio", "canon"), ("plazo", "plazo_devolucion")

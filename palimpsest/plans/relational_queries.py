@@ -54,9 +54,9 @@ def health_counts(t):
     return t("events").where("value is not null").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS place FROM lineitem WHERE l_orderkey <= 500")
+@query("SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS place FROM lineitem")
 def ordered_sources(t):
-    lines = t("lineitem").where("l_orderkey <= 500").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"))
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("s"))
     return lines.select("l_orderkey", F.posexplode("s").alias("place", "x")).select("l_orderkey", F.col("x.l_partkey").alias("l_partkey"), F.col("place").cast("long").alias("place"))
 
 
@@ -90,15 +90,15 @@ def json_list_len(t):
 def findings(t):
     """Lines of an order as the JSON-like list of findings that analyses store."""
     each = F.struct(F.col("l_linenumber").cast("long").alias("inicio"), F.when(F.col("l_returnflag") == "R", "plazo").otherwise("monto").alias("tipo"), F.col("l_linestatus").alias("texto"))
-    return t("lineitem").where("l_orderkey <= 2000").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(each)).alias("items"))
+    return t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(each)).alias("items"))
 
 
-@query("SELECT l_orderkey, string_agg(l_linestatus, ',' ORDER BY l_linenumber, l_returnflag = 'R', l_linestatus) AS texts FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1")
+@query("SELECT l_orderkey, string_agg(l_linestatus, ',' ORDER BY l_linenumber, l_returnflag = 'R', l_linestatus) AS texts FROM lineitem GROUP BY 1")
 def json_path_texts(t):
     return findings(t).select("l_orderkey", F.array_join(F.transform("items", lambda x: x["texto"]), ",").alias("texts"))
 
 
-@query("SELECT l_orderkey, coalesce(string_agg(l_linestatus, ',' ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag = 'R'), '') AS texts FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1")
+@query("SELECT l_orderkey, coalesce(string_agg(l_linestatus, ',' ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag = 'R'), '') AS texts FROM lineitem GROUP BY 1")
 def json_path_filter(t):
     return findings(t).select("l_orderkey", F.array_join(F.transform(F.filter("items", lambda x: x["tipo"] == "plazo"), lambda x: x["texto"]), ",").alias("texts"))
 
@@ -122,11 +122,11 @@ def norm_source(t):
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN regexp_full_match(CAST(l_suppkey AS VARCHAR), '[0-9]{1,2}') THEN CAST(l_suppkey AS INTEGER) END AS clause,
-       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, CAST(l_suppkey AS VARCHAR)) AS place FROM lineitem WHERE l_orderkey <= 1000""")
+       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber, CAST(l_suppkey AS VARCHAR)) AS place FROM lineitem""")
 def analysis_view(t):
     """Stored findings in the order of their offsets, their clause as a number where it is one."""
     each = F.struct("l_quantity", "l_linenumber", F.col("l_suppkey").cast("string").alias("clause"))
-    kept = t("lineitem").where("l_orderkey <= 1000").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(each)).alias("x"))
+    kept = t("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(each)).alias("x"))
     rows = kept.select("l_orderkey", F.posexplode("x").alias("p", "f"))
     return rows.select("l_orderkey", "f.l_linenumber", F.when(F.rlike("f.clause", F.lit("^[0-9]{1,2}$")), F.expr("try_cast(f.clause as int)")).alias("clause"), (F.col("p") + 1).cast("long").alias("place"))
 
@@ -318,11 +318,11 @@ def version_chain(t):
 
 
 @query("""WITH h AS (SELECT doc_id, n, line, CASE WHEN n % 7 = 1 THEN line END AS a, CASE WHEN n % 3 = 2 THEN line END AS b FROM
-         (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 200)),
+         (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n, unnest(string_split(text, chr(10))) AS line FROM documents)),
        f AS (SELECT *, last_value(a IGNORE NULLS) OVER w AS av, last_value(b IGNORE NULLS) OVER w AS bv, coalesce(max(CASE WHEN a IS NOT NULL THEN n END) OVER w, -1) AS an, coalesce(max(CASE WHEN b IS NOT NULL THEN n END) OVER w, -1) AS bn
              FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY n))
        SELECT doc_id, CAST(n AS INTEGER) AS n, CASE WHEN an >= 0 THEN av END AS a_filled, CASE WHEN bn >= greatest(0, an) THEN bv END AS b_filled FROM f""")
 def heading_ffill(t):
-    lines = t("documents").where("doc_id < 200").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     marked = lines.withColumns({"a": F.when(F.col("n") % 7 == 1, F.col("line")), "b": F.when(F.col("n") % 3 == 2, F.col("line"))})
     return R.filled_levels(marked, ["doc_id"], ["n"], ["a", "b"]).select("doc_id", "n", "a_filled", "b_filled")
