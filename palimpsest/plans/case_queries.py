@@ -16,7 +16,7 @@ from palimpsest.plans.relational_queries import findings
 from palimpsest.plans.text_queries import ORACLE_SQL, QUERIES, TOKENS, query, two_lists  # noqa: F401 - registered beside those
 
 FOLD = "strip_accents(lower({}))"
-WINDOWS = "SELECT doc_id, p AS "at", substr(text, p + 1, 1200) AS w FROM (SELECT doc_id, text, unnest(range(0, length(text), 1050)) AS p FROM documents)"
+WINDOWS = 'SELECT doc_id, p AS "at", substr(text, p + 1, 1200) AS w FROM (SELECT doc_id, text, unnest(range(0, length(text), 1050)) AS p FROM documents)'
 
 
 def case_sql(plain: str, rules) -> str:
