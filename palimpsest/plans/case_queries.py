@@ -77,7 +77,7 @@ def scored(t):
     return chunks.join(asks, "item_id").select("doc_id", F.col("w.at").alias("at"), F.col("w.text").alias("text"), C.chunk_score(F.col("asked"), F.col("q"), F.col("w.text")).alias("score"))
 
 
-@query(f"{SCORED} SELECT doc_id, CAST("at" AS INTEGER) AS "at", round(score, 6) AS score FROM s")
+@query(f'{SCORED} SELECT doc_id, CAST("at" AS INTEGER) AS "at", round(score, 6) AS score FROM s')
 def chunk_score(t):
     return scored(t).select("doc_id", "at", F.round("score", 6).alias("score"))
 
