@@ -20,6 +20,7 @@ from palimpsest.llm.shared import components, hex64, written
 SEED = 42
 CHUNK = 1 << 16
 EVEN = 0x5555555555555555  # the low bit of each of the 32 segments
+THIRDS = (range(0, 11), range(11, 22), range(22, 32))  # of the segments
 
 
 def fingerprint(text: bytes, shingle: int = 4) -> int:
@@ -69,62 +70,64 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def signed(x: int) -> int:
+    """64 bits as the long that they are."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def cells(nodes: DataFrame) -> DataFrame:
-    """Each fingerprint's grid cells: in each half (16 segments) its own cell and those one step away.
+    """Each fingerprint's grid cells: in each pair of thirds of the segments its own cell and those one step away.
 
-    Distance 4 or less overall means 2 or less in one half, and points at 2 or less share a cell within one step of
-    both; so fingerprints without a common cell are further apart than 4 in the popcounts, hence in the bits.
+    Distance 4 or less overall leaves 2 or less once the third with most of it is left out, and points at 2 or less
+    share a cell within one step of both; so fingerprints without a common cell are further apart than 4 in the
+    popcounts, hence in the bits. A cell's left-out third is marked by a count of 3, which no segment has.
     """
-    e = embedding(F.col("fp"))
-    halves = []
-    for half in (0, 1):
-        own = F.shiftrightunsigned(e, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF))
-        tag = F.lit(half << 32)
-        steps = [F.struct((own + tag).alias("cell"))]
-        for i in range(16):
-            count = F.shiftrightunsigned(own, 2 * i).bitwiseAND(F.lit(3))
-            steps += [F.when(count < 2, F.struct((own + tag + F.lit(1 << 2 * i)).alias("cell"))), F.when(count > 0, F.struct((own + tag - F.lit(1 << 2 * i)).alias("cell")))]
-        halves += steps
-    near = F.explode(F.filter(F.array(*halves), lambda c: c.isNotNull())).alias("c")
-    return nodes.select("*", near).select(*nodes.columns, F.col("c.cell").alias("cell"))
+    e, found = embedding(F.col("fp")), []
+    for out in THIRDS:
+        kept = [i for i in range(32) if i not in out]
+        own = e.bitwiseAND(F.lit(signed(sum(3 << 2 * i for i in kept)))).bitwiseOR(F.lit(signed(3 << 2 * out[0])))
+        ones, threes = (F.array(*(F.lit(signed(x << 2 * i)).cast("long") for i in kept)) for x in (1, 3))
+        # Counts 0 and 1 differ in the low bit of their two, 1 and 2 in both.
+        low = F.transform(ones, lambda m: F.when(e.bitwiseAND(F.shiftleft(m, 1)) == 0, own.bitwiseXOR(m)))
+        both = F.transform(threes, lambda m: F.when(e.bitwiseAND(m) != 0, own.bitwiseXOR(m)))
+        found += [F.array(own), low, both]
+    return nodes.select("*", F.explode_outer(F.concat(*found)).alias("cell")).where("cell is not null")
 
 
 def spread(nodes: DataFrame) -> DataFrame:
-    """Nodes over all shuffle partitions: a small table otherwise makes its many cells in one or two tasks."""
-    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    """Nodes over all shuffle partitions: a small table otherwise makes its many cells in one or two tasks. Dealt by a
+    hash of fp, since a shuffle by fp itself would be merged into the one before, whose partitions are joined if small."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
 
 
 def near_components(prints: DataFrame, radius: int = 4) -> DataFrame:
     """Components of distinct fingerprints under Hamming distance of radius (4 at most) or less: rows (fp, root).
 
-    First each cell's members are checked against its smallest and largest fingerprint alone; what that joins is one
-    component. Then members of a cell are compared where their components differ and at least one is not the component
-    of the cell's first member, so a large group of near copies is never paired with itself and no link between
-    components is lost.
+    Rows of cells that hold one fingerprint alone go first. Each of the others' members are checked against its smallest
+    and largest fingerprint; what that joins is one component. Then members of a cell are compared where their components
+    differ and at least one is not the component of the cell's first member, so a large group of near copies is never
+    paired with itself and no link between components is lost.
     """
     if radius > 4:
         raise ValueError("the grid covers distances of 4 or less")
     nodes = prints.select("fp").distinct()
     placed = cells(spread(nodes))
     ends = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
+    shared = written(placed.join(ends, "cell"), "shared")
     close = lambda x, y: (x != y) & (manhattan(embedding(x), embedding(y)) <= radius) & (hamming(x, y) <= radius)
-    fp, lo, hi = F.col("fp"), F.col("lo"), F.col("hi")
-    beside = placed.join(ends, (placed["cell"] == ends["cell"]) & (close(fp, lo) | close(fp, hi)))
-    hubs = beside.select("fp", F.explode(F.array("lo", "hi")).alias("hub")).where(close(fp, F.col("hub")))
-    first = written(components(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("b"))), "hubs")
-    known = nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("comp"))
-    known = written(known, "known")
-    # Most components are one fingerprint yet; a null in their place is shuffled for next to nothing.
-    comp = F.coalesce("other", "fp")
-    placed = cells(spread(known.select("fp", F.when(F.col("comp") != F.col("fp"), F.col("comp")).alias("other"))))
-    heads = placed.groupBy("cell").agg(F.min(comp).alias("head"), F.max(comp).alias("top"))
-    tagged = written(placed.join(heads, "cell").select("cell", "fp", comp.alias("comp"), "head", (F.col("head") != F.col("top")).alias("mixed")), "tagged")  # a row for each row of placed
-    left = tagged.where("comp <> head").select("cell", F.col("fp").alias("lf"), F.col("comp").alias("a"), "head")
-    right = tagged.where("mixed").select("cell", F.col("fp").alias("rf"), F.col("comp").alias("b"))
+    hubs = shared.select("fp", F.explode(F.array("lo", "hi")).alias("hub")).where(close(F.col("fp"), F.col("hub")))
+    first = written(components(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("b"))), "hubs").withColumnsRenamed({"node": "fp", "root": "comp"})
+    comp = F.coalesce("comp", "fp").alias("comp")
+    tagged = written(shared.select("cell", "fp").join(first, "fp", "left").select("cell", "fp", comp), "tagged")
+    heads = tagged.groupBy("cell").agg(F.min("comp").alias("head"), F.max("comp").alias("top")).where("head <> top").drop("top")
+    mixed = written(tagged.join(heads, "cell"), "mixed")
+    left = mixed.where("comp <> head").select("cell", F.col("fp").alias("lf"), F.col("comp").alias("a"), "head")
+    right = mixed.select(F.col("cell").alias("rc"), F.col("fp").alias("rf"), F.col("comp").alias("b"))
     # Two members outside the head's component meet in one order; those of the head's component are on the right alone.
     once = (F.col("a") != F.col("b")) & ((F.col("b") == F.col("head")) | (F.col("lf") < F.col("rf")))
-    links = left.join(right, (left["cell"] == right["cell"]) & once & close(F.col("lf"), F.col("rf"))).select("a", "b")
+    links = left.join(right, (F.col("cell") == F.col("rc")) & once & close(F.col("lf"), F.col("rf"))).select("a", "b")
     second = written(components(links), "links")
+    known = nodes.join(first, "fp", "left").select("fp", comp)
     return known.join(second, F.col("comp") == F.col("node"), "left").select("fp", F.coalesce("root", "comp").alias("root"))
 
 

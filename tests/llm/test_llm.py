@@ -138,6 +138,14 @@ def test_grid_loses_no_link(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_grid_keeps_strangers_apart(spark):
+    """Fingerprints that have nothing to do with each other share next to no cells."""
+    rnd = random.Random(8)
+    df = spark.createDataFrame([(rnd.getrandbits(64) - (1 << 63),) for _ in range(1000)], "fp long")
+    placed = simhash.cells(df)
+    assert 90 * 1000 < placed.count() < 110 * 1000 and placed.groupBy("cell").count().where("count > 1").count() < 50
+
+
 def test_near_duplicates_edges(odd, empty):
     got = sorted(((r["doc_id"] or 0), r["fingerprint"] == "0" * 16, r["component_id"]) for r in simhash.near_duplicates(odd).collect())
     assert len(got) == 11 and [g for g in got if g[1]] == [(1, True, 1), (1, True, 1), (2, True, 1), (3, True, 1)]
