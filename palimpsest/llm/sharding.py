@@ -1,8 +1,10 @@
-"""Sharding by balanced label propagation: documents move towards the shard where most of their linked documents are,
-as far as quotas allow, and an exact repair leaves counts at most one apart.
+"""Sharding by balanced label propagation: groups of linked documents move whole to the shard where most of their members
+are, as far as quotas allow, else to their next best one; documents without links make way, and fill up what is left.
 
 Documents are linked by equal texts. Members of a group in one shard are interchangeable, so labels spread over cells
-(group, shard, how many) and a group of any size is as many rows as shards that it touches.
+(group, shard, how many) and a group of any size is as many rows as shards that it touches. Groups of more than a
+SHARE-th of a shard, SHARE a shard at most, are placed first and on the driver, the largest first; a group is cut only
+where no shard has room for it. Counts are at most one apart.
 
 Edge cases: a null text counts as an empty one; rows that repeat an id and a text are placed each; an empty table gives
 an empty result; with fewer documents than shards the last shards stay empty; an id may be null. Columns other than the
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.shared import before, ranked, written
 
 OVERHEAD = 16  # bytes that each document adds to its text's
+SHARE = 50
 
 
 def by_number(values: list[int], of: Column) -> Column:
@@ -24,31 +27,64 @@ def by_number(values: list[int], of: Column) -> Column:
     return F.get(F.array(*(F.lit(int(v)) for v in values)), of)
 
 
-def propagated(cells: DataFrame, loads: list[int], capacity: int, rounds: int) -> DataFrame:
-    """cells (g, shard, n) after rounds of moves towards each group's largest cell. loads: documents in each shard."""
-    loads = list(loads)
-    for _ in range(rounds):
-        label = cells.groupBy("g").agg(F.max(F.struct("n", (-F.col("shard")).alias("low"))).alias("m")).select("g", (-F.col("m.low")).alias("to"))
-        aimed = written(cells.join(label, "g"), "aimed")
-        movers = aimed.where("shard <> to")
-        leaving = {r["shard"]: r["n"] for r in movers.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        if not leaving:
-            return cells
-        room = [max(0, capacity - load + leaving.get(i, 0)) for i, load in enumerate(loads)]
-        queued = before(written(movers, "movers"), ["to"], ["g", "shard"], "n", "queue")
-        moved = written(queued.withColumn("k", F.least("n", F.greatest(F.lit(0), by_number(room, F.col("to")) - F.col("queue")))), "moved")
-        flows = moved.where("k > 0").groupBy("shard", "to").agg(F.sum("k").alias("k")).collect()  # shards squared at most
-        if not flows:
-            return cells
-        for r in flows:
-            loads[r["shard"]] -= r["k"]
-            loads[r["to"]] += r["k"]
-        stay = aimed.where("shard = to").select("g", "shard", "n").unionByName(moved.select("g", "shard", (F.col("n") - F.col("k")).alias("n"))).unionByName(moved.select("g", F.col("to").alias("shard"), F.col("k").alias("n")))
-        cells = written(stay.where("n > 0").groupBy("g", "shard").agg(F.sum("n").alias("n")), "cells")
-    return cells
-
-
-def shards(docs: DataFrame, n_shards: int = 40, rounds: int = 4, slack: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quotas(total: int, n_shards: int) -> list[int]:
+    """Documents of each shard."""
+    return [total // n_shards + (i < total % n_shards) for i in range(n_shards)]
+
+
+def fitted(groups: list, room: list[int]) -> list[tuple[str, int, int]]:
+    """Places (g, shard, n) of groups (g, all, prefs), the largest first, and takes them off room: whole in the best of
+    their shards with room, else in the fullest that has room for all, else cut over the emptiest shards."""
+    out = []
+    for r in sorted(groups, key=lambda r: (-r["all"], r["g"])):
+        left = r["all"]
+        while left:
+            fits = [s for s in (x["shard"] for x in r["prefs"]) if room[s] >= left] or sorted((s for s, free in enumerate(room) if free >= left), key=lambda s: room[s])
+            to = fits[0] if fits else room.index(max(room))
+            n = min(left, room[to])
+            out.append((r["g"], to, n))
+            room[to] -= n
+            left -= n
+    return out
+
+
+def propagated(cells: DataFrame, want: list[int], rounds: int) -> DataFrame:
+    """cells (g, shard, n) after all groups have found their places. want: places in each shard, for linked documents."""
+    prefs = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("low"), "shard"))).alias("prefs")  # n_shards entries at most
+    groups = written(cells.groupBy("g").agg(F.sum("n").alias("all"), prefs), "groups")
+    room, large = list(want), F.col("all") * SHARE > min(want)
+    planned = fitted(groups.where(large).collect(), room)
+    waiting, done = groups.where(~large), []
+
+    def settled(aimed: DataFrame, fits: Column) -> DataFrame:
+        """Keeps the groups that fit, takes them off room, and returns the others."""
+        tried = written(aimed.withColumn("fits", fits), "tried")
+        got = tried.where("fits").select("g", F.col("to").alias("shard"), F.col("all").alias("n"))
+        for r in got.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+            room[r["shard"]] -= r["n"]
+        done.append(got)
+        return tried.where("not fits").select("g", "all", "prefs")
+
+    for k in range(rounds):
+        aim = F.get("prefs", F.pmod(F.lit(k), F.size("prefs")))["shard"]
+        aimed = written(waiting.withColumn("to", aim), "aimed")
+        if aimed.isEmpty():
+            break
+        waiting = settled(before(aimed, ["to"], ["g"], "all", "queue"), F.col("queue") + F.col("all") <= by_number(room, F.col("to")))
+    else:
+        # Laid end to end over the free places, all but one group at the end of each shard lie within one.
+        ends = [sum(room[: i + 1]) for i in range(len(room))]
+        queued = before(written(waiting, "waiting"), [], ["g"], "all", "queue")
+        aimed = queued.withColumn("to", F.size(F.filter(F.array(*(F.lit(e) for e in ends)), lambda e: e <= F.col("queue"))))
+        waiting = settled(aimed, F.col("queue") + F.col("all") <= by_number(ends, F.col("to")))
+        planned += fitted(waiting.collect(), room)
+    out = cells.sparkSession.createDataFrame(planned, "g string, shard int, n long")
+    for got in done:
+        out = out.unionByName(got)
+    return out
+
+
+def shards(docs: DataFrame, n_shards: int = 40, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard, linked) of all documents, law "rows"."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n_shards)).cast("int")
@@ -56,13 +92,10 @@ def shards(docs: DataFrame, n_shards: int = 40, rounds: int = 4, slack: float =
         F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("g"), start.alias("shard")
     )
     rows = written(rows, "rows")
-    loads = [0] * n_shards
-    for r in rows.groupBy("shard").count().collect():
-        loads[r["shard"]] = r["count"]
-    total = sum(loads)
+    total = rows.count()
     cells = rows.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("n"))
     linked = cells.groupBy("g").agg(F.sum("n").alias("all")).where("all > 1").select("g")
-    cells = propagated(written(cells.join(linked, "g"), "cells"), loads, int(total / n_shards * (1 + slack)) + 1, rounds)
+    cells = propagated(written(cells.join(linked, "g"), "cells"), quotas(total, n_shards), rounds)
     spans = cells.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("spans"))  # n_shards entries at most
     known = rows.join(spans, "g", "left").select(*rows.columns, "spans")
     members = ranked(written(known.where("spans is not null"), "members"), ["g"], ["doc_id", "text_crc32", "size"], "r")
@@ -77,7 +110,7 @@ def repaired(placed: DataFrame, total: int, n_shards: int) -> DataFrame:
     held = [[0, 0] for _ in range(n_shards)]
     for r in placed.groupBy("shard", "linked").count().collect():
         held[r["shard"]][r["linked"]] = r["count"]
-    want = [total // n_shards + (i < total % n_shards) for i in range(n_shards)]
+    want = quotas(total, n_shards)
     load = [a + b for a, b in held]
     surplus = [max(0, have - w) for have, w in zip(load, want)]
     lack = [max(0, w - have) for have, w in zip(load, want)]

@@ -542,6 +542,21 @@ def test_sharding(spark, odd, empty, documents):
 # 10
 
 
+def test_sharding_keeps_groups_together(spark):
+    """Groups that a shard holds stay whole, and a third of all rows is cut into no more parts than it must be."""
+    sizes = [2700, 160] + [10] * 60 + [2] * 600
+    texts = [f"group {k}" for k, n in enumerate(sizes) for _ in range(n)]
+    texts += [f"alone {i}" for i in range(8000 - len(texts))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sharding.shards(df, 40).collect()
+    assert len({r["doc_id"] for r in got}) == len(got) == 8000 and set(Counter(r["shard"] for r in got).values()) == {200}
+    over = defaultdict(Counter)
+    for r in got:
+        over[texts[r["doc_id"]]][r["shard"]] += 1
+    assert len(over["group 0"]) == 14 and sorted(over["group 0"].values())[1:] == [200] * 13
+    assert all(len(over[f"group {k}"]) == 1 for k in range(1, len(sizes)))
+
+
 def test_trees_learn():
     rnd = np.random.default_rng(0)
     x = rnd.normal(size=(3000, 6))
