@@ -143,9 +143,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One document of each component, with all its columns: that with the smallest id. Documents with a null id stay
-    only where their component has no other id; rows that repeat an id that stays are brought down to one."""
-    found = written(near_duplicates(docs, id_col, text_col, shingle, radius), "classes")
+    """One document of each component, with all its columns: that with the smallest id."""
+    return kept_of(docs, near_duplicates(docs, id_col, text_col, shingle, radius), id_col)
+
+
+def kept_of(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """Documents whose id is their component's in found (doc_id, component_id). Documents with a null id stay only where
+    their component has no other id; rows that repeat an id that stays are brought down to one."""
+    found = written(found, "classes")
     dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_anti")
     # An id may stand for several texts. Only if one does is a second shuffle of the texts needed.

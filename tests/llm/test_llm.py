@@ -14,7 +14,7 @@ import public_tokenizers as P
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from palimpsest.llm import chat, classifier, decontamination, packing, pii, quality, sharding, simhash, tokens, warc
+from palimpsest.llm import chat, classifier, decontamination, jaccard, packing, pii, quality, sharding, simhash, tokens, warc
 from palimpsest.llm.shared import components, ranked, written
 
 SF = "/root/testdata/sf0.001"
@@ -596,6 +596,49 @@ def test_classifier(spark, odd, empty):
 # the pipeline
 
 
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def brute_components(texts):
+    """Smallest id reachable over pairs with Jaccard 0.8 or more, all pairs compared."""
+    sets, root = {i: shingles(t) for i, t in texts}, {i: i for i, _ in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (i, a), (j, b) in combinations(sorted(sets.items()), 2):
+        if (a == b or 9 * len(a & b) >= 4 * (len(a) + len(b))) and top(i) != top(j):
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    return {i: top(i) for i in root}
+
+
+def test_stage_keeps_no_near_copy(spark, documents, texts, odd, empty):
+    """The pipeline's stage against brute force, on the documents and on copies with a few words changed."""
+    import corpus_pipeline as C
+
+    rng = random.Random(5)
+    planted = []
+    for k in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((40, 120, 300)))]
+        for c in range(3):
+            changed = list(words)
+            for _ in range(c * len(words) // 100):
+                changed[rng.randrange(len(changed))] = f"x{rng.randrange(5000)}"
+            planted.append((1_000_000 + 10 * k + c, " ".join(changed)))
+    both = texts + planted
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in both], DOCS)
+    want = brute_components([(i, t or "") for i, t in both])
+    assert len({want[i] for i, _ in planted}) < 120
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(clashing(df)).collect()} == want
+    stage = dict(C.STAGES)["near_duplicates"]
+    assert sorted(r["doc_id"] for r in stage(spark, df, SF).collect()) == sorted(set(want.values()))
+    assert stage(spark, empty, SF).count() == 0 and sorted(r["doc_id"] for r in stage(spark, odd, SF).collect()) == [1, 4, 5, 7]
+
+
 def test_pipeline(spark, documents):
     import corpus_pipeline as C
 
