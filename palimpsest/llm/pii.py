@@ -5,6 +5,10 @@ Found: payment cards (13 to 19 digits, Luhn), IBANs (mod 97), social security nu
 addresses, e-mail addresses (the part before the @; the domain stays), dates from 1900 to 2099, hexadecimal secrets of
 32 digits or more. A card's pseudonym passes Luhn, an IBAN's mod 97, a date's is a date. What is not valid stays.
 
+Digits or capitals beside a value don't hide it: where the longest candidate fails its check, shorter ends are tried (an
+IBAN's by its country's length), then later starts, token by token. A card that is only a part of a run of digits must
+be written in one piece or in usual groups (fours, or 4-6-4 and 4-6-5), or any row of figures would hold one by chance.
+
 Edge cases: a null text stays null, an empty one empty; equal rows get equal results; an empty table stays empty; other
 columns pass through unread, whatever their names.
 """
@@ -34,6 +38,11 @@ PATTERN = re.compile(
       | (?P<card>(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]))""".replace(r"\g<-1>", r"(?P=sep)").replace("([/.])", "(?P<sep>[/.])"),
     re.VERBOSE,
 )
+TOKEN, DIGITS = re.compile("[0-9A-Za-z]+"), re.compile("[0-9]+")
+RUN = re.compile("[0-9]+(?:[ -][0-9]+)*")
+IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU").split()) for c in cs.split(",")}
 MAY = re.compile(r"[0-9@]|[0-9a-fA-F]{32}")
 
 
@@ -170,17 +179,57 @@ class Pseudonyms:
             self.memory[kind, text] = getattr(self, kind)(text)
         return self.memory[kind, text]
 
+    def usual_card(self, text: str, spans: list[tuple[int, int]]) -> int | None:
+        """The end of the longest valid card in usual groups that starts with the first of these digit runs."""
+        best, sizes = None, []
+        for start, end in spans:
+            sizes.append(end - start)
+            if sum(sizes) > 19:
+                break
+            usual = len(sizes) == 1 or sizes in ([4, 6, 4], [4, 6, 5]) or (set(sizes[:-1]) == {4} and sizes[-1] <= 4)
+            if sum(sizes) >= 13 and usual and self.of("card", text[spans[0][0] : end]) is not None:
+                best = end
+        return best
+
+    def end_of(self, kind: str, text: str, start: int, end: int, inside: bool) -> int | None:
+        """Where the value ends that starts at start, if any; end: the longest candidate's; inside: of one that failed."""
+        if kind == "card":
+            near = text[start : start + 100]  # a candidate has 37 at most
+            spans = [(start + m.start(), start + m.end()) for m in DIGITS.finditer(RUN.match(near).group())]
+            if len(near) == 100 and spans[-1][1] == start + 100:
+                spans.pop()  # cut
+            best = self.usual_card(text, spans)
+            if best is not None or inside or self.of(kind, text[start:end]) is None:
+                return best
+            hides = any(self.usual_card(text, spans[i:]) is not None for i in range(1, len(spans)) if spans[i][0] < end)
+            return None if hides else end
+        if self.of(kind, text[start:end]) is not None:
+            return end
+        if kind == "iban":
+            length = IBAN_LENGTHS.get(text[start : start + 2])
+            ends = [m.end() for m in re.finditer("[A-Z0-9]", text[start:end])]
+            groups = [m.end() for m in TOKEN.finditer(text[start:end])]
+            for cut in ends[length - 1 : length] if length else groups[-2::-1]:
+                if self.of(kind, text[start : start + cut]) is not None:
+                    return start + cut
+        return None
+
     def replaced(self, text: str) -> tuple[str, int]:
         """The text with pseudonyms, and how many."""
         if not MAY.search(text):
             return text, 0
-        out, at, n = [], 0, 0
-        for m in PATTERN.finditer(text):
+        out, at, n, pos, failed = [], 0, 0, 0, 0
+        while m := PATTERN.search(text, pos):
             kind = m.lastgroup if m.lastgroup != "sep" else "day"
-            new = self.of(kind, m.group())
-            if new is not None:
-                out += [text[at : m.start()], new]
-                at, n = m.end(), n + 1
+            end = self.end_of(kind, text, m.start(), m.end(), m.start() < failed)
+            if end is None:
+                pos = TOKEN.match(text, m.start()).end()
+                if m.start() >= failed:
+                    failed = m.end()
+            else:
+                out += [text[at : m.start()], self.of(kind, text[m.start() : end])]
+                at = pos = end
+                n += 1
         return ("".join([*out, text[at:]]), n) if n else (text, 0)
 
 

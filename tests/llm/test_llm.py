@@ -410,6 +410,19 @@ def test_pseudonyms():
     assert pii.Pseudonyms(b"other").replaced(text)[0] != out
 
 
+def test_pseudonyms_beside_digits_and_capitals():
+    p = pii.Pseudonyms(b"key")
+    card, solid, iban = "4111 1111 1111 1111", "4111111111111111", "BE68 5390 0754 7034"
+    for text, value in (
+        (f"{card} 123", card), (f"{card} 05/27", card), (f"12 {card}", card), (f"{solid} 43", solid), (f"{iban} EUR", iban), (f"{iban} PAID NOW", iban), (f"AB13 {iban}", iban),
+        (f"99 99 99 {card} 123", card), (f"{card} {card}", card), (f"2150-01-01 {card}", card), ("3782 822463 10005 77", "3782 822463 10005"), (f"12 078-05-1120 {card}", card),
+    ):
+        got, n = p.replaced(f"see {text}, thanks")
+        assert got == f"see {text}, thanks".replace(value, p.replaced(value)[0]).replace("078-05-1120", p.replaced("078-05-1120")[0]) and value not in got and n == text.count(value) + ("078" in text)
+    assert p.replaced(" ".join(str(2 * i) for i in range(1, 23)))[1] == 0
+    assert len(p.replaced("11 " * 50_000)[0]) == 150_000
+
+
 def test_pseudonyms_in_tables(spark, odd, empty, documents):
     got = pii.pseudonymised(clashing(odd), b"k", count_col="count")
     assert got.columns == clashing(odd).columns + ["count"]
