@@ -121,6 +121,14 @@ def risk_rules(t):
     return O.risks(found, "text", "kind", "clauses", "findings").select("doc_id", F.explode("risks").alias("r")).select("doc_id", F.col("r.codigo").alias("codigo"))
 
 
+@query()
+def risk_rules_all(t):
+    """All rules over all documents, each with the type that its text has. Rows only: SQL on the other side gives no clauses."""
+    docs = O.classified(t("documents").select("doc_id", "text"), "text", D.TYPES, D.TYPE_THRESHOLD, D.OTHER_TYPE)
+    found = docs.withColumns({"clauses": O.clauses("text"), "findings": O.findings("text")})
+    return O.risks(found, "text", "class", "clauses", "findings").select("doc_id", F.col("class").alias("kind"), F.explode("risks").alias("r")).select("doc_id", "kind", "r.codigo", "r.severidad", "r.evidencia", "r.clausula")
+
+
 @query()
 def diff_paragraphs(t):
     """Each document beside the next one of its language, by paragraphs."""

@@ -110,3 +110,19 @@ def test_versions(spark):
     assert got == [(1, "kept", 1, "a", True), (2, "changed", 1, "b", False), (2, "changed", 2, "B", True), (3, "kept", 2, "c", True), (4, "inserted", 1, "d", True)]
     again = rel.versioned(old, old.select("k", "content"), ["k"], "content")
     assert {r["change"] for r in again.collect()} == {"kept"}
+
+
+def test_risk_rules_of_all_documents(spark, tmp_path):
+    """Texts with figures are judged too, by the rules of their type."""
+    from palimpsest.plans.text_queries import QUERIES
+
+    loan = "CONTRATO DE PRESTAMO. El prestamista entrega al prestatario Bs 1.000 el 01/02/2024 en mutuo; el interes se capitaliza."
+    texts = {1: loan, 2: "una carta", 3: "contrato de arrendamiento: el arrendador entrega\n" + LEASE, 4: "una carta de 12 hojas"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in QUERIES["risk_rules_all"](spark, str(tmp_path)).collect():
+        got.setdefault((r["doc_id"], r["kind"]), set()).add(r["codigo"])
+    assert set(got) == {(1, "prestamo"), (2, "otro"), (3, "arrendamiento"), (4, "otro")}
+    assert "PR-INTERES-CAPITALIZADO" in got[1, "prestamo"] and "GEN-SIN-FECHA" not in got[1, "prestamo"]
+    assert got[2, "otro"] == got[4, "otro"] == {"GEN-SIN-CLAUSULAS", "GEN-SIN-FECHA", "GEN-SIN-CEDULA"}
+    assert got[3, "arrendamiento"] == {"AR-SUBARRIENDO-SIN-AUTORIZACION"}
