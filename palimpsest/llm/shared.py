@@ -36,6 +36,35 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have: name, with underscores behind it while it is taken."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key with more than one row in this many of all is hot; so there are at most as many hot keys.
+HOT_PART, HOT_BYTES = 1000, 16 << 20
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right on key, a column of both that is unique in right. The rows of right whose key many rows of
+    left have, HOT_PART at most, are sent to every task where together they are HOT_BYTES at most, so no task gets all of
+    a hot key's rows; all other keys meet in a shuffle. left and right are read twice, so pass written ones."""
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    total = left.count()
+    hot = counts.where(F.col("__n") * HOT_PART > total).select(key)
+    few = right.join(F.broadcast(hot), key, "left_semi")
+    size = few.agg(F.sum(F.octet_length(F.to_json(F.struct(*few.columns))))).first()[0] or 0
+    if not 0 < size <= HOT_BYTES:
+        return left.join(right, key)
+    few = written(few, "hot")
+    mine = few.select(key)
+    hot_rows = left.join(F.broadcast(few), key)
+    return hot_rows.unionByName(left.join(F.broadcast(mine), key, "left_anti").join(right, key))
+
+
 def before(df: DataFrame, group: list[str], order: list[str], value: str | None, out: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """Adds out: the sum of value (None: 1) over the rows that come before in their group, in a fixed order by hash,
     without one task for a whole group.
@@ -66,7 +95,7 @@ def ranked(df: DataFrame, group: list[str], order: list[str], out: str) -> DataF
     return before(df, group, order, None, out)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node reachable.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014), each a grouping and a join, written to the
@@ -74,7 +103,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     state = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
-    for _ in range(most_rounds):
+    while True:  # each round lowers the sum of the labels or is the last
         both = state.unionByName(state.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("k")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -88,8 +117,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = state.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 

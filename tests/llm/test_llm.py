@@ -299,6 +299,24 @@ def test_tokens(texts):
     assert list(tokens.packed_ids(column[5:300], BYTE)) == want[5:300]
 
 
+def test_tokens_of_texts_made_to_collide(spark, monkeypatch):
+    """Words whose polynomial hashes are equal for any base, and long texts cut into parts, through Spark."""
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    s = [f"{one} {two}", f"x {two}\n{one} {one}", "a  b", "", ("wort  und \n mehr <|endoftext|> " * 2000) + "x", "y" * 3000, " z"]
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 1000)
+    column = pa.array([t.encode() for t in s])
+    word, byte = Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    want = [np.array(byte.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in s]
+    assert tokens.counts(column, WORD).tolist() == [len(word.encode(t, add_special_tokens=False)) for t in s]
+    assert list(tokens.packed_ids(column, BYTE, RANKS, P.PATTERN)) == want == list(tokens.packed_ids(column, BYTE))
+    assert tokens.counts(column, BYTE).tolist() == [len(x) // 4 for x in want]  # a tokenizer that keeps white space
+    df = spark.createDataFrame(list(enumerate(s)), "doc_id long, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(df, WORD).collect()} == {i: len(word.encode(t, add_special_tokens=False)) for i, t in enumerate(s)}
+    assert packing.pack(df, BYTE, RANKS, P.PATTERN).groupBy("doc_id").agg(F.sum("length").alias("n")).where("n < 1").count() == 0
+
+
 def test_token_counts(odd, empty):
     word = Tokenizer.from_file(WORD)
     got = sorted(map(tuple, tokens.token_counts(clashing(odd), WORD).collect()), key=str)
