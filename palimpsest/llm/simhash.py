@@ -1,7 +1,7 @@
 """SimHash near-duplicates: fingerprints, a grid range join over segment popcounts, components.
 
 Edge cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other. Equal
-rows get equal results, one each. A null id never becomes a component's id unless all its ids are null. An empty table
+rows get equal results, one each. Ids keep their type; the smallest is so in that type's order. A null id never becomes a component's id unless all its ids are null. An empty table
 gives an empty result. Columns other than the id and the text are not read.
 """
 
@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import components, hex64, written
+from palimpsest.llm.shared import components, fresh, hex64, hot_join, written
 
 SEED = 42
 CHUNK = 1 << 16
@@ -49,7 +49,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle) for x in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return read.mapInArrow(run, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def embedding(fp: Column) -> Column:
@@ -134,12 +135,11 @@ def near_components(prints: DataFrame, radius: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable), copies."""
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
-    roots = near_components(prints, radius)
-    roots = written(roots, "roots")
+    roots = written(near_components(prints, radius), "roots")
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).join(roots, "fp")
-    classes = least.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_rows"))
-    by_print = roots.join(classes, "root").select("fp", "component_id", "component_rows")
-    return prints.join(by_print, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "component_rows")
+    classes = written(least.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_rows")), "classes")
+    by_print = written(hot_join(roots, classes, "root").select("fp", "component_id", "component_rows"), "by-print")
+    return hot_join(prints, by_print, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id", "component_rows")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -150,11 +150,12 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def kept_of(docs: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     """Documents whose id is their component's in found (doc_id, component_id). Documents with a null id stay only where
     their component has no other id; rows that repeat an id that stays are brought down to one."""
-    found = written(found, "classes")
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(dropped, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    found = written(found, "found")
+    gone, place = fresh(docs, "gone"), fresh(docs, "place")
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct()
+    kept = docs.join(dropped, docs[id_col].eqNullSafe(F.col(gone)), "left_anti")
     # An id may stand for several texts. Only if one does is a second shuffle of the texts needed.
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(*docs.columns))
-    return kept.withColumn("__first", first).where("__first = 1").drop("__first")
+    return kept.withColumn(place, first).where(F.col(place) == 1).drop(place)
