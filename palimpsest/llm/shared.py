@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,25 @@ def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return hot_rows.unionByName(left.join(F.broadcast(mine), key, "left_anti").join(right, key))
 
 
+FILTER_BITS = 26  # of a key: a filter has 8 MB whatever the corpus' size
+
+
+def filter_of(keys: DataFrame) -> Broadcast:
+    """Bits that are set for each of the keys (column fp, a long), broadcast: 2 ** FILTER_BITS bits, whatever their number."""
+    place = f"(fp & {(1 << FILTER_BITS) - 1})"
+    words = keys.selectExpr(f"shiftright({place}, 6) AS w", f"shiftleft(1L, CAST({place} & 63 AS INT)) AS bit")
+    found = words.groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    bits[found["w"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def may_have(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """1 for each key that a filter of filter_of() may stand for, 0 for one that it surely doesn't."""
+    place = keys & ((1 << FILTER_BITS) - 1)
+    return bits[place >> 6] >> (place & 63) & 1
+
+
 def before(df: DataFrame, group: list[str], order: list[str], value: str | None, out: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """Adds out: the sum of value (None: 1) over the rows that come before in their group, in a fixed order by hash,
     without one task for a whole group.
