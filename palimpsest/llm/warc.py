@@ -15,7 +15,7 @@ import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -27,6 +27,8 @@ from palimpsest.llm.shared import scratch_path, written
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 64 << 20  # an archive is closed at the first record beyond; a task writes as many as it needs
 READ_BYTES = 1 << 20
+HEAD_STEP, HEAD_BYTES = 1 << 14, 1 << 28  # headers are looked for in steps, as far as this
+FLUSH_BYTES = 8 << 20  # of found records that a task holds
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -121,16 +123,24 @@ class Bad(ValueError):
     pass
 
 
-def parse(data: bytes | bytearray | memoryview, more=None) -> tuple[dict[str, str], bytes, int]:
-    """Headers, block and length of the record at the start of data. more(n): holds n bytes and returns how many there are."""
-    data = bytes(data[: 1 << 16])
+def parse(data: bytes | bytearray, more: Callable[[int], int] | None = None) -> tuple[dict[str, str], int, int]:
+    """Headers, block's place and length of the record at the start of data. more(n): makes data hold n bytes and returns
+    how many there are; without it data is all there is. Headers may be as long as HEAD_BYTES."""
+    if more is not None:
+        more(len("WARC/1.1\r\n"))
     if not VERSION.match(data):
         raise Bad("no version line")
-    end = data.find(b"\r\n\r\n")
-    if end < 0:
-        raise Bad("headers do not end")
+    seen, want = 0, HEAD_STEP
+    while True:
+        there = more(want) if more is not None else len(data)
+        end = data.find(b"\r\n\r\n", max(0, seen - 3), min(there, HEAD_BYTES))
+        if end >= 0:
+            break
+        if more is None or there < want or there >= HEAD_BYTES:
+            raise Bad("headers do not end")
+        seen, want = there, 4 * want
     headers: dict[str, str] = {}
-    for line in data[:end].split(b"\r\n")[1:]:
+    for line in bytes(data[:end]).split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")
         if not colon:
             raise Bad("a header without a colon")
@@ -155,18 +165,26 @@ def checked(whole: bytes, headers: dict[str, str], start: int, length: int) -> b
 
 
 def at_member(tape: Tape) -> tuple[dict[str, str], bytes, int]:
-    """The gzip member at the tape's place: headers, block, bytes on the tape."""
-    z, out, used = zlib.decompressobj(31), bytearray(), 0
+    """The gzip member at the tape's place: headers, block, bytes on the tape. It is inflated step by step, and no further
+    than its record's own length says, so a small member can't fill the memory."""
+    z, out, used, head = zlib.decompressobj(31), bytearray(), 0, None
     while not z.eof:
-        if tape.need(used + 1) <= used:
-            raise Bad("the member is cut")
-        part = bytes(tape.held[used : used + READ_BYTES])
+        part = z.unconsumed_tail
+        if not part:
+            if tape.need(used + 1) <= used:
+                raise Bad("the member is cut")
+            part = bytes(tape.held[used : used + READ_BYTES])
+            used += len(part)
         try:
-            out += z.decompress(part)
+            out += z.decompress(part, READ_BYTES)
         except zlib.error as e:
             raise Bad("the member is damaged") from e
-        used += len(part) - len(z.unused_data)
-    headers, start, length = parse(out)
+        if head is None and (out.find(b"\r\n\r\n") >= 0 or len(out) > HEAD_BYTES):
+            head = parse(out)
+        if head is not None and len(out) > head[1] + head[2] + 4:
+            raise Bad("the member's length is wrong")
+    used -= len(z.unused_data)
+    headers, start, length = head or parse(out)
     if len(out) != start + length + 4:
         raise Bad("the member's length is wrong")
     return headers, checked(bytes(out), headers, start, length), used
@@ -174,8 +192,7 @@ def at_member(tape: Tape) -> tuple[dict[str, str], bytes, int]:
 
 def at_line(tape: Tape) -> tuple[dict[str, str], bytes, int]:
     """The record in plain bytes at the tape's place."""
-    tape.need(1 << 16)
-    headers, start, length = parse(tape.held)
+    headers, start, length = parse(tape.held, tape.need)
     whole = start + length + 4
     if tape.at + whole > tape.size or tape.need(whole) < whole:
         raise Bad("the record is cut or its length is wrong")
@@ -225,14 +242,15 @@ def _read(archives: DataFrame, kind: str, rows_of, schema: str) -> DataFrame:
         for batch in batches:
             for uri, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 store, path = fs.FileSystem.from_uri(uri)
-                rows = []
+                rows, held = [], 0
                 with store.open_input_stream(path, compression=None) as stream:
                     for found, *rest in salvage(stream, size):
                         if found == kind:
                             rows.append((uri, *rows_of(*rest)))
-                        if len(rows) >= 1000:
+                            held += sum(len(x) for x in rows[-1] if isinstance(x, (str, bytes))) + 200
+                        if held >= FLUSH_BYTES:
                             yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
-                            rows = []
+                            rows, held = [], 0
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
 
