@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,43 +33,98 @@ class Pattern:
     items: tuple[tuple[int, int], ...]
 
 
+def best_pair(lengths: list[int], spare: dict[int, int], room: int) -> int:
+    """The most that two pieces of different or equal lengths fill of room; 0 if no two fit. spare (length: pieces)."""
+    lengths = [x for x in lengths[: bisect.bisect_right(lengths, room)] if spare[x]]
+    best, low, high = 0, 0, len(lengths) - 1
+    while low <= high:
+        both = lengths[low] + lengths[high]
+        if both > room:
+            high -= 1
+            continue
+        if low < high or spare[lengths[low]] > 1:
+            best = max(best, both)
+        low += 1
+    return best
+
+
+def largest(lengths: list[int], spare: dict[int, int], room: int) -> int:
+    """The longest piece that room holds; 0 if none does."""
+    at = bisect.bisect_right(lengths, room) - 1
+    while at >= 0 and not spare[lengths[at]]:
+        at -= 1
+    return lengths[at] if at >= 0 else 0
+
+
+def smallest(lengths: list[int], spare: dict[int, int], n: int, above: int = 0) -> list[int]:
+    """The n shortest pieces longer than `above`, fewer if there are no more."""
+    found: list[int] = []
+    for at in range(bisect.bisect_right(lengths, above), len(lengths)):
+        found += [lengths[at]] * min(spare[lengths[at]], n - len(found))
+        if len(found) == n:
+            break
+    return found
+
+
+def dominating(lengths: list[int], left: dict[int, int], size: int, capacity: int) -> tuple[int, ...] | None:
+    """A set with one piece of length size that dominates every other such set: whatever shares a sequence with the piece
+    can be exchanged for the set's pieces without making any sequence too long. None if it can't be told.
+
+    At most one more piece fits: the longest that does. A piece that fills the room exactly can't be bettered. At most two
+    more fit: the longest single piece if it is as long as any two together; or that piece and the longest beside it,
+    if no two pieces longer than the latter fit, for then every other pair has its longer and its shorter piece there.
+    """
+    room, spare = capacity - size, left | {size: left[size] - 1}
+    low = smallest(lengths, spare, 3)
+    if not low or low[0] > room:
+        return (size,)
+    one = largest(lengths, spare, room)
+    if one == room or len(low) < 2 or low[0] + low[1] > room:
+        return size, one
+    if len(low) == 3 and sum(low) <= room:
+        return None
+    if one >= best_pair(lengths, spare, room):
+        return size, one
+    beside = largest(lengths, spare | {one: spare[one] - 1}, room - one)
+    above = smallest(lengths, spare, 2, beside)
+    return (size, one, beside) if beside and (len(above) < 2 or sum(above) > room) else None
+
+
 def dominate(left: dict[int, int], capacity: int) -> list[Pattern]:
-    """Fixes, from the longest piece down, the sets that dominate every other set with that piece, as long as there are any.
+    """Fixes dominating sets, from the longest piece down, past lengths that have none and again as long as any is found.
 
-    With r free places beside the piece: nothing fits - it stands alone; a piece of length r fits exactly - no set
-    can be better than the two; no two of the shortest fit together - the longest that fits is as good as any.
-    left (length: pieces) loses what is fixed.
+    A set stays dominating while its pieces last, so all pieces of the same lengths are fixed at once. left (length:
+    pieces) loses what is fixed.
     """
-    fixed, lengths = [], sorted(left)
-    while lengths:
-        size, done = lengths[-1], True
-        r = capacity - size
-        shortest = lengths[0]
-        only_one = left[shortest] == 1 and size == shortest
-        if shortest > r or only_one:
-            fixed.append(Pattern(left[size], ((size, 1),)))
-            left[size] = 0
-        else:
-            partner = lengths[bisect.bisect_right(lengths, r) - 1]
-            two = 2 * shortest if left[shortest] > 1 else shortest + (lengths[1] if len(lengths) > 1 else capacity)
-            if partner != r and two <= r:
-                done = False
-            elif partner == size:
-                n, odd = divmod(left[size], 2)
-                fixed += [Pattern(n, ((size, 2),))] * (n > 0)
-                left[size] = odd
-                done = n > 0
-            else:
-                n = min(left[size], left[partner])
-                fixed.append(Pattern(n, ((size, 1), (partner, 1))))
-                left[size] -= n
-                left[partner] -= n
-        if not done:
-            break
-        lengths = [x for x in lengths if left[x]]
+    fixed: list[Pattern] = []
+    lengths, again = sorted(x for x in left if left[x]), True
+    while again:
+        again = False
+        for size in reversed(lengths.copy()):
+            while left[size] and (found := dominating(lengths, left, size, capacity)):
+                items = Counter(found)
+                n = min(left[x] // k for x, k in items.items())
+                fixed.append(Pattern(n, tuple(items.items())))
+                for x, k in items.items():
+                    left[x] -= n * k
+                    if not left[x]:
+                        del lengths[bisect.bisect_left(lengths, x)]
+                again = True
     return fixed
 
 
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Martello and Toth's L2: no packing has fewer sequences."""
+    best, sizes = 0, sorted(histogram)
+    for least in [0, *(x for x in sizes if 2 * x <= capacity)]:
+        alone = sum(n for x, n in histogram.items() if x > capacity - least)
+        large = {x: n for x, n in histogram.items() if 2 * x > capacity and x <= capacity - least}
+        small = sum(x * n for x, n in histogram.items() if least <= x and 2 * x <= capacity)
+        free = sum((capacity - x) * n for x, n in large.items())
+        best = max(best, alone + sum(large.values()) + max(0, -(-(small - free) // capacity)))
+    return best
+
+
 def best_fit(left: dict[int, int], capacity: int) -> list[Pattern]:
     """Best fit, longest first, on whole groups of equally filled sequences: free places -> groups with that much room."""
     room: dict[int, list[Pattern]] = {}
