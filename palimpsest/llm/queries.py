@@ -9,10 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import chat, classifier, decontamination, packing, pii, quality, sharding, simhash, tokens, warc
 
 
-#: The key of the registered queries. Users pass their own secret.
-PII_KEY = b"registered queries only"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,7 +39,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY, count_col="pseudonyms")
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.session_key(spark), count_col="pseudonyms")
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
