@@ -11,76 +11,84 @@ cleaned() unread, whatever their names.
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import filter_of, fresh, may_have, written
+from palimpsest.llm.tokens import BASE, INVERSE, powers
 
 SEED, COVERAGE = 5, 0.6
 BROADCAST_BYTES = 16 << 20  # of benchmark text; beyond, seeds are joined by a shuffle
 WORD = re.compile(r"\w+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def rolling(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes, modulo 2 ** 64, of all windows of size ids."""
+    """Karp-Rabin hashes, modulo 2 ** 64, of all windows of size ids, from the hashes of what comes before them: the cost
+    doesn't follow size."""
     n = len(ids) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    values = (ids + 2).astype(np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = out * BASE + values[k : k + n]
-    return out
+    upto = np.concatenate((np.zeros(1, np.uint64), np.cumsum((ids + 2).astype(np.uint64) * powers(BASE, len(ids)), dtype=np.uint64)))
+    return (upto[size:] - upto[:n]) * powers(INVERSE, n)
+
+
+def shared_runs(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, size: int) -> list[tuple[int, int, int]]:
+    """(-length, place in doc, place in item) of all runs of size or more words that both have, free, and that can't be made longer."""
+    if len(item) < size or len(doc) < size:
+        return []
+    upto = lambda free: np.concatenate(([0], np.cumsum(free)))
+    whole = lambda free: upto(free)[size:] - upto(free)[:-size] == size
+    heads: dict[int, list[int]] = {}
+    hashes, scan = rolling(item, size), rolling(doc, size)
+    for j in np.flatnonzero(whole(free_item)).tolist():
+        heads.setdefault(int(hashes[j]), []).append(j)
+    hits = np.flatnonzero(np.isin(scan, np.fromiter(heads, np.uint64, len(heads)))) if heads else np.zeros(0, int)
+    hits = hits[whole(free_doc)[hits]]
+    found, done_to = [], {}
+    for i in hits.tolist():
+        for j in heads[int(scan[i])]:
+            if done_to.get(i - j, -1) >= i or not (doc[i : i + size] == item[j : j + size]).all():
+                continue
+            k = size
+            while i + k < len(doc) and j + k < len(item) and free_doc[i + k] and free_item[j + k] and doc[i + k] == item[j + k]:
+                k += 1
+            done_to[i - j] = i + k - size
+            found.append((-k, i, j))
+    return found
 
 
 def tile(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiles (length, place in doc, place in item). Ids below 0 match nothing.
 
-    Windows of one size are found by their rolling hashes, compared and extended; the longest are marked first, and what
-    is marked takes no further part. The size starts at the item's length and halves, down to least; a longer match than
-    twice the size starts again from its length.
+    At each step the longest run of free words that both have is marked, the first in doc, then in item, of equals; what is
+    marked takes no further part. Runs are found by rolling hashes of windows, whose size halves from the item's length to
+    least; a run of which a part is marked meanwhile goes back in the queue with its free parts.
     """
     free_doc, free_item = doc >= 0, np.ones(len(item), bool)
     tiles, size = [], max(least, len(item))
     while True:
-        heads: dict[int, list[int]] = {}
-        open_item = np.convolve(free_item, np.ones(size, int), "valid") == size if len(item) >= size else np.zeros(0, bool)
-        open_doc = np.convolve(free_doc, np.ones(size, int), "valid") == size if len(doc) >= size else np.zeros(0, bool)
-        hashes = rolling(item, size)
-        for j in np.flatnonzero(open_item).tolist():
-            heads.setdefault(int(hashes[j]), []).append(j)
-        scan = rolling(doc, size)
-        hits = np.flatnonzero(open_doc & np.isin(scan, np.fromiter(heads, np.uint64, len(heads)))) if heads and len(scan) else np.zeros(0, int)
-        matches, longest, done_to = [], 0, {}
-        for i in hits.tolist():
-            for j in heads[int(scan[i])]:
-                if done_to.get(i - j, -1) >= i or not (doc[i : i + size] == item[j : j + size]).all():
-                    continue
-                k = size
-                while i + k < len(doc) and j + k < len(item) and free_doc[i + k] and free_item[j + k] and doc[i + k] == item[j + k]:
-                    k += 1
-                done_to[i - j] = i + k - size
-                matches.append((k, i, j))
-                longest = max(longest, k)
-        if longest > 2 * size:
-            size = longest
-            continue
-        again = False
-        for k, i, j in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            if free_doc[i : i + k].all() and free_item[j : j + k].all():
-                free_doc[i : i + k] = False
-                free_item[j : j + k] = False
-                tiles.append((k, i, j))
-            else:
-                again = True  # a part of it may still be free
-        if again:
-            continue
+        queue = shared_runs(doc, item, free_doc, free_item, size)
+        heapq.heapify(queue)
+        while queue:
+            low, i, j = heapq.heappop(queue)
+            free = free_doc[i : i - low] & free_item[j : j - low]
+            if free.all():
+                free_doc[i : i - low] = free_item[j : j - low] = False
+                tiles.append((-low, i, j))
+                continue
+            edges = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])))).reshape(-1, 2)
+            for a, b in edges.tolist():
+                if b - a >= size:
+                    heapq.heappush(queue, (a - b, i + a, j + a))
         if size == least:
             return tiles
         size = max(least, size // 2)
@@ -106,7 +114,7 @@ class Items:
             found.sort()
             self.seeds[size] = (np.array([h for h, _, _ in found], np.uint64), np.array([i for _, i, _ in found]), np.array([a for _, _, a in found]))
 
-    def of(self, text: str, threshold: float, only: set | None = None) -> list[tuple]:
+    def of(self, text: str, threshold: float) -> list[tuple]:
         """(item_id, coverage, tiles, longest tile, item words) of each item that the text leaks."""
         get = self.vocabulary.get
         doc = np.array([get(w, -1) for w in WORD.findall(text.lower())], np.int64)
@@ -121,7 +129,7 @@ class Items:
         for item in sorted(covered):
             item_id, ids, size = self.items[item]
             # Tiles cover nothing that no seed covers, so this bound loses nothing.
-            if covered[item].mean() < threshold or only is not None and item_id not in only:
+            if covered[item].mean() < threshold:
                 continue
             tiles = tile(doc, ids, size)
             share = sum(k for k, _, _ in tiles) / len(ids)
@@ -162,57 +170,59 @@ def arrow_schema(kinds: str) -> pa.Schema:
     return pa.schema([(c.split()[0], known[c.split()[1]]) for c in kinds.split(", ")])
 
 
-def matches_by_join(read: DataFrame, items: DataFrame, threshold: float, kinds: str) -> DataFrame:
-    """For benchmarks of any size: seeds of items and documents meet in a shuffle, then each pair is tiled by itself."""
-
-    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def seeds_of(rows: DataFrame, key: str, text: str, sizes: list[int] | None, asked: Broadcast | None = None) -> DataFrame:
+    """Rows (key, seed, places, size, words): the hashes of a text's runs of words of the given sizes (None: of the
+    smaller of SEED and the text's length), each with how often it occurs, and the text's words. asked: a filter over seeds."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, hashes = [], []
-            for row, text in enumerate(batch.column(0)):
-                words = WORD.findall((text.as_py() or "").lower())
-                for size in range(1, SEED + 1):
-                    for w in {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)}:
-                        kept.append(row)
-                        hashes.append(xxhash.xxh64_intdigest(w) - (1 << 63))
-            yield pa.record_batch([*(c.take(pa.array(kept, pa.int64())) for c in batch.columns[1:]), pa.array(hashes, pa.int64())], names=[*batch.schema.names[1:], "seed"])
-
-    def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+            out: list[tuple] = []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = WORD.findall((t.as_py() or "").lower())
+                for size in sizes or ([min(SEED, len(words))] if words else []):
+                    found = Counter(xxhash.xxh64_intdigest(" ".join(words[i : i + size]), size) - (1 << 63) for i in range(len(words) - size + 1))
+                    out += [(k, h, n, size, len(words)) for h, n in found.items()]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+            made = pa.record_batch(columns, ["key", "seed", "places", "size", "words"])
+            yield made if asked is None else made.filter(pa.array(may_have(asked.value, made.column(1).to_numpy()) == 1))
 
-        for batch in batches:
-            kept, hashes = [], []
-            for row, text in enumerate(batch.column(0)):
-                words = WORD.findall((text.as_py() or "").lower())
-                size = min(SEED, len(words))
-                for w in {" ".join(words[i : i + size]) for i in range(len(words) - size + 1)} if size else ():
-                    kept.append(row)
-                    hashes.append(xxhash.xxh64_intdigest(w) - (1 << 63))
-            yield pa.record_batch([*(c.take(pa.array(kept, pa.int64())) for c in batch.columns[1:]), pa.array(hashes, pa.int64())], names=[*batch.schema.names[1:], "seed"])
-
-    id_kind, item_kind = read.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
-    keyed_items = items.withColumn("item_key", F.xxhash64("item_text"))
-    of_docs = read.select("text", "doc_id", "text_key").mapInArrow(seeds, f"doc_id {id_kind}, text_key long, seed long")
-    of_items = keyed_items.select("item_text", "item_id", "item_key").mapInArrow(item_seeds, f"item_id {item_kind}, item_key long, seed long")
-    pairs = written(of_docs.join(of_items, "seed").select("doc_id", "text_key", "item_id", "item_key").distinct(), "seeded")
-    p, d, i = pairs.alias("p"), read.distinct().alias("d"), keyed_items.distinct().alias("i")
-    with_item = p.join(i, F.col("p.item_id").eqNullSafe(F.col("i.item_id")) & (F.col("p.item_key") == F.col("i.item_key"))).select("p.doc_id", "p.text_key", "p.item_id", "i.item_text").alias("w")
-    full = with_item.join(d, F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.text_key") == F.col("d.text_key"))).select("w.doc_id", "w.text_key", "w.item_id", "w.item_text", "d.text")
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, seed long, places int, size int, words int")
+
+
+def matches_by_join(read: DataFrame, items: DataFrame, threshold: float, kinds: str) -> DataFrame:
+    """For benchmarks of any size: seeds of distinct texts and items meet in a shuffle; pairs whose shared seeds can't cover
+    enough of the item go; each other pair is tiled once. Then every row with the text meets every item with the other."""
+    keyed = items.withColumn("item_key", F.xxhash64("item_text"))
+    of_items = written(seeds_of(keyed.dropDuplicates(["item_key"]), "item_key", "item_text", None), "item-seeds").withColumnRenamed("key", "item_key")
+    sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect())  # SEED at most
+    asked = filter_of(of_items.select(F.col("seed").alias("fp")))
+    of_docs = seeds_of(read, "text_key", "text", sizes, asked).select(F.col("key").alias("text_key"), "seed", "size").distinct() if sizes else None
     schema = arrow_schema(kinds)
+    if of_docs is None:
+        return read.sparkSession.createDataFrame([], kinds)
+    covers = F.sum("places") * F.first("size") >= F.lit(threshold) * F.first("words")
+    pairs = of_docs.join(of_items, ["seed", "size"]).groupBy("text_key", "item_key").agg(covers.alias("may")).where("may").select("text_key", "item_key")
+    pairs = written(pairs, "seeded")
+    texts = read.join(pairs.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", "text")
+    full = pairs.join(keyed.dropDuplicates(["item_key"]).select("item_key", "item_text"), "item_key").join(texts, "text_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, key, item_id, item_text, text in zip(*(c.to_pylist() for c in batch.columns)):
-                rows += [(doc_id, key, *found) for found in Items([(item_id, item_text)]).of(text, threshold)]
+            for key, item_key, item_text, text in zip(*(c.to_pylist() for c in batch.columns)):
+                rows += [(key, item_key, *found[1:]) for found in Items([(0, item_text)]).of(text, threshold)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                fields = [pa.field("text_key", pa.int64()), pa.field("item_key", pa.int64()), *list(schema)[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=pa.schema(fields))
 
-    return full.mapInArrow(run, kinds)
+    tiled = full.select("text_key", "item_key", "item_text", "text").mapInArrow(run, f"text_key long, item_key long, {FOUND}")
+    tiled = written(tiled, "tiled")
+    named = tiled.join(keyed.select("item_id", "item_key"), "item_key").join(read.select("doc_id", "text_key"), "text_key")
+    return named.select(*schema.names)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that leak no item, with all their columns. The leaks are few beside the corpus; Spark picks the anti join by their size."""
-    leaks = written(matches(docs, benchmark, threshold, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct(), "leaks")
-    return docs.join(leaks, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__key")), "left_anti")
+    leaking, key = fresh(docs, "leaking"), fresh(docs, "leaking_text")
+    leaks = matches(docs, benchmark, threshold, id_col, text_col).select(F.col("doc_id").alias(leaking), F.col("text_key").alias(key)).distinct()
+    return docs.join(written(leaks, "leaks"), docs[id_col].eqNullSafe(F.col(leaking)) & (F.xxhash64(docs[text_col]) == F.col(key)), "left_anti")
