@@ -8,7 +8,8 @@ are written \\n, and backslashes \\-.
 A segment is the part of a conversation that no conversation before it (in the order of the prefixes' hashes) has: one
 run of the tree's stream. Its text starts at position position_start of the conversation and at `start` of the stream;
 tokens attend to `ancestors` (runs of the stream, in the conversation's order) and to what precedes them in the segment.
-All numbers count characters; a tokenizer that treats control strings as tokens cuts at the same places.
+All numbers count characters, not tokens: a tokenizer that treats control strings as tokens cuts at the same places, and
+its own counts of a segment's pieces take the characters' place.
 
 Edge cases: a null role or text is empty; turns that repeat a number are ordered by role and text and all kept; rows of
 a null conv_id are one conversation; a null turn comes first; an empty table gives empty tables. Other columns are not read.
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import written
+from palimpsest.llm.shared import hot_join, written
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 LEARNED = "assistant"
@@ -98,7 +99,8 @@ def prefix_trees(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.posexplode(F.transform("chain", lambda h, i: F.struct(h.alias("node"), total(F.slice("lengths", F.lit(1), i)).alias("at"), F.get("lengths", i).alias("size"))))
     turns = laid.select("segment_id", "start", "position_start", "shared", place.alias("i", "t")).select("segment_id", "start", "position_start", "shared", "i", "t.*")
     owned = turns.where("i >= shared").select("node", F.col("segment_id").alias("owner"), (F.col("start") - F.col("position_start")).alias("shift"))
-    runs = turns.where("i < shared").join(owned, "node").groupBy("segment_id", "owner").agg(F.min("at").alias("position"), F.max(F.col("at") + F.col("size")).alias("to"), F.first("shift").alias("shift"))
+    owned, above = written(owned, "owned"), written(turns.where("i < shared"), "above")  # a common first turn is a hot node
+    runs = hot_join(above.select("segment_id", "node", "at", "size"), owned, "node").groupBy("segment_id", "owner").agg(F.min("at").alias("position"), F.max(F.col("at") + F.col("size")).alias("to"), F.first("shift").alias("shift"))
     run = F.struct("position", F.col("owner").alias("segment_id"), (F.col("position") + F.col("shift")).alias("start"), (F.col("to") + F.col("shift")).alias("end"))
     attended = runs.groupBy("segment_id").agg(F.array_sort(F.collect_list(run)).alias("ancestors"))
     kind = attended.schema["ancestors"].dataType
@@ -109,7 +111,8 @@ def prefix_trees(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def whole(segments: DataFrame) -> DataFrame:
     """Rows (segment_id, text, loss) of whole conversations, put together from each segment's ancestors and itself."""
     owner = segments.select(F.col("segment_id").alias("o"), F.col("text").alias("from"), F.col("position_start").alias("p0"), F.col("loss").alias("l"))
-    above = segments.select("segment_id", F.explode("ancestors").alias("a")).join(owner, F.col("a.segment_id") == F.col("o"))
+    above = written(segments.select("segment_id", F.explode("ancestors").alias("a")).withColumn("o", F.col("a.segment_id")), "attended")
+    above = hot_join(above, owner, "o")
     size = F.col("a.end") - F.col("a.start")
     ends = F.col("a.position") + size
     piece = F.substring("from", (F.col("a.position") - F.col("p0") + 1).cast("int"), size.cast("int"))

@@ -142,10 +142,15 @@ def held_out(doc_id: Column) -> Column:
 def classified(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MOST_ROWS, **settings) -> DataFrame:
     """Rows (doc_id, held_out, score, predicted) of all documents. settings: fit()'s."""
     known = written(described(docs, id_col, text_col), "features")
-    told = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__y is not null")
-    joined = known.join(told, known["doc_id"] == F.col("__id")).where(~held_out(F.col("doc_id")))
-    sample = joined.select("features", "__y", F.xxhash64("doc_id").alias("o"), "doc_id").orderBy("o", "doc_id", "__y").limit(most).toPandas()
-    model = fit(np.array(sample["features"].tolist(), float).reshape(-1, len(FEATURES)), sample["__y"].to_numpy(float), **settings)
+    told = labels.select(F.col(id_col).alias("labelled"), F.col(label_col).cast("int").alias("y")).where("y is not null")
+    joined = known.join(told, known["doc_id"] == F.col("labelled")).where(~held_out(F.col("doc_id")))
+    ordered = joined.select("features", "y", F.xxhash64("doc_id").alias("o"), "doc_id")
+    total = ordered.count()
+    if total > 2 * most:  # a hash below this sends the sample and a margin, not 'most' rows of each task
+        upto = int((1.5 * most / total) * (1 << 64)) - (1 << 63)
+        ordered = ordered.where(F.col("o") <= upto)
+    sample = ordered.orderBy("o", "doc_id", "y").limit(most).toPandas()
+    model = fit(np.array(sample["features"].tolist(), float).reshape(-1, len(FEATURES)), sample["y"].to_numpy(float), **settings)
     held = docs.sparkSession.sparkContext.broadcast(model)  # its size follows the number of trees
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import before, ranked, written
+from palimpsest.llm.shared import before, hot_join, ranked, written
 
 OVERHEAD = 16  # bytes that each document adds to its text's
 SHARE = 50
@@ -97,11 +97,13 @@ def shards(docs: DataFrame, n_shards: int = 40, rounds: int = 4, id_col: str = "
     linked = cells.groupBy("g").agg(F.sum("n").alias("all")).where("all > 1").select("g")
     cells = propagated(written(cells.join(linked, "g"), "cells"), quotas(total, n_shards), rounds)
     spans = cells.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("spans"))  # n_shards entries at most
-    known = rows.join(spans, "g", "left").select(*rows.columns, "spans")
-    members = ranked(written(known.where("spans is not null"), "members"), ["g"], ["doc_id", "text_crc32", "size"], "r")
+    spans = written(spans, "spans")
+    alone = rows.join(spans.select("g"), "g", "left_anti")
+    members = hot_join(written(rows.join(spans.select("g"), "g", "left_semi"), "linked"), spans, "g").select(*rows.columns, "spans")
+    members = ranked(written(members, "members"), ["g"], ["doc_id", "text_crc32", "size"], "r")
     upto = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit(-1).alias("s")), lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.when((a["s"] < 0) & (F.col("r") < a["at"] + x["n"]), x["shard"]).otherwise(a["s"]).alias("s")), lambda a: a["s"])
     placed = members.withColumn("shard", upto).select("doc_id", "size", "text_crc32", "shard", F.lit(1).alias("linked"))
-    placed = written(placed.unionByName(known.where("spans is null").select("doc_id", "size", "text_crc32", "shard", F.lit(0).alias("linked"))), "placed")
+    placed = written(placed.unionByName(alone.select("doc_id", "size", "text_crc32", "shard", F.lit(0).alias("linked"))), "placed")
     return repaired(placed, total, n_shards)
 
 
