@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-#: Area -> (term, weight). The order of areas settles ties.
+#: Area -> (term, weight). The order of areas settles ties.
 AREAS: dict[str, tuple[tuple[str, float], ...]] = {
     "contratos": (
         ("mandato", 1.0), ("arrendamiento", 1.0), ("precio", 1.0), ("sociedad", 1.0), ("socio", 1.0), ("mandatario", 1.0),
@@ -38,6 +38,7 @@ AREAS: dict[str, tuple[tuple[str, float], ...]] = {
 }
 AREA_THRESHOLD = 1.0
 
+#: Type of document -> (term, weight).
 TYPES: dict[str, tuple[tuple[str, float], ...]] = {
     "compraventa": (
         ("compraventa", 2.0), ("vendedor", 2.0), ("comprador", 2.0), ("precio de venta", 1.0), ("transferencia", 1.0), ("tradicion", 1.0),
@@ -59,16 +60,27 @@ TYPES: dict[str, tuple[tuple[str, float], ...]] = {
 TYPE_THRESHOLD = 3.0
 OTHER_TYPE = "otro"
 
-#: First and last article -> area; numbers outside have none.
+#: First and last article -> area; numbers outside have none.
 ARTICLE_AREAS = (
     (74, 290, "derechos_reales"), (291, 449, "obligaciones"), (450, 954, "contratos"), (955, 983, "obligaciones"),
     (984, 999, "responsabilidad_civil"), (1000, 1278, "sucesiones"),
 )
 
-#: Pattern over the folded question -> concepts.
+#: Pattern over the folded question -> concepts.
 EXPANSIONS = (
     (r"\bresponsabilidad\s+contractual\b", "responsabilidad contractual incumplimiento obligacion deudor mora resarcimiento dano perjuicios cumplimiento"),
     (r"\b(?:alquil\w*|arrend\w*|inquilin\w*|locatari\w*)\b", "arrendamiento arrendatario arrendador locacion"),
+    (
+        r"\b(?:alquil\w*|arrend\w*|inquilin\w*)\b.{0,400}\b(?:vend\w*|venta|enajen\w*|transferir|nuevo dueno|nuevo propietario)\b"
+        r"|\b(?:vend\w*|venta|enajen\w*)\b.{0,400}\b(?:alquil\w*|arrend\w*|inquilin\w*)\b",
+        "enajenacion cosa arrendada adquirente respetar arrendamiento",
+    ),
+    (
+        r"\b(?:alquil\w*|arrend\w*|inquilin\w*)\b.{0,400}\b(?:termin\w*|desocup\w*|desaloj\w*|echar|irme|devolver el inmueble|resolver el contrato)\b"
+        r"|\b(?:termin\w*|desocup\w*|desaloj\w*)\b.{0,400}\b(?:alquil\w*|arrend\w*|inquilin\w*)\b",
+        "extincion arrendamiento vencimiento plazo desahucio restitucion",
+    ),
+    (r"\b(?:alquil\w*|arrend\w*|inquilin\w*)\b.{0,400}\b(?:un ano|dos anos|plazo|duracion|por un|contrato por)\b", "duracion arrendamiento plazo termino convenido"),
     (r"\b(?:compre|compraventa|comprador|vendedor)\b", "venta vendedor comprador obligaciones entrega transferencia"),
     (r"\bsin\s+testamento\b", "sucesion legal herencia"),
     (r"\b(?:padre|madre|papa|mama)\b.{0,50}\b(?:fallecio|murio)\b", "sucesion hijos descendientes"),
@@ -80,7 +92,7 @@ EXPANSIONS = (
     (r"\bservidumbre\b", "servidumbre paso ejercicio"),
 )
 
-#: Intents of a request: save, analyse, about the law, about the document. Over the folded text.
+#: Intents of a request: save, analyse, about the law, about the document. Over the folded text.
 SAVE = (r"\bguard", r"\bsolo\s+(?:lo\s+)?sub", r"\bsubilo\b", r"\balmacen")
 ANALYSE = (r"\banaliz", r"\brevisa(?:lo|me|r)?\s+(?:el|este|mi)\b", r"\bhace\s+el\s+analisis\b", r"\bdetecta\s+(?:los\s+)?riesgos\b")
 LAW = (
@@ -93,7 +105,7 @@ DOCUMENT = (
     r"\bdel\s+(?:documento|contrato)\b", r"\ben\s+el\s+(?:documento|contrato)\b",
 )
 
-#: Patterns of what is extracted from documents, with their offsets (case doesn't matter).
+#: Patterns of what is extracted from documents, with their offsets (case doesn't matter).
 ENTITIES = {
     "monto_bs": (r"\bBs\.?\s*(?:\d{1,3}(?:[.,]\d{3})*|\d+)(?:[.,]\d{2})?\b",),
     "monto_usd": (r"(?:\$us\.?|USD|US\$)\s*(?:\d{1,3}(?:[.,]\d{3})*|\d+)(?:[.,]\d{2})?\b",),
@@ -105,6 +117,7 @@ ENTITIES = {
     "nit": (r"\bNIT\s*\d{8,15}\b",),
     "plazo": (r"\b(?:\d+|un|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|once|doce|quince|veinte|treinta|cuarenta|cincuenta|sesenta|noventa|cien)(?:\s*\(\d+\))?\s+(?:d[ií]as?|mes(?:es)?|a[nñ]os?)\b",),
 }
+#: How the parties are introduced, and the ordinals of clauses.
 PARTIES = r"\b(?:conste\s+por\s+el\s+presente|intervienen|suscriben|(?:que\s+)?celebran|(?:de|por)\s+una\s+parte)\b"
 ORDINALS = ("primera", "segunda", "tercera", "cuarta", "quinta", "sexta", "septima", "octava", "novena", "decima", "undecima", "duodecima", "vigesima")
 
@@ -160,3 +173,134 @@ TIME_UNITS = r"\b(?:dia|dias|semana|semanas|mes|meses|ano|anos|trimestre|semestr
 CURRENCY = r"\bbs\b|bs\.|boliviano|\$|\bus\b|\bsus\b|usd|dolar|euro"
 SHORT_WORDS = ("de", "del", "la", "las", "el", "los", "y", "en", "san", "santa")
 AMOUNT_FIELDS, TERM_FIELDS = ("monto", "precio", "canon"), ("plazo", "plazo_devolucion")
+
+#: What names an authority outside the sources, over the text as it is.
+AUTHORITIES = (
+    r"(?i)\bConstituci[oó]n\s+Pol[ií]tica(?:\s+del\s+Estado)?\b",
+    r"\bCPE\b",
+    r"(?i)\b(?:art[íi]culo|art\.?|arts?\.?)\s*\d+\s+(?:de\s+la\s+Constituci[oó]n|constitucional)\b",
+    r"(?i)\b(?:seg[uú]n|conforme\s+a|de\s+acuerdo\s+con|surge\s+de|(?:proviene|deriva|emana)\s+de|se\s+(?:basa|fundamenta)\s+en)\s+la\s+Constituci[oó]n\b",
+    r"(?i)\b(?:ley|leyes)\s+(?:n[°ºo.]?\s*\d+|n[uú]mero\s+\d+)",
+    r"\bLey(?:es)?\s+de\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]+",
+    r"\bLey(?:es)?\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]*",
+    r"(?i)\b(?:decreto|reglamento)\s+(?:(?:supremo|ley)\s+)?(?:n[°ºo.]?\s*\d+|n[uú]mero\s+\d+)",
+    r"\b(?:Decreto|Reglamento)\s+(?:Supremo|Ley|[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]*)\b",
+    r"(?i)\b(?:Sentencia|Auto\s+Supremo)\s+(?:n[°ºo.]?\s*)?\d+(?:/\d+)?\b",
+    r"(?i)\b(?:seg[uú]n|conforme\s+a)\s+la\s+jurisprudencia\b",
+)
+#: A reference to articles with its whole enumeration; numbers; names of codes; internal marks; amounts and shares.
+ARTICLES = r"(?i)\b(?:art[íi]culos?|arts?\.?)\s*(?:n[°ºo.]?\s*)?(\d+(?:\s*(?:,|y|e)\s*\d+)*)"
+NUMBERS = r"\b\d+(?:[.,/]\d+)*\b"
+CODES = (
+    r"(?i)\bc[oó]digo\s+(?:civil|penal|comercial|de\s+comercio|de\s+familia|procesal\s+\w+|de\s+procedimiento\s+\w+)(?:\s+boliviano)?\b",
+    r"\bC[oó]digo\s+(?:[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]*|de\s+[A-ZÁÉÍÓÚÑ][\wÁÉÍÓÚÑáéíóúñ]*)\b",
+)
+INTERNAL_MARK = r"\bF[1-9][0-9]*(?:C[1-9][0-9]*)?\b"
+STATUS_CLAIM = r"(?i)\b(?:vigente|derogado|derogada|garantizado|garantizada)\b|<\s*/?think"
+AMOUNT = r"(?i)(?:\bbs\.?|\$us|\$|\busd|\bus\$)\s*\d+(?:[.,]\d+)*|\d+(?:[.,]\d+)*\s*(?:bolivianos|d[oó]lares)"
+PERCENT = r"\d+(?:[.,]\d+)*\s*%"
+
+#: Labels of figures, by what stands before and behind them, over the folded text.
+AMOUNT_LABELS = (
+    ("saldo_pendiente", r"saldo|restant|pendient", r"restant|pendient|de saldo"),
+    ("anticipo", r"anticipo", r"de anticipo"),
+    ("gasto_adicional", r"gasto|reparacion|reparar", r"gastad|para reparar|de gasto"),
+    ("precio_total", r"precio total|valor total|contrato.{0,30}por|obra.{0,20}por", None),
+)
+PERCENT_LABELS = (("tope_contractual", r"tope|maximo", r"tope|maximo"), ("penalidad_diaria", r"penalidad|clausula penal|pena diaria", r"diari|por (?:cada )?dia"))
+
+#: Limitations that declare something missing, those that never say anything, and words that name nothing.
+MISSING_CLAIM = (
+    r"(?i)(?:no\s+(?:se\s+)?(?:conoce|consta|indica|menciona|precisa|especifica|aclara|informa|sabe|detalla|dispone\s+de|cuenta\s+con)|se\s+desconoce|falta(?:n)?\s+(?:datos?|informaci[oó]n)"
+    r"|no\s+hay\s+(?:informaci[oó]n|datos?)|no\s+surge|no\s+fue\s+(?:aportad|precisad|indicad)|sin\s+informaci[oó]n\s+sobre)"
+)
+EMPTY_CLAIM = r"(?i)no se (?:menciona|indica|especifica) en (?:las )?fuentes c[oó]mo|no se sabe c[oó]mo se aplica (?:esta|la) norma"
+EMPTY_WORDS = (
+    "que los las del con por para una uno sus esta este esa ese cual cuales sobre entre sido son hay algun alguna ningun ninguna tampoco tambien exacta exacto "
+    "concreta concreto detalle detalles respecto cuanto cuando existe existen existia existio hubo haya habia tiene tienen tuvo fue fueron sea sean estan estuvo "
+    "consta indica menciona precisa especifica aclara informa establece incluye contiene senala define aporta presento acordo acordaron pacto pactaron corresponde aplica"
+).split()
+
+#: Requests that no source can ground; conclusions that need a reservation: theme, claim, reservation.
+UNGROUNDABLE = r"invent\w*\s+(?:un\s+)?articulo|ignor\w*\s+(?:todas?\s+)?(?:las?\s+)?(?:fuentes|instrucciones)|responde\s+segun\s+lo\s+que\s+sab"
+RESERVED = (
+    ("proveedor", r"proveedor.{0,40}no (?:lo )?libera", r"por si solo|sin prueba|debe probar|depende", "conclusion_categorica"),
+    ("acumulacion", r"(?:penalidad|pena).{0,90}(?:acumula|coexiste).{0,90}(?:gasto|dano)", r"depende|sin duplic|distinto|debe analizar", "acumulacion_no_fundada"),
+)
+NO_SOURCE = r"no (?:puedo|es posible|hay|se puede).{0,80}(?:fundament|conclu|fuente)|faltan? (?:fuentes|normas)"
+
+#: A marker of a fact in a draft: role and number.
+FACT_MARKER = r"\{\{([a-z_]+):(H[1-9]\d*|D[1-9]\d*)\}\}"
+WRITTEN_TERM = r"(?i)\b(?:un|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez|once|doce|trece|catorce|quince|veinte|treinta|setenta)\s+(?:d[ií]as?|meses|a[nñ]os?)\b"
+
+#: Narratives, against hypotheses, over the folded text.
+HYPOTHESIS = r"\b(?:que pasa si|que ocurre si|en caso de que|supongamos que)\b"
+NARRATIVE = (
+    r"\b(?:mi|mis|me|nos|nuestro|nuestra|yo)\b.{0,100}\b(?:paga|pago|pague|compre|vendi|debe|deben|incumplio|firmo|firme|entrego|entregue|preste|alquilo|fallecio|reclama|demanda|demando|niega)\b"
+    r"|\b(?:tengo|tenemos)\b.{0,60}\b(?:contrato|deuda|problema)\b|\b(?:compre|pague|vendi|preste|firme|alquile|recibi)\b"
+)
+
+#: When a sentence tells when something begins or ends, and what a question about it looks like.
+BEGINS = (r"\b(?:empieza|comienza|inicia|inicio)\b", r"comienza|inicia|inicio")
+ENDS = (r"\b(?:termina|finaliza|vence|final|vencimiento)\b", r"fecha final|vence|vencimiento|finaliza|termina")
+
+#: Facts of a case by what stands near a figure, a share or a date, over the folded text.
+CASE_AMOUNT, CASE_PERCENT = r"(?i)\bBs\.?\s*[\d.]+(?:,\d+)?", r"\d+(?:[.,]\d+)?\s*%"
+CASE_DATE = r"(?i)\b\d{1,2}\s+de\s+(?:enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre)(?:\s+de\s+\d{4})?\b"
+CASE_TERM = r"(?i)\b(?:\d+|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve|diez)\s+d[ií]as adicionales\b"
+NEAR_AMOUNT = (("saldo_pendiente", r"saldo|restante|pendiente", True), ("anticipo", r"anticipo", True), ("gasto_adicional", r"otra empresa|terminar y reparar|gasto adicional|reparacion", False), ("precio_total", r"contrat|precio|valor total", False))
+NEAR_PERCENT = (("tope_contractual", r"maximo|tope"), ("penalidad_diaria", r""))
+NEAR_DATE = (("fecha_requerimiento", r"comunicacion escrita|requerimiento|intimacion"), ("fecha_abandono", r"abandon"), ("fecha_entrega_pactada", r"debia entregar|entrega.*hasta"), ("fecha_contrato", r"contrate|contrato.*por"))
+
+#: Searches behind each problem of a case: problem, search, its words, patterns that a source must all have, pattern of its heading.
+SEARCHES = (
+    ("pago", "pago", "arrendatario pagar canon plazos convenidos", ("arrendatario", "canon", "paga"), "obligaciones principales"),
+    ("pago", "responsabilidad", "responsabilidad deudor incumplimiento resarcimiento", ("deudor", "no cumple|incumpl", "resarc"), "responsabilidad del deudor"),
+    ("mora", "mora", "constitucion mora intimacion requerimiento deudor", ("deudor", "mora", "requerimiento"), "constitucion en mora"),
+    ("resolucion", "resolucion", "resolucion incumplimiento contratos reciprocas", ("contrato", "resolucion", "reciprocas"), "incumplimiento"),
+    ("resolucion", "resolucion_requerimiento", "resolucion requerimiento nota notarialmente termino", ("notarial", "termino", "contrato"), "resolucion por requerimiento"),
+    ("tercero", "tercero", "subarrendar ceder contrato vivienda arrendatario", ("arrendatario", "subarrend", "vivienda"), "prohibicion de subarrendar"),
+    ("modificaciones", "modificaciones", "arrendatario cosa servirse uso destino diligencia", ("arrendatario", "servirse|uso", "diligencia|destino"), "obligaciones principales"),
+    ("danos", "danos", "resarcimiento dano incumplimiento perdida acreedor ganancia", ("incumplimiento", "perdida", "acreedor"), "resarcimiento del dano"),
+    ("penalidad", "penalidad", "clausula penal resarcimiento convencional retraso", ("clausula penal", "sustituye"), "resarcimiento convencional"),
+    ("penalidad", "pena_excesiva", "disminucion equitativa pena excesiva", ("pena", "excesiva|disminuida"), "disminucion equitativa"),
+    ("penalidad", "pena_limite", "cuantia pena convencional obligacion principal", ("pena convencional", "exceder"), "cuantia de la pena"),
+    ("humedad", "humedad", "arrendada vicios idoneidad uso goce canon", ("arrendada", "vicios", "idoneidad"), "vicios"),
+    ("humedad", "reparaciones", "arrendador mantener cosa reparaciones necesarias", ("arrendador", "reparaciones", "mantener"), "mantenimiento"),
+    ("pruebas", "pruebas", "carga prueba hechos pretension excepcion", ("probar", "pretension", "excepcion"), "carga de la prueba"),
+)
+
+#: Marks of what a request asks of a report.
+ASKS_GROUP = ("agrupa", "agrupá", "distribuci", "desglos", "clasificad")
+ASKS_TOTAL = ("cuant", "promedio", "media de", "suma", "sumá", "total", "contar", "conteo", "maximo", "minimo")
+ASKS_SHOW = (
+    ("torta", ("torta", "circular", "pastel", "pie chart", "dona", "anillo")), ("barras", ("barra", "grafico", "grafica", "chart", "histograma")),
+    ("resumen", ("resumime", "resumi ", "resumilo", "un resumen", "como resumen", "en resumen", "resumen de los resultados")), ("tabla", ("tabla", "listado", "listame", "en filas")),
+)
+ASKS_FILE = (
+    ("xlsx", ("excel", "xlsx", "planilla", "hoja de calculo", "spreadsheet")), ("pptx", ("powerpoint", "power point", "pptx", "diapositiva", "presentacion", "presentación", "ppt")),
+    ("docx", ("word", "docx", "documento de texto")), ("pdf", ("pdf",)),
+)
+
+#: What a question about the application wants, over the folded question, in the order in which they are tried.
+HELP_INTENTS = (
+    ("donde_estoy", r"\b(?:donde (?:estoy|me encuentro)|en que pantalla estoy|que pantalla es esta)\b"),
+    ("capacidades_pantalla", r"\b(?:que (?:puedo|se puede) hacer|que hago)\s+(?:aqui|aca|en esta pantalla)\b"),
+    ("explicar_pantalla", r"pantalla.*\b(?:explica\w*|entiendo|entender|uso|usar\w*|sirve)\b|\b(?:explica\w*|entiendo|entender|uso|usar\w*|sirve)\b.*pantalla|\bexplicame como usarla\b"),
+    ("siguiente_paso", r"\b(?:siguiente paso|que sigue|que hago despues|despues de completar)\b"),
+    ("obligatorio_elemento", r"\b(?:obligatori|necesari|requerid)\w*\b"),
+    ("explicar_elemento", r"\b(?:que pongo|que va|que significa|para que sirve|como completo)\b"),
+)
+LEGAL_QUESTION = r"\b(?:es legal|es valida|validez|tengo derecho|que derechos|puedo demandar|demando|demanda contra|es licita|me pueden cobrar|corresponde una multa|que dice el codigo civil|clausula abusiva)\b"
+ELSEWHERE = r"\b(?:clima|tiempo hara|pronostico|futbol|receta de cocina)\b"
+COURT, SEND = r"\b(?:juzgado|tribunal)\b", r"\b(?:envi\w*|present\w*|remit\w*)\b"
+HELP_STOP_ROOTS = ("donde", "cuando", "cuale", "puedo", "hacer", "sobre", "difer", "panta", "ayuda", "boton", "datos", "docum", "resul", "campo")
+
+#: Words of a document's windows that speak of what is asked about it.
+SIGNALS = {
+    "partes": ("partes", "comparecen", "intervienen", "prestamista", "prestatario", "vendedor", "comprador", "arrendador", "arrendatario"),
+    "plazo": ("plazo", "duracion", "vigencia", "meses", "fecha final", "vencimiento"),
+    "monto": ("monto", "precio", "capital", "canon", "suma", "bs", "usd"),
+    "fecha": ("fecha", "inicio", "comienza", "final", "vencimiento", "firma"),
+    "firma": ("firma", "firman", "suscriben"),
+}

@@ -49,6 +49,22 @@ def windows(c: Column, size: int = 1200, overlap: int = 150, least: int = 40) ->
     return F.filter(cut, lambda w: F.length(F.trim(w["text"])) >= least)
 
 
+def spans(c: Column, pattern: str) -> Column:
+    """array<struct<at, text>> of a pattern's matches with their places from 0, in the JVM: what stands between matches,
+    and the matches, add up to the places. A pattern must not match nothing."""
+    between = F.split(c, pattern, -1)
+    found = F.regexp_extract_all(c, F.lit(f"({pattern})") if not pattern.startswith("(?i)") else F.lit(f"(?i)({pattern[4:]})"), F.lit(1))
+    both = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("text")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
+    step = lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["text"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("at"), x["text"].alias("text")))).alias("out"))
+    return F.aggregate(both, start, step, lambda a: a["out"])
+
+
+def folded_alike(c: Column) -> Column:
+    """Accents folded letter by letter, in both cases, so that places stay."""
+    return F.translate(c, ACCENTED + ACCENTED.upper(), FOLDED + FOLDED.upper())
+
+
 def shortened(c: Column, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("…"))).otherwise(c)
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dictionaries as D
-from palimpsest.functions.text import any_of, fold, words
+from palimpsest.functions.text import any_of, fold, spans, words
 
 MARKER = "[FALTA: {}]"
 
@@ -68,18 +68,143 @@ def literal_facts(text: Column, most: int = 24) -> Column:
     return F.slice(F.array_distinct(F.filter(parts, states)), 1, most)
 
 
-def chunk_score(asked: Column, phrase: Column, chunk: Column) -> Column:
-    """Share of the asked words that a chunk has, and 1 more if it has the whole phrase of 12 characters or more."""
+def chunk_score(asked: Column, phrase: Column, chunk: Column, intent: Column | None = None, label: Column | None = None) -> Column:
+    """Share of the asked words that a chunk has, and 1 more if it has the whole phrase of 12 characters or more. intent: what
+    is asked about the document: 0.3 for each of up to three of its signals, 0.25 if the chunk's label or first 100
+    characters have one of the first three."""
     plain, whole = fold(chunk), fold(phrase)
     share = F.size(F.array_intersect(asked, words(chunk))) / F.size(asked)
-    return F.when(F.size(asked) == 0, 0.0).otherwise(share + F.when((F.length(whole) >= 12) & F.contains(plain, whole), 1.0).otherwise(0.0))
+    score = share + F.when((F.length(whole) >= 12) & F.contains(plain, whole), 1.0).otherwise(0.0)
+    if intent is not None:
+        head = fold(F.concat_ws(" ", label if label is not None else F.lit(""), F.substring(chunk, 1, 100)))
+        bonus = F.lit(0.0)
+        for name, signals in D.SIGNALS.items():
+            there = reduce(lambda a, b: a + b, (F.when(F.rlike(plain, F.lit(rf"\b{w}\b")), 1).otherwise(0) for w in signals))
+            leads = reduce(lambda a, b: a | b, (F.contains(head, F.lit(w)) for w in signals[:3]))
+            bonus = F.when(intent == name, F.least(there, F.lit(3)) * 0.3 + F.when(leads, 0.25).otherwise(0.0)).otherwise(bonus)
+        score = score + bonus
+    return F.when(F.size(asked) == 0, 0.0).otherwise(score)
+
+
+def packed(items: Column, base: Column, budget: int, most: int) -> Column:
+    """Of the first `most` items (JSON texts, best first) those that fit beside base (a JSON object with an empty list)
+    within budget characters: one that is too long for what is left is passed over."""
+
+    def step(a: Column, item: Column) -> Column:
+        used = a["used"] + F.length(item) + F.when(F.size(a["kept"]) > 0, 1).otherwise(0)  # a comma between items
+        return F.when(used <= budget, F.struct(F.concat(a["kept"], F.array(item)).alias("kept"), used.alias("used"))).otherwise(a)
+
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.length(base).alias("used"))
+    return F.aggregate(F.slice(items, 1, most), start, step, lambda a: a["kept"])
+
+
+def narrative(text: Column) -> Column:
+    """Whether a message tells what happened to someone, rather than asks about a hypothesis."""
+    plain = fold(text)
+    return ~F.rlike(plain, F.lit(D.HYPOTHESIS)) & F.rlike(plain, F.lit(D.NARRATIVE))
+
+
+def _near(sentence: Column, at: Column, text: Column, before: int, behind: int) -> Column:
+    """What stands around a match, folded."""
+    first = F.greatest(F.lit(0), at - before)
+    return fold(F.substring(sentence, first + 1, at - first + F.length(text) + behind))
+
+
+def case_facts(text: Column) -> Column:
+    """array<struct<label, value, evidence>>: amounts, shares, dates and further terms of an account by what stands near them
+    in their sentence. Of a figure's labels the last one told counts, of a date's and a term's the first."""
+    sentences = literal_facts(text)
+    fact = lambda label, value, sentence: F.struct(label.alias("label"), value.alias("value"), sentence.alias("evidence"))
+    each = lambda pattern, of: F.flatten(F.transform(sentences, lambda s: F.filter(F.transform(spans(s, pattern), lambda m: of(s, m)), lambda x: x["label"].isNotNull())))
+
+    def amount(s: Column, m: Column) -> Column:
+        near, label = _near(s, m["at"], m["text"], 45, 45), F.lit(None).cast("string")
+        for name, pattern, close in reversed(D.NEAR_AMOUNT):
+            label = F.when(F.rlike(near if close else fold(s), F.lit(pattern)), name).otherwise(label)
+        value = F.replace(F.replace(F.regexp_extract(m["text"], r"[\d.]+(?:,\d+)?$", 0), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+        return fact(label, value, s)
+
+    def share(s: Column, m: Column) -> Column:
+        label = F.when(F.rlike(_near(s, m["at"], m["text"], 35, 45), F.lit(D.NEAR_PERCENT[0][1])), D.NEAR_PERCENT[0][0]).otherwise(D.NEAR_PERCENT[1][0])
+        return fact(label, F.replace(F.regexp_extract(m["text"], r"^\d+(?:[.,]\d+)?", 0), F.lit(","), F.lit(".")), s)
+
+    def day(s: Column, m: Column) -> Column:
+        near, label = _near(s, m["at"], m["text"], 55, 75), F.lit(None).cast("string")
+        for name, pattern in reversed(D.NEAR_DATE):
+            label = F.when(F.rlike(near, F.lit(pattern)), name).otherwise(label)
+        return fact(label, m["text"], s)
+
+    term = lambda s, m: fact(F.lit("plazo_adicional"), m["text"], s)
+    last, first = F.concat(each(D.CASE_AMOUNT, amount), each(D.CASE_PERCENT, share)), F.concat(each(D.CASE_DATE, day), each(D.CASE_TERM, term))
+    once = lambda xs: F.filter(xs, lambda x, i: ~F.exists(F.slice(xs, F.lit(1), i), lambda y: y["label"] == x["label"]))
+    return F.concat(F.reverse(once(F.reverse(last))), once(first))
+
+
+def capped(facts: Column) -> Column:
+    """The contract's price times its ceiling in per cent, to two places, half to even; null where one is missing."""
+    value = lambda name: F.get(F.filter(facts, lambda x: x["label"] == name), F.lit(0))["value"].try_cast("decimal(24,6)")
+    price, share = value("precio_total"), value("tope_contractual")
+    return F.bround(price * share.cast("decimal(9,4)") / F.lit(100), 2).cast("decimal(38,2)")
+
+
+def searches(text: Column) -> Column:
+    """array<struct<problem, search, words, requires, focus>>: the searches behind the problems that an account has."""
+    plain, known = fold(text), dict(D.PROBLEMS)
+    one = lambda p, k, w, r, f: F.when(F.rlike(plain, F.lit(known[p])), F.struct(F.lit(p).alias("problem"), F.lit(k).alias("search"), F.lit(w).alias("words"), F.array(*map(F.lit, r)).alias("requires"), F.lit(f).alias("focus")))
+    return F.filter(F.array(*(one(*x) for x in D.SEARCHES)), lambda x: x.isNotNull())
+
+
+def answers(requires: Column, focus: Column, heading: Column, body: Column) -> tuple[Column, Column]:
+    """Whether a source has all that a search requires, and 1 if its heading has the search's focus, else 0."""
+    whole = fold(F.concat_ws(" ", heading, body))
+    return F.forall(requires, lambda p: F.rlike(whole, p)), F.rlike(fold(heading), focus).cast("int")
+
+
+def help_intent(question: Column) -> Column:
+    return first_of(fold(question), D.HELP_INTENTS)
+
+
+def five_roots(c: Column) -> Column:
+    """First five letters of words of five letters or more, each once."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(fold(c), F.lit("([a-z]{5,})"), F.lit(1)), lambda w: F.substring(w, 1, 5)))
+
+
+def help_element(question: Column, elements: dict[str, str]) -> Column:
+    """The element (name: description) that shares most five-letter roots with a question, the first of equals; null without any."""
+    asked = F.array_except(five_roots(question), F.array(*map(F.lit, D.HELP_STOP_ROOTS)))
+    scored = [F.struct(F.size(F.array_intersect(asked, five_roots(F.lit(f"{k.replace('_', ' ')} {text}")))).alias("n"), F.lit(-i).alias("place"), F.lit(k).alias("name")) for i, (k, text) in enumerate(elements.items())]
+    best = F.array_max(F.array(*scored))
+    return F.when(best["n"] > 0, best["name"])
+
+
+def help_rule(question: Column, screen: Column, frequent: Column | None = None) -> Column:
+    """struct<kind, rule, target> of the first rule that answers a question about the application: legal questions go to the
+    assistant, others elsewhere are out of scope, then intents, then what other screens are for. frequent: map of folded
+    questions to targets, tried last. Null: no rule answers."""
+    plain = fold(question)
+    has = lambda p: F.rlike(plain, F.lit(p))
+    rule = lambda kind, name, target=None: F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("rule"), F.lit(target).cast("string").alias("target"))
+    intent = help_intent(question)
+    known = F.lit(None).cast("string") if frequent is None else frequent[F.trim(F.regexp_replace(plain, "[¿?]", ""))]
+    return (
+        F.when(has(D.LEGAL_QUESTION), rule("redirigir_juridico", "consulta_juridica", "asistente"))
+        .when(has(D.ELSEWHERE), rule("fuera_alcance", "ajena"))
+        .when(has(D.COURT) & has(D.SEND), rule("ayuda", "funcion_inexistente"))
+        .when(intent.isin("donde_estoy", "capacidades_pantalla", "explicar_pantalla", "siguiente_paso"), F.struct(F.lit("ayuda").alias("kind"), intent.alias("rule"), F.lit(None).cast("string").alias("target")))
+        .when((screen != "generar") & has("gener") & has(r"\bdocumento\w*\b"), rule("ayuda", "otra_pantalla", "generar"))
+        .when((screen != "reportes") & has("excel") & has("report"), rule("ayuda", "otra_pantalla", "reportes"))
+        .when((screen != "comparaciones") & has(r"\bcompar\w*\b") & has(r"\b(?:documento|contrato)\w*\b"), rule("ayuda", "otra_pantalla", "comparaciones"))
+        .when((screen != "historial") & has("donde veo") & has("documento"), rule("ayuda", "otra_pantalla", "historial"))
+        .when(intent.isNotNull(), F.struct(F.lit("ayuda").alias("kind"), intent.alias("rule"), F.lit(None).cast("string").alias("target")))
+        .when(known.isNotNull(), F.struct(F.lit("ayuda").alias("kind"), F.lit("pregunta_frecuente").alias("rule"), F.when(known != screen, known).alias("target")))
+    )
 
 
 def budgeted(chunks: Column, most: int = 6, budget: int = 6000) -> Column:
-    """Of chunks (structs with text, best first) those that fit: one too long for what is left is passed over."""
+    """Of chunks (structs with their length n, best first) those that fit: one too long for what is left is passed over."""
 
     def step(a: Column, c: Column) -> Column:
-        used = a["used"] + F.length(c["text"])
+        used = a["used"] + c["n"]
         return F.when((F.size(a["kept"]) < most) & (used <= budget), F.struct(F.concat(a["kept"], F.array(c)).alias("kept"), used.alias("used"))).otherwise(a)
 
     return F.aggregate(chunks, F.struct(F.filter(chunks, lambda c: F.lit(False)).alias("kept"), F.lit(0).alias("used")), step, lambda a: a["kept"])

@@ -1,8 +1,10 @@
-"""Corpus upkeep: range maps, version chains, article parsing."""
+"""Corpus upkeep: range maps, version chains, sources of articles and their parsing."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.dictionaries import ARTICLE_AREAS
@@ -16,17 +18,92 @@ def bucket(c: Column, ranges: tuple = ARTICLE_AREAS) -> Column:
     return out
 
 
-def chains(links: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """Rows (root, id, version) of all descendants of roots, breadth first. links: (id, parent).
+def chains(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (root, id, version) of all descendants of roots, breadth first. links: (id, parent), without cycles.
 
     One join a generation; it ends with the first empty one.
     """
     front = roots.select(F.col("id").alias("root"), "id", F.lit(1).alias("version"))
     out = front
-    for _ in range(most):
+    while True:
         parents = front.select("root", F.col("id").alias("parent"), "version")
         front = links.join(parents, "parent").select("root", "id", (F.col("version") + 1).alias("version"))
         if front.isEmpty():
             return out
         out = out.unionByName(front)
-    raise ValueError(f"a chain is longer than {most}")
+
+
+@dataclass(frozen=True)
+class Profile:
+    """What differs between sources of articles. noise: lines to drop; article: a header with the article's number as its
+    group; level: a heading with its kind and number as groups; expected: how many articles there have to be."""
+
+    name: str
+    expected: int
+    noise: str
+    article: str
+    level: str
+
+
+LEVELS = ("LIBRO", "PARTE", "TITULO", "CAPITULO", "SECCION")
+
+#: Sources and their patterns.
+PROFILES = {
+    "codigo_civil": Profile(
+        "Codigo Civil", 1570, r"^(?:CODIGO CIVIL - .*InfoLeyes.*|http://bolivia\.infoleyes\.com/.*|CODIGO CIVIL)$",
+        r"^ART[IÍ]CULO\s+(\d+)\s*[.\-]", r"^(LIBRO|PARTE|TITULO|CAPITULO|SECCION|SUBSECCION)\s+(\S+)\s*$",
+    ),
+}
+NOT_A_NAME = r"^(?:[IVX]+\.|\()"
+HEADING = r"^\s*\(?\s*([^)\n]{0,120}(?:\n[^)\n]{0,120}){0,3})\s*\)\s*[.\-]{0,2}"
+
+
+def lines_of(texts: DataFrame, key: str, text: str, noise: str) -> DataFrame:
+    """Rows (key, n, line) without the lines of page headers, which a source repeats on every page."""
+    return texts.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line")).where(~F.rlike("line", F.lit(noise)))
+
+
+def parsed_articles(texts: DataFrame, profile: Profile, key: str = "source", text: str = "text") -> DataFrame:
+    """Rows (key, number, heading, body, libro, parte, titulo, capitulo, seccion) of the articles in texts.
+
+    A level's name is the run of capital lines below it. A level ends the levels under it; subsections are dropped. An
+    article has the levels that hold where it begins. Windows run within one source text, whatever their number.
+    """
+    trimmed = F.trim(F.col("line"))
+    capital = (F.upper("line") == F.col("line")) & (F.lower("line") != F.col("line"))
+    lines = lines_of(texts, key, text, profile.noise)
+    level, article = F.rlike("line", F.lit(profile.level)), F.rlike("line", F.lit(profile.article))
+    kind = F.when(level, "level").when(article, "article").when(capital & (trimmed != "") & ~F.rlike(trimmed, F.lit(NOT_A_NAME)), "name").otherwise("text")
+    known = lines.select(key, "n", "line", kind.alias("kind"))
+    upto = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    # The last line that is no name: a name belongs to a level if that line is one.
+    owner = F.last(F.when(F.col("kind") != "name", F.struct("kind", "n")), ignorenulls=True).over(upto)
+    known = known.withColumn("owner", owner)
+    is_name = (F.col("kind") == "name") & (F.col("owner.kind") == "level")
+    names = known.where(is_name).groupBy(key, F.col("owner.n").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.trim("line").alias("x")))), lambda x: x["x"]), " ").alias("name"))
+    rest = known.where(~is_name).join(names, [key, "n"], "left")
+    which, number = F.regexp_extract("line", profile.level, 1), F.regexp_extract("line", profile.level, 2)
+    title = F.concat_ws(" ", which, number, F.when(F.coalesce("name", F.lit("")) != "", F.col("name")))
+    for name in LEVELS:
+        at = F.last(F.when((F.col("kind") == "level") & (which == name), F.struct(F.col("n").alias("n"), title.alias("title"))), ignorenulls=True).over(upto)
+        rest = rest.withColumn(name.lower(), at)
+    rest = rest.withColumn("article", F.sum(F.when(F.col("kind") == "article", 1).otherwise(0)).over(upto)).where("article > 0 and kind <> 'level'")
+    line = F.when(F.col("kind") == "article", F.regexp_replace("line", profile.article, "")).otherwise(F.col("line"))
+    line = F.when((F.col("kind") == "article") & (line == ""), F.lit(None)).otherwise(line)
+    body = F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("n", line.alias("x")))), lambda x: x["x"].isNotNull()), lambda x: x["x"]), "\n")
+    head = F.min(F.when(F.col("kind") == "article", F.struct("n", F.regexp_extract("line", profile.article, 1).cast("int").alias("number"), *(x.lower() for x in LEVELS))))
+    grouped = rest.groupBy(key, "article").agg(head.alias("h"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("raw"))
+    kept, higher = [], F.lit(-1)
+    for name in map(str.lower, LEVELS):  # a level holds if no higher one has begun since
+        at = F.coalesce(F.col(f"h.{name}.n"), F.lit(-1))
+        kept.append(F.when(at > higher, F.col(f"h.{name}.title")).alias(name))
+        higher = F.greatest(higher, at)
+    heading, text_of = heading_split(F.col("raw"))
+    return grouped.select(key, F.col("h.number").alias("number"), heading.alias("heading"), text_of.alias("body"), *kept)
+
+
+def heading_split(raw: Column) -> tuple[Column, Column]:
+    """An article's heading, in brackets over four lines at most, and what follows it; (null, raw) without one."""
+    there = F.rlike(raw, F.lit(HEADING))
+    heading = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_extract(raw, HEADING, 1), r"\s+", " ")), r"^[-(\s]+", "")
+    return F.when(there & (heading != ""), heading), F.when(there, F.regexp_replace(F.regexp_replace(raw, HEADING, ""), r"^\s+|\s+$", "")).otherwise(raw)

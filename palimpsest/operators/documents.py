@@ -3,6 +3,7 @@
 What needs no offsets stays in expressions; offsets come from Arrow functions over batches of texts.
 """
 
+import bisect
 import difflib
 import re
 import pandas as pd
@@ -14,7 +15,8 @@ from palimpsest.functions.text import any_of, fold, term_pattern
 
 CLAUSE = "array<struct<orden:int,encabezado:string,ordinal:string,texto:string,inicio:int,fin:int>>"
 FINDING = "array<struct<tipo:string,texto:string,inicio:int,fin:int,clausula:int>>"
-CHANGE = "array<struct<tipo:string,ubicacion:string,anterior:string,nuevo:string>>"
+CHANGE = "array<struct<tipo:string,ubicacion:string,anterior:string,nuevo:string,explicacion:string,clausula:int>>"
+SHOWN = 1200  # characters of a text that a change shows
 
 _accent = str.maketrans("áéíóúüñàèìòù", "aeiouunaeiou")
 _ordinal = "|".join(D.ORDINALS)
@@ -46,11 +48,13 @@ def findings_of(text: str, clauses: list[tuple] | None = None) -> list[tuple]:
     """(tipo, texto, inicio, fin, clausula) without overlaps: from left to right, of those that start together the longest."""
     clauses = clauses_of(text) if clauses is None else clauses
     found = sorted(((m.start(), -m.end(), kind) for kind, p in _entities for m in p.finditer(text)), key=lambda x: x[:2])
+    begins = [c[4] for c in clauses]
     out, free = [], 0
     for start, neg_end, kind in found:
         if start >= free:
             free = -neg_end
-            out.append((kind, text[start:free], start, free, next((c[0] for c in clauses if c[4] <= start < c[5]), None)))
+            at = bisect.bisect_right(begins, start) - 1  # clauses follow one another without a gap
+            out.append((kind, text[start:free], start, free, clauses[at][0] if at >= 0 and start < clauses[at][5] else None))
     return out
 
 
@@ -174,26 +178,71 @@ def _collapsed(text: str) -> str:
     return " ".join(text.split())
 
 
+def _shown(text: str) -> str:
+    text = text.strip()
+    return text if len(text) <= SHOWN else text[:SHOWN].rstrip() + "…"
+
+
+_told = (
+    ("El monto cambió de {} a {}.", [p for kind, p in _entities if kind in ("monto_bs", "monto_usd")]),
+    ("El plazo cambió de {} a {}.", [p for kind, p in _entities if kind == "plazo"]),
+    ("La fecha cambió de {} a {}.", [p for kind, p in _entities if kind == "fecha"]),
+)
+
+
+def explanation(old: str, new: str) -> str:
+    """What changed, in words: the first amount, term or date that differs, where both versions have as many of its kind,
+    for only then is it sure which became which."""
+    for words, patterns in _told:
+        before, after = ([x for _, x in sorted((m.start(), m.group()) for p in patterns for m in p.finditer(text))] for text in (old, new))
+        if len(before) == len(after) and before != after:
+            return words.format(*next(pair for pair in zip(before, after) if pair[0] != pair[1]))
+    return "El contenido de esta sección fue modificado."
+
+
+def _blocks(text: str) -> list[str]:
+    """Paragraphs, or the lines of a text that has but one."""
+    for separator in (r"\n\s*\n", r"\r\n|[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]"):
+        found = [x.strip() for x in re.split(separator, text) if x.strip()]
+        if len(found) > 1:
+            break
+    return found
+
+
 def changes(old: str, new: str) -> list[tuple]:
-    """(tipo, ubicacion, anterior, nuevo) between two versions: by clauses where both have them, else by paragraphs."""
-    a, b = clauses_of(old), clauses_of(new)
-    if a and b:
-        label = lambda cs: _numbered([c[2] for c in cs])
-        left, right = list(zip(label(a), (c[3] for c in a))), list(zip(label(b), (c[3] for c in b)))
+    """(tipo, ubicacion, anterior, nuevo, explicacion, clausula) between two versions: by clauses where both have them,
+    heading and body together, else by paragraphs. Numbers of what is in both are those of the new version."""
+    parts = [clauses_of(old), clauses_of(new)]
+    by_clause = all(parts)
+    if by_clause:
+        names = [[f"Cláusula {c[2]}" for c in cs] for cs in parts]
+        texts = [["\n".join(x for x in (c[1].strip(), c[3].strip()) if x) for c in cs] for cs in parts]
+        keys = [_numbered([c[2] for c in cs]) for cs in parts]
     else:
-        parts = lambda t: [p for p in re.split(r"\n\s*\n|\n", t) if p.strip()]
-        left, right = [(None, p) for p in parts(old)], [(None, p) for p in parts(new)]
-    by_label = bool(a and b)
-    key = (lambda x: x[0]) if by_label else (lambda x: _collapsed(x[1]))
+        texts = [_blocks(old), _blocks(new)]
+        names = [[f"Párrafo {n + 1}" for n in range(len(ts))] for ts in texts]
+        keys = [[_collapsed(x) for x in ts] for ts in texts]
+    number = lambda side, k: parts[side][k][0] if by_clause else None
     out = []
-    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, [key(x) for x in left], [key(x) for x in right], autojunk=False).get_opcodes():
+
+    def changed(i: int, j: int) -> None:
+        out.append(("modificado", names[1][j], _shown(texts[0][i]), _shown(texts[1][j]), explanation(texts[0][i], texts[1][j]), number(1, j)))
+
+    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, *keys, autojunk=False).get_opcodes():
         if op == "equal":
-            out += [("modificado", x[0] or f"parrafo {i1 + k + 1}", x[1], y[1]) for k, (x, y) in enumerate(zip(left[i1:i2], right[j1:j2])) if _collapsed(x[1]) != _collapsed(y[1])]
+            for i, j in zip(range(i1, i2), range(j1, j2)):
+                if _collapsed(texts[0][i]) != _collapsed(texts[1][j]):
+                    changed(i, j)
             continue
-        paired = 0 if by_label else min(i2 - i1, j2 - j1)
-        out += [("modificado", f"parrafo {i1 + k + 1}", left[i1 + k][1], right[j1 + k][1]) for k in range(paired)]
-        out += [("eliminado", x[0] or f"parrafo {i1 + paired + k + 1}", x[1], None) for k, x in enumerate(left[i1 + paired : i2])]
-        out += [("agregado", y[0] or f"parrafo {j1 + paired + k + 1}", None, y[1]) for k, y in enumerate(right[j1 + paired : j2])]
+        paired = 0 if by_clause else min(i2 - i1, j2 - j1)  # other ordinals are other clauses
+        for k in range(paired):
+            changed(i1 + k, j1 + k)
+        for i in range(i1 + paired, i2):
+            told = f"Se eliminó la {names[0][i].lower()}." if by_clause else "Se eliminó contenido que estaba en el primer documento."
+            out.append(("eliminado", names[0][i], _shown(texts[0][i]), None, told, number(0, i)))
+        for j in range(j1 + paired, j2):
+            told = f"Se agregó la {names[1][j].lower()}." if by_clause else "Se agregó contenido que no estaba en el primer documento."
+            out.append(("agregado", names[1][j], None, _shown(texts[1][j]), told, number(1, j)))
     return out
 
 
@@ -216,6 +265,14 @@ def compared(old: Column | str, new: Column | str) -> Column:
     return F.pandas_udf(run, CHANGE)(old, new)
 
 
+def assigned(findings: DataFrame, clauses: DataFrame, key: str, at: str = "inicio", begin: str = "inicio", end: str = "fin", name: str = "orden") -> DataFrame:
+    """Findings with the clause whose span holds their place, the first of several, null outside all: a join on the
+    document alone, whose clauses are gathered first, so a row of findings stays one row."""
+    spans = clauses.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(begin).alias("b"), F.col(end).alias("e"), F.col(name).alias("n")))).alias("__spans"))
+    holds = F.filter("__spans", lambda c: (c["b"] <= F.col(at)) & (F.col(at) < c["e"]))
+    return findings.join(spans, key, "left").withColumn("assigned", F.get(F.transform(holds, lambda c: c["n"]), F.lit(0))).drop("__spans")
+
+
 def pieces_of(text: str, most: int = 350) -> list[str]:
     """Pieces of `most` characters at most, cut after a sentence, line or space; joined they are the text."""
     out, rest = [], text
@@ -230,6 +287,32 @@ def pieces_of(text: str, most: int = 350) -> list[str]:
 citable = _each(pieces_of, "array<string>", [])
 
 
+#: How a draft's lines look, and the marker of what is missing.
+CLAUSE_LINE, SIGNATURE_LINE, MISSING = r"^([A-ZÁÉÍÓÚÑ]+(?:\s+\d+)?)\.-\s+(.+)$", "^_{3,}", r"\[FALTA:\s*[^\]]+\]"
+
+
+def draft_lines(draft: Column) -> Column:
+    """array<struct<kind, text, pending>> of a draft's lines that aren't blank: titulo, firma, clausula, dato, seccion or
+    parrafo; pending: array<struct<text, missing>>, the line cut at its markers."""
+    lines = F.filter(F.transform(F.split(draft, r"\r\n|[\n\r]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    bare = lambda x: F.regexp_replace(x, MISSING, "")
+    letters = lambda x: F.regexp_replace(bare(x), r"[^\p{L}]", "")
+    heading = lambda x: (F.length(letters(x)) > 0) & (F.length(x) < 60) & (letters(x) == F.upper(letters(x)))
+    kind = lambda x, i: (
+        F.when(i == 0, "titulo").when(F.rlike(x, F.lit(SIGNATURE_LINE)), "firma").when(F.rlike(x, F.lit(CLAUSE_LINE)), "clausula")
+        .when(F.contains(bare(x), F.lit(": ")), "dato").when(heading(x), "seccion").otherwise("parrafo")
+    )
+    return F.transform(lines, lambda x, i: F.struct(kind(x, i).alias("kind"), x.alias("text"), marked(x).alias("pending")))
+
+
+def marked(line: Column) -> Column:
+    """array<struct<text, missing>>: a line cut at its markers of missing values, so that only these are shown as such."""
+    between = F.split(line, MISSING)
+    markers = F.regexp_extract_all(line, F.lit(f"({MISSING})"), F.lit(1))
+    both = F.zip_with(between, markers, lambda a, b: F.array(F.struct(a.alias("text"), F.lit(False).alias("missing")), F.struct(b.alias("text"), F.lit(True).alias("missing"))))
+    return F.filter(F.flatten(both), lambda x: F.coalesce(x["text"], F.lit("")) != "")
+
+
 def redacted(text: Column) -> Column:
     """E-mail addresses, amounts, identity numbers and pairs of capitalised words replaced by their kind, 300 characters at most."""
     c = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[correo]")

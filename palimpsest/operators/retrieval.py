@@ -9,6 +9,11 @@ from palimpsest.functions.text import fold, roots, words
 from palimpsest.operators.relational import top_n
 
 WEIGHT, K = 0.1, 60
+#: Bounds of what is sent to every task: asked lexemes, and numbers in the vectors of a block of queries.
+SENT_LEXEMES, SENT_NUMBERS = 500_000, 4_000_000
+#: Text of a semantic query, whose vector comes from outside, and the vectors' version of a corpus entry.
+VERSION = "norma-v2"
+NO_VECTORS, NO_SERVICE = "No hay embeddings actuales; se utilizó la búsqueda léxica.", "El servicio local de inteligencia artificial no está disponible. Se utilizó la búsqueda léxica."
 
 
 def postings(docs: DataFrame, id_col: str, text: Column, stop_words: tuple[str, ...] = ()) -> DataFrame:
@@ -19,9 +24,26 @@ def postings(docs: DataFrame, id_col: str, text: Column, stop_words: tuple[str,
     return tokens.groupBy("doc_id", "lexeme").agg(F.count(F.lit(1)).alias("n"))
 
 
-def lexemes(queries: DataFrame, id_col: str, text: Column, least: int = 1) -> DataFrame:
+def asked_postings(docs: DataFrame, id_col: str, text: Column, asked: DataFrame) -> DataFrame:
+    """postings() of the lexemes that are asked for alone; they are sent to every task where they are SENT_LEXEMES at most,
+    so that of a text only those words are shuffled."""
+    wanted = asked.select("lexeme").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT_LEXEMES else wanted
+    tokens = docs.select(F.col(id_col).alias("doc_id"), F.explode(words(text, 1)).alias("lexeme"))
+    return tokens.join(wanted, "lexeme").groupBy("doc_id", "lexeme").agg(F.count(F.lit(1)).alias("n"))
+
+
+def telling(post: DataFrame, total: int, most: float) -> DataFrame:
+    """Postings of the lexemes that at most this share of all documents has: words that nearly every document has tell
+    nothing, and would bring every document to every query in one task. For languages without a list of stop words."""
+    common = post.groupBy("lexeme").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > most * total).select("lexeme")
+    return post.join(common, "lexeme", "left_anti")
+
+
+def lexemes(queries: DataFrame, id_col: str, text: Column, least: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
     """Rows (query_id, lexeme), each once; a query without words has none and finds nothing."""
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(words(text, least))).alias("lexeme")).where("lexeme <> ''")
+    found = queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(words(text, least))).alias("lexeme")).where("lexeme <> ''")
+    return found.where(~F.col("lexeme").isin(*stop_words)) if stop_words else found
 
 
 def matches(post: DataFrame, asked: DataFrame) -> DataFrame:
@@ -44,13 +66,22 @@ def fallback(narrow: DataFrame, wide: DataFrame) -> DataFrame:
 
 
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact: each stated query against every vector; (query_id, id, score, rank). queries: (query_id, q), a set that the
-    caller bounds; partial top-k lists are cut before the shuffle. Vectors of another dimension or norm 0 don't score."""
+    """Exact: each stated query against every vector; (query_id, id, score, rank). queries: (query_id, q). A block of them,
+    SENT_NUMBERS at most, is sent to every task, so vectors aren't shuffled; partial top-k lists are cut before their
+    shuffle, and those of further blocks follow. Vectors of another dimension or norm 0 don't score."""
+    size = queries.agg(F.coalesce(F.sum(F.size("q")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // SENT_NUMBERS))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = vectors.join(queries, F.size("v") == F.size("q"))
-    norm = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("q"), F.col("q")))
-    scored = pairs.withColumn("score", F.try_divide(dot(F.col("v"), F.col("q")), norm)).where("score is not null")
-    return top_n(scored.select("query_id", "id", "score"), ["query_id"], [F.col("score").desc(), F.col("id")], k)
+    out = None
+    for block in range(blocks):
+        some = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        some = some.withColumn("qn", F.sqrt(dot(F.col("q"), F.col("q"))))
+        known = vectors.select("id", "v", F.sqrt(dot(F.col("v"), F.col("v"))).alias("vn"))
+        pairs = known.crossJoin(F.broadcast(some)).where(F.size("v") == F.size("q"))
+        scored = pairs.select("query_id", "id", F.try_divide(dot(F.col("v"), F.col("q")), F.col("vn") * F.col("qn")).alias("score")).where("score is not null")
+        best = top_n(scored, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def fuse(lists: DataFrame, k: int = K) -> DataFrame:
@@ -86,3 +117,96 @@ def expanded(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     found = F.array(*(F.when(F.rlike(plain, F.lit(p)), F.split(F.lit(c), " ")) for p, c in rules))
     extra = F.array_distinct(F.flatten(F.filter(found, lambda x: x.isNotNull())))
     return F.when(F.size(extra) > 0, F.concat_ws(" ", text, F.array_join(extra, " "))).otherwise(text)
+
+
+def concepts(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """The concepts (each a text of words) of the rules that a text's folded form matches, in the rules' order."""
+    plain = fold(text)
+    return F.filter(F.array(*(F.when(F.rlike(plain, F.lit(p)), F.lit(c)) for p, c in rules)), lambda x: x.isNotNull())
+
+
+def semantic_text(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """What a query's vector is made of: the question, and its concepts behind it."""
+    found = concepts(text, rules)
+    return F.when(F.size(found) > 0, F.concat(text, F.lit("\nConceptos de búsqueda: "), F.array_join(found, "; "))).otherwise(text)
+
+
+def entry_text(df: DataFrame, columns: list[str]) -> Column:
+    """What a corpus entry's vector is made of: its columns that aren't empty, one a line."""
+    return F.concat_ws("\n", *(F.when(F.col(c).cast("string") != "", F.col(c).cast("string")) for c in columns))
+
+
+def entry_hash(df: DataFrame, columns: list[str]) -> Column:
+    """The versioned hash of a corpus entry: of all its columns as JSON, keys in order, so any change makes its vector stale."""
+    told = F.to_json(F.struct(*(F.col(c) for c in sorted(columns))), {"ignoreNullFields": "false"})
+    return F.sha2(F.concat(F.lit(VERSION + "\n"), told), 256)
+
+
+def pertinent(question: Column, heading: Column, body: Column) -> Column:
+    """Whether an entry may answer: a question on contractual liability takes those that name both a failure and its consequence."""
+    whole = fold(F.concat_ws(" ", heading, body))
+    has = lambda *parts: F.rlike(whole, F.lit("|".join(parts)))
+    both = has("incumpl", "no cumple", "no cumpl", "retras", "mora") & has("resarc", "dano", "perjuicio", "responsab")
+    return ~F.contains(fold(question), F.lit("responsabilidad contractual")) | both
+
+
+def focal(candidates: DataFrame, priority: Column, n: int) -> DataFrame:
+    """Of a wide candidate list (query_id, doc_id, score, ...) the n that come first by priority, then score, then id, ranked anew."""
+    return top_n(candidates.withColumn("priority", priority).drop("rank"), ["query_id"], [F.col("priority").desc(), F.col("score").desc(), F.col("doc_id")], n)
+
+
+def snippet(text: Column, asked: Column, most: int = 40, least: int = 15) -> Column:
+    """The first run of at most `most` words that begins at a hit; where fewer than `least` words follow it, the last `least`."""
+    whole = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    hit = F.array_position(F.transform(whole, lambda w: F.arrays_overlap(words(w, 1), asked)), True)
+    start = F.greatest(F.lit(1), F.least(hit.cast("int"), F.size(whole) - least + 1))
+    return F.when(hit > 0, F.array_join(F.slice(whole, start, F.lit(most)), " "))
+
+
+def hybrid(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, docs: DataFrame, limit: int, k: int = K) -> DataFrame:
+    """Two channels fused, reordered by what queries and entries are about, filtered by pertinence: (query_id, doc_id,
+    affinity, score, place, mode, warning).
+
+    lexical, semantic: (query_id, doc_id, rank). queries: (query_id, text, concepts), a stated set. docs: (doc_id, heading,
+    body). Without concepts the order is that of the fusion. A query without semantic results is served by the lexical
+    channel alone and says so.
+    """
+    lists = lexical.select("query_id", "doc_id", "rank", F.lit("lexical").alias("list")).unionByName(semantic.select("query_id", "doc_id", "rank", F.lit("semantic").alias("list")))
+    fused = fuse(lists, k).withColumn("score", F.round("score", 9))
+    told = queries.select("query_id", F.col("text").alias("question"), F.array_distinct(F.flatten(F.transform("concepts", roots))).alias("asked"), "concepts")
+    anchored = told.join(anchors(queries.select("query_id", F.explode("concepts").alias("concept"))), "query_id", "left")
+    found = docs.join(F.broadcast(fused), "doc_id") if queries.count() * limit <= SENT_LEXEMES else docs.join(fused, "doc_id")
+    found = found.join(anchored, "query_id")
+    found = found.where(pertinent(F.col("question"), F.col("heading"), F.col("body")))
+    near = F.when(F.size("concepts") > 0, affinity(F.col("anchor"), F.col("asked"), F.col("heading"), F.col("body"))).otherwise(0)
+    ranked = top_n(found.select("query_id", "doc_id", "score", near.alias("affinity")), ["query_id"], [F.col("affinity").desc(), F.col("score").desc(), F.col("doc_id")], limit, "place")
+    return degraded(ranked, semantic)
+
+
+def degraded(results: DataFrame, semantic: DataFrame) -> DataFrame:
+    """results with mode and warning: queries that the semantic channel has nothing for are served by the lexical one alone."""
+    there = semantic.select("query_id", F.lit(True).alias("both")).distinct()
+    marked = results.join(there, "query_id", "left")
+    mode = F.when(F.col("both"), "hibrida").otherwise("lexica")
+    return marked.withColumn("mode", mode).withColumn("warning", F.when(F.col("both").isNull(), F.lit(NO_VECTORS))).drop("both")
+
+
+def by_problem(lexical: DataFrame, semantic: DataFrame, fits: DataFrame | None, each: int, cap: int) -> tuple[DataFrame, DataFrame]:
+    """One search for each problem of each case: (results, allotment). lexical, semantic: (case, problem, doc_id, rank);
+    fits: (problem, doc_id) that may be used, null: all.
+
+    Lists are fused within the problem, its best `each` kept. Results are dealt in rounds, so that no problem goes without
+    while another has several; a document stands once in a case, which has `cap` at most: (case, place, doc_id, score).
+    The allotment says which of the results each problem may cite: (case, problem, position, doc_id).
+    """
+    keys = ["case", "problem", "doc_id"]
+    once = lambda df, name: df.groupBy(*keys).agg(F.min("rank").alias("rank")).withColumn("list", F.lit(name))
+    lists = once(lexical, "lexical").unionByName(once(semantic, "semantic"))
+    fused = lists.groupBy(*keys).agg(F.round(F.sum(F.lit(1.0) / (F.lit(K) + F.col("rank"))), 9).alias("score"))
+    if fits is not None:
+        fused = fused.join(fits, ["problem", "doc_id"], "left_semi")
+    chosen = top_n(fused, ["case", "problem"], [F.col("score").desc(), F.col("doc_id")], each, "position")
+    first = chosen.groupBy("case", "doc_id").agg(F.min(F.struct("position", "problem", "score")).alias("f"))
+    results = top_n(first.select("case", "doc_id", "f.*"), ["case"], [F.col("position"), F.col("problem")], cap, "place")
+    allotment = chosen.join(results.select("case", "doc_id"), ["case", "doc_id"]).select("case", "problem", "position", "doc_id")
+    return results.select("case", "place", "doc_id", "score"), allotment

@@ -6,7 +6,6 @@ on their own texts.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dictionaries as D
@@ -129,12 +128,17 @@ def risk_rules_all(t):
     return O.risks(found, "text", "class", "clauses", "findings").select("doc_id", F.col("class").alias("kind"), F.explode("risks").alias("r")).select("doc_id", "kind", "r.codigo", "r.severidad", "r.evidencia", "r.clausula")
 
 
+def with_next(t, *columns):
+    """Documents beside the one with the next number: their columns, and those of the next with `next_` before them."""
+    docs = t("documents")
+    following = docs.select((F.col("doc_id") - 1).alias("doc_id"), *(F.col(c).alias(f"next_{c}") for c in columns))
+    return docs.select("doc_id", *columns).join(following, "doc_id")
+
+
 @query()
 def diff_paragraphs(t):
-    """Each document beside the next one of its language, by paragraphs."""
-    w = Window.partitionBy("lang", "source").orderBy("doc_id")
-    pairs = t("documents").select("doc_id", "text", F.lead("text").over(w).alias("next")).where("next is not null")
-    return pairs.select("doc_id", F.explode(O.compared("text", "next")).alias("c")).select("doc_id", "c.tipo", "c.ubicacion")
+    """Each document beside the one with the next number, by paragraphs. SQL has no alignment; tested against plain loops."""
+    return with_next(t, "text").select("doc_id", F.explode(O.compared("text", "next_text")).alias("c")).select("doc_id", "c.tipo", "c.ubicacion", "c.anterior", "c.nuevo", "c.explicacion")
 
 
 @query("SELECT doc_id, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+', '[correo]', 'g'), '(Bs|USD|US\\$)\\.? ?[0-9][0-9.,]*', '[monto]', 'g'), '[0-9]{5,}', '[numero]', 'g'), '[A-Z][a-z]+ [A-Z][a-z]+', '[nombre]', 'g'), 1, 300) AS redacted FROM documents")
@@ -142,24 +146,18 @@ def redact(t):
     return t("documents").select("doc_id", O.redacted(F.col("text")).alias("redacted"))
 
 
-@query("SELECT doc_id, sha256(text) AS joined FROM documents WHERE text IS NOT NULL")
-def cite_chunks(t):
-    """Cutting loses nothing: the pieces joined are the text."""
-    return t("documents").where("text is not null").select("doc_id", F.sha2(F.array_join(O.citable("text"), ""), 256).alias("joined"))
-
-
-@query("""SELECT doc_id, kind, count(*) AS n FROM (SELECT doc_id, CASE WHEN trim(line, ' ') = '' THEN 'blank' WHEN regexp_matches(line, '^[^a-zà-ÿ]+$') THEN 'heading' WHEN contains(line, ' | ') THEN 'table' WHEN length(line) < 40 THEN 'short' ELSE 'text' END AS kind
-       FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY 1, 2""")
-def draft_line_kinds(t):
-    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    kind = F.when(F.trim("line") == "", "blank").when(F.rlike("line", F.lit("^[^a-zà-ÿ]+$")), "heading").when(F.contains("line", F.lit(" | ")), "table").when(F.length("line") < 40, "short").otherwise("text")
-    return lines.select("doc_id", kind.alias("kind")).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+# A piece ends behind the last sentence end in its 350 characters, else the last line end, else the last space, else there.
+CUT = r"""CASE WHEN length(rest) <= 350 THEN length(rest) WHEN regexp_matches(head, '[.;!?]\s') THEN length(regexp_extract(head, '^(.*[.;!?]\s)', 1, 's')) WHEN contains(head, chr(10)) THEN length(regexp_extract(head, '^(.*\n)', 1, 's'))
+         WHEN contains(head, ' ') THEN length(regexp_extract(head, '^(.* )', 1, 's')) ELSE 350 END"""
 
 
-@query("SELECT doc_id, count(*) FILTER (NOT contains(line, 'License')) AS kept, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
-def noise_lines(t):
-    lines = t("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return lines.groupBy("doc_id").agg(F.count_if(~F.contains("line", F.lit("License"))).alias("kept"), F.count(F.lit(1)).alias("lines"))
+@query(f"""WITH RECURSIVE c AS (SELECT doc_id, -1 AS j, text AS rest, substr(text, 1, 350) AS head, '' AS piece FROM documents WHERE text <> '' UNION ALL
+       SELECT doc_id, j + 1, substr(rest, {CUT} + 1), substr(rest, {CUT} + 1, 350), substr(rest, 1, {CUT}) FROM c WHERE rest <> '')
+       SELECT doc_id, CAST(j AS INTEGER) AS j, sha256(piece) AS piece, length(piece) AS n FROM c WHERE j >= 0""")
+def cite_chunks(t):
+    """Pieces of a text at most 350 characters long, cut behind sentences, lines or spaces; joined they are the text."""
+    rows = t("documents").where("text <> ''").select("doc_id", F.posexplode(O.citable("text")).alias("j", "piece"))
+    return rows.select("doc_id", "j", F.sha2("piece", 256).alias("piece"), F.length("piece").cast("long").alias("n"))
 
 
 @query("SELECT page_id, md5(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '\\n{3,}', chr(10) || chr(10), 'g')) AS h, length(regexp_replace(html, '[ \\t\\n\\r\\f\\v]', '', 'g')) >= 200 AS long_enough FROM pages")
@@ -179,23 +177,29 @@ def ingest_status(t):
 # Retrieval: the benchmark's items are the queries, documents the corpus.
 
 
-def post(t):
-    return R.postings(t("documents"), "doc_id", F.col("text"))
+TELLING = 0.2
+
+
+def post(t, wanted=None):
+    """Postings of what is asked for, without words that more than a fifth of all documents have."""
+    docs = t("documents")
+    return R.telling(R.asked_postings(docs, "doc_id", F.col("text"), asked(t) if wanted is None else wanted), docs.count(), TELLING)
 
 
 def asked(t):
     return R.lexemes(t("benchmark"), "item_id", F.col("text"))
 
 
-POST = f"post AS (SELECT doc_id, w AS lexeme, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format('text', 1)}) AS w FROM documents) GROUP BY 1, 2)"
+ALL_POST = f"post AS (SELECT doc_id, w AS lexeme, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format('text', 1)}) AS w FROM documents) GROUP BY 1, 2)"
+POST = ALL_POST.replace("post AS", "every AS", 1) + f", post AS (SELECT * FROM every WHERE lexeme IN (SELECT lexeme FROM every GROUP BY 1 HAVING count(*) <= {TELLING} * (SELECT count(*) FROM documents)))"
 ASK = f"ask AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format('text', 1)}) AS lexeme FROM benchmark)"
 HITS = "hits AS (SELECT query_id, doc_id, sum(n) AS h FROM post JOIN ask USING (lexeme) GROUP BY 1, 2)"
 RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, doc_id) AS rank FROM hits)"
 
 
-@query(f"WITH {POST} SELECT lexeme, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM post GROUP BY 1")
+@query(f"WITH {ALL_POST} SELECT lexeme, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM post WHERE lexeme <> '' GROUP BY 1")
 def postings(t):
-    return post(t).groupBy("lexeme").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    return R.postings(t("documents"), "doc_id", F.col("text")).groupBy("lexeme").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
 
 
 @query(f"WITH {ASK} SELECT query_id, lexeme FROM ask")
@@ -222,10 +226,10 @@ def union_concepts(t):
     """All concepts in one scan of the postings."""
     spark = t("documents").sparkSession
     concepts = R.lexemes(spark.createDataFrame(CONCEPTS, "name string, text string"), "name", F.col("text"))
-    return R.search(post(t), concepts, 15).select("query_id", "doc_id")
+    return R.search(post(t, concepts), concepts, 15).select("query_id", "doc_id")
 
 
-@query(f"""WITH {POST}, {ASK}, hits AS (SELECT query_id, doc_id, lang, sum(n) AS h FROM post JOIN ask USING (lexeme) JOIN documents USING (doc_id) WHERE query_id % 4 <> 0 OR lang = 'xx' OR true GROUP BY 1, 2, 3),
+@query(f"""WITH {POST}, {ASK}, hits AS (SELECT query_id, doc_id, lang, sum(n) AS h FROM post JOIN ask USING (lexeme) JOIN documents USING (doc_id) GROUP BY 1, 2, 3),
        w AS (SELECT *, query_id % 3 = 0 AND lang = 'de' OR query_id % 3 <> 0 AND lang = 'xx' AS inside FROM hits),
        n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, doc_id) AS k FROM w WHERE inside), a AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, doc_id) AS k FROM w)
        SELECT query_id, doc_id FROM n WHERE k <= 5 UNION ALL SELECT query_id, doc_id FROM a WHERE k <= 5 AND query_id NOT IN (SELECT query_id FROM n)""")
@@ -252,13 +256,21 @@ def vector_quality(t):
     return t("embeddings").select("vec_id", *G.vector_checks(F.col("embedding"), 64))
 
 
-LISTS = f"WITH {POST}, {ASK}, {HITS}, {RANKED}, a AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 20), b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY n_chars, doc_id) AS rank FROM a JOIN documents USING (doc_id) WHERE n_chars > 500)"
+NEAR = "near AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT item_id AS query_id, e.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score FROM benchmark JOIN embeddings q ON q.vec_id = item_id, embeddings e WHERE q.label <> 3))"
+LISTS = f"WITH {POST}, {ASK}, {HITS}, {RANKED}, {NEAR}, a AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 20), b AS (SELECT query_id, doc_id, rank FROM near WHERE rank <= 20)"
+
+
+def nearest(t, k=20):
+    """The semantic channel: a document's vector is that with its number, a question's that with the item's number, for the
+    model that makes them is outside. Questions of label 3 have no current vector and go without."""
+    vectors = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    own = t("embeddings").where("label <> 3").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("q"))
+    queries = t("benchmark").join(own, "item_id").select(F.col("item_id").alias("query_id"), "q")
+    return R.cosine_top(vectors, queries, k).select("query_id", F.col("id").alias("doc_id"), "rank")
 
 
 def two_lists(t):
-    first = R.search(post(t), asked(t), 20)
-    second = top_n(first.join(t("documents").select("doc_id", "n_chars"), "doc_id").where("n_chars > 500").drop("rank"), ["query_id"], [F.col("n_chars"), F.col("doc_id")], 1000)
-    return first, second
+    return R.search(post(t), asked(t), 20), nearest(t)
 
 
 @query(f"{LISTS} SELECT query_id, doc_id, a.rank AS rank_a, b.rank AS rank_b FROM a FULL JOIN b USING (query_id, doc_id)")
@@ -287,41 +299,91 @@ def anchor(t):
     return R.anchors(t("conversations").select(F.col("conv_id").alias("query_id"), F.col("text").alias("concept")))
 
 
-@query(f"""WITH b AS (SELECT item_id, {ROOTS.format('text')} AS asked FROM benchmark), d AS (SELECT doc_id, {ROOTS.format('split_part(text, chr(10), 1)')} AS head, {ROOTS.format('text')} AS body FROM documents)
+PAIRS = f"WITH {POST}, {ASK}, {HITS}, {RANKED}, pairs AS (SELECT query_id AS item_id, doc_id FROM ranked WHERE rank <= 20)"
+
+
+def pairs(t):
+    """Items and the documents that the lexical channel finds for them, which is what later steps look at."""
+    return R.search(post(t), asked(t), 20).select(F.col("query_id").alias("item_id"), "doc_id")
+
+
+def with_texts(t, found, name="asked_text"):
+    """Pairs of items and documents with both texts. Pairs are as many as the stated items times the limit, so they go to the documents."""
+    both = F.broadcast(found.join(t("benchmark").select("item_id", F.col("text").alias(name)), "item_id"))
+    return t("documents").select("doc_id", "text").join(both, "doc_id")
+
+
+@query(f"""{PAIRS}, b AS (SELECT item_id, {ROOTS.format('text')} AS asked FROM benchmark), d AS (SELECT doc_id, {ROOTS.format('split_part(text, chr(10), 1)')} AS head, {ROOTS.format('text')} AS body FROM documents)
        SELECT item_id, doc_id, CAST(CASE WHEN list_contains(head, list_sort(asked)[1]) OR list_contains(body, list_sort(asked)[1]) THEN 6 ELSE 0 END + 2 * len(list_intersect(asked, head)) + len(list_intersect(asked, body)) AS INTEGER) AS affinity
-       FROM b JOIN d ON item_id = doc_id % 40""")
+       FROM pairs JOIN b USING (item_id) JOIN d USING (doc_id)""")
 def affinity(t):
-    asks = t("benchmark").select("item_id", X.roots(F.col("text")).alias("asked"))
-    docs = t("documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    value = R.affinity(F.get(F.array_sort("asked"), F.lit(0)), F.col("asked"), F.substring_index("text", "\n", 1), F.col("text"))
-    return docs.join(asks, "item_id").select("item_id", "doc_id", value.alias("affinity"))
+    """Of each item and the documents that are found for it."""
+    roots = X.roots(F.col("asked_text"))
+    value = R.affinity(F.get(F.array_sort(roots), F.lit(0)), roots, F.substring_index("text", "\n", 1), F.col("text"))
+    return with_texts(t, pairs(t)).select("item_id", "doc_id", value.alias("affinity"))
+
+
+#: What the driver's questions are about: words of its languages that some of them have.
+DRIVER_CONCEPTS = ((r"\bthe\b", "that with this"), (r"\bof\b", "that from were"), (r"\bque\b", "para esta"), (r"\bder\b", "nicht eine"))
+CONCEPTS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(strip_accents(lower(text)), '{p}') THEN '{c}' END" for p, c in DRIVER_CONCEPTS) + "], lambda x: x IS NOT NULL)"
+ANCHOR_SQL = f"(SELECT query_id, root FROM (SELECT query_id, root, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, root) AS k, count(*) AS n FROM (SELECT query_id, unnest({ROOTS.format('c')}) AS root FROM (SELECT item_id AS query_id, unnest({CONCEPTS_SQL}) AS c FROM benchmark)) GROUP BY 1, 2) WHERE k = 1 AND n > 1)"
+HYBRID = f"""{LISTS}, f AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2),
+       c AS (SELECT item_id AS query_id, cs, {ROOTS.format("array_to_string(cs, ' ')")} AS asked FROM (SELECT item_id, {CONCEPTS_SQL} AS cs FROM benchmark)),
+       r AS (SELECT doc_id, {ROOTS.format("split_part(text, chr(10), 1)")} AS head, {ROOTS.format('text')} AS body FROM documents),
+       s AS (SELECT f.*, CAST(CASE WHEN len(cs) = 0 THEN 0 ELSE CASE WHEN list_contains(head, root) OR list_contains(body, root) THEN 6 ELSE 0 END + 2 * len(list_intersect(asked, head)) + len(list_intersect(asked, body)) END AS INTEGER) AS affinity
+             FROM f JOIN r USING (doc_id) JOIN c USING (query_id) LEFT JOIN {ANCHOR_SQL} USING (query_id)),
+       h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY affinity DESC, score DESC, doc_id) AS place FROM s)"""
+
 
+def asked_about(t):
+    return t("benchmark").select(F.col("item_id").alias("query_id"), "text", R.concepts(F.col("text"), DRIVER_CONCEPTS).alias("concepts"))
 
-@query(f"""{LISTS}, f AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1, 2),
-       s AS (SELECT f.*, 2 * len(list_intersect({ROOTS.format('i.text')}, {ROOTS.format('split_part(d.text, chr(10), 1)')})) + len(list_intersect({ROOTS.format('i.text')}, {ROOTS.format('d.text')})) AS aff FROM f JOIN documents d USING (doc_id) JOIN benchmark i ON item_id = query_id)
-       SELECT query_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY aff DESC, round(score, 9) DESC, doc_id) AS place FROM s) WHERE place <= 5""")
+
+def found_by_both(t, limit=5):
+    docs = t("documents").select("doc_id", F.substring_index("text", "\n", 1).alias("heading"), F.col("text").alias("body"))
+    return R.hybrid(*two_lists(t), asked_about(t), docs, limit)
+
+
+@query(f"{HYBRID} SELECT query_id, doc_id, affinity, score, place FROM h WHERE place <= 5")
 def hybrid_search(t):
-    """Two channels, fused, reranked by affinity, then fusion score, then id."""
-    a, b = two_lists(t)
-    lists = a.select("query_id", "doc_id", "rank", F.lit("a").alias("list")).unionByName(b.select("query_id", "doc_id", "rank", F.lit("b").alias("list")))
-    fused = R.fuse(lists).withColumn("score", F.round("score", 9)).join(t("documents").select("doc_id", "text"), "doc_id")
-    both = fused.join(t("benchmark").select(F.col("item_id").alias("query_id"), X.roots(F.col("text")).alias("asked")), "query_id")
-    scored = both.withColumn("aff", R.affinity(F.lit(None).cast("string"), F.col("asked"), F.substring_index("text", "\n", 1), F.col("text"))).drop("text", "asked")
-    return top_n(scored, ["query_id"], [F.col("aff").desc(), F.col("score").desc(), F.col("doc_id")], 5, "place").select("query_id", "doc_id", F.col("place").cast("long").alias("place"))
+    """Lexical and exact cosine candidates, fused, reordered by affinity with the question's concepts and their anchor."""
+    return found_by_both(t).select("query_id", "doc_id", "affinity", "score", F.col("place").cast("long").alias("place"))
+
+
+@query(f"{HYBRID} SELECT query_id, count(*) AS n, CASE WHEN query_id IN (SELECT query_id FROM near) THEN 'hibrida' ELSE 'lexica' END AS mode, CASE WHEN query_id IN (SELECT query_id FROM near) THEN NULL ELSE '{R.NO_VECTORS}' END AS warning FROM h WHERE place <= 5 GROUP BY 1")
+def degrade_lexical(t):
+    """Questions without a current vector are served by the lexical channel, with a warning."""
+    return found_by_both(t).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.first("mode").alias("mode"), F.first("warning").alias("warning"))
+
+
+QUESTIONS = """CASE c % 9 WHEN 0 THEN 'El inquilino no paga el alquiler y quiero venderlo' WHEN 1 THEN 'Compré una casa al vendedor' WHEN 2 THEN 'Mi papá falleció sin testamento' WHEN 3 THEN 'Me debe dinero y se atrasó'
+             WHEN 4 THEN 'Presté dinero: hay daño' WHEN 5 THEN 'Hay que repartir los bienes de la herencia' WHEN 6 THEN 'La servidumbre del vecino' WHEN 7 THEN 'Responsabilidad contractual por un alquiler de un año' ELSE 'Otra cosa' END || ', cliente ' || CAST(c AS STRING)"""
+#: What each of them is expanded with: the words of all rules that it meets, each once.
+EXPANDED = {
+    0: "arrendamiento arrendatario arrendador locacion enajenacion cosa arrendada adquirente respetar mora requerimiento intimacion retraso incumplimiento resarcimiento", 1: "venta vendedor comprador obligaciones entrega transferencia",
+    2: "sucesion legal herencia hijos descendientes", 3: "obligacion deudor acreedor pago cumplimiento mora requerimiento intimacion retraso incumplimiento resarcimiento", 4: "prestamo mutuo restitucion deudor acreedor obligacion responsabilidad hecho ilicito resarcimiento dano",
+    5: "particion division herencia coherederos comunidad", 6: "servidumbre paso ejercicio",
+    7: "responsabilidad contractual incumplimiento obligacion deudor mora resarcimiento dano perjuicios cumplimiento arrendamiento arrendatario arrendador locacion duracion plazo termino convenido",
+}
+
 
+WHENS = " ".join(f"WHEN {k} THEN ' {w}'" for k, w in EXPANDED.items())
 
-@query("SELECT item_id, text || CASE WHEN regexp_matches(strip_accents(lower(text)), '\\bthe\\b') THEN ' article definite' ELSE '' END || CASE WHEN regexp_matches(strip_accents(lower(text)), '\\bque\\b') THEN ' relative' ELSE '' END AS expanded FROM benchmark")
+
+@query(f"SELECT c, q || CASE c % 9 {WHENS} ELSE '' END AS expanded FROM (SELECT c, {QUESTIONS} AS q FROM (SELECT c_custkey AS c FROM customer))")
 def expand_query(t):
-    return t("benchmark").select("item_id", R.expanded(F.col("text"), ((r"\bthe\b", "article definite"), (r"\bque\b", "relative"))).alias("expanded"))
+    """Questions with the concepts of all rules that they meet behind them."""
+    asked = t("customer").select(F.col("c_custkey").alias("c")).select("c", F.expr(QUESTIONS).alias("q"))
+    return asked.select("c", R.expanded(F.col("q"), D.EXPANSIONS).alias("expanded"))
 
 
 # Grounding.
 
 
-@query("SELECT d.doc_id, b.item_id, contains(regexp_replace(lower(d.text), '\\s+', ' ', 'g'), regexp_replace(lower(b.text), '\\s+', ' ', 'g')) AS literal FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40")
+@query(f"{PAIRS} SELECT doc_id, item_id, contains(regexp_replace(lower(d.text), '\\s+', ' ', 'g'), regexp_replace(lower(b.text), '\\s+', ' ', 'g')) AS literal FROM pairs JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)")
 def quote_literal(t):
-    docs = t("documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("item_id"))
-    return docs.join(t("benchmark").select("item_id", F.col("text").alias("quote")), "item_id").select("doc_id", "item_id", G.quoted(F.col("text"), F.col("quote")).alias("literal"))
+    """Whether the documents that are found for an item hold it literally."""
+    return with_texts(t, pairs(t)).select("doc_id", "item_id", G.quoted(F.col("text"), F.col("asked_text")).alias("literal"))
 
 
 @query("""WITH d AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[0-9]+')) AS n FROM documents), e AS (SELECT doc_id - 1 AS doc_id, n AS e FROM d)
@@ -331,29 +393,3 @@ def doc_figures(t):
     docs = t("documents").select("doc_id", G.figures(F.col("text")).alias("n"))
     evidence = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("n").alias("e"))
     return docs.join(evidence, "doc_id", "left").select("doc_id", F.size(F.array_except("n", F.coalesce("e", F.array().cast("array<string>")))).alias("unsupported"))
-
-
-@query("""SELECT doc_id, n FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+'))) AS n FROM documents) WHERE TRY_CAST(n AS BIGINT) NOT IN (SELECT p_partkey FROM part)""")
-def articles_subset(t):
-    """References to numbers that no source has."""
-    cited = t("documents").select("doc_id", F.explode(G.figures(F.col("text"))).alias("n")).withColumn("k", F.expr("try_cast(n as bigint)")).where("k is not null")
-    return cited.join(t("part").select(F.col("p_partkey").alias("k")), "k", "left_anti").select("doc_id", "n")
-
-
-@query("""SELECT l_orderkey, CAST(count(*) FILTER (n > 1) AS BIGINT) AS repeated, CAST(count(*) FILTER (p IS NULL) AS BIGINT) AS foreign_source FROM
-       (SELECT l_orderkey, l_suppkey, count(*) AS n, max(s_suppkey) AS p FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0 GROUP BY 1, 2) GROUP BY 1""")
-def coverage_check(t):
-    sources = t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(1).alias("there"))
-    each = t("lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count(F.lit(1)).alias("n")).join(sources, "l_suppkey", "left")
-    return each.groupBy("l_orderkey").agg(F.count_if(F.col("n") > 1).alias("repeated"), F.count_if(F.col("there").isNull()).alias("foreign_source"))
-
-
-@query("SELECT doc_id, regexp_matches(strip_accents(lower(text)), '\\b(?:license|licence|apache|mit|gpl)\\b') AS external_ref FROM documents")
-def external_ref(t):
-    return t("documents").select("doc_id", X.any_of(X.fold(F.col("text")), (r"\b(?:license|licence|apache|mit|gpl)\b",)).alias("external_ref"))
-
-
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(text) < 200 THEN 'short' WHEN NOT regexp_matches(text, '[.!?]') THEN 'no sentence' WHEN regexp_matches(text, '[0-9]{6,}') THEN 'figures' ELSE 'kept' END AS reason FROM documents) GROUP BY 1""")
-def context_prune(t):
-    reason = F.when(F.length("text") < 200, "short").when(~F.rlike("text", F.lit("[.!?]")), "no sentence").when(F.rlike("text", F.lit("[0-9]{6,}")), "figures").otherwise("kept")
-    return t("documents").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
