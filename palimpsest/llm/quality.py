@@ -64,9 +64,7 @@ def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
     split = read.select("doc_id", "t", *row, F.when(loose, F.filter(F.split("f", " "), lambda w: w != "")).otherwise(F.split("f", " ")).alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     bare = F.array_join("w", "")
-    return split.select(
-        "doc_id",
-        *row,
+    counts = (
         F.size("w").cast("long").alias("n_words"),
         F.length(bare).cast("long").alias("word_chars"),
         held("#*$%&|<>").alias("n_symbols"),
@@ -79,6 +77,8 @@ def stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole
         held("!?").alias("shouts"),
         held(".,").alias("stops"),
     )
+    # Rows of one element each: what follows reads the counts as they are made, and can't be merged into their making.
+    return split.select("doc_id", *row, F.inline_outer(F.array(F.struct(*counts))))
 
 
 def held(characters: str) -> Column:
@@ -165,9 +165,8 @@ def fit(counted: DataFrame) -> dict:
     return model
 
 
-def decided(counted: DataFrame, threshold: float) -> DataFrame:
-    """A written stats() with the votes, the posterior that the document is good, base_failed and kept."""
-    model = fit(counted)
+def decided(counted: DataFrame, model: dict, threshold: float) -> DataFrame:
+    """stats() with the votes, the posterior that the document is good, base_failed and kept."""
     posterior = F.lit(1.0) / (1 + F.exp(-log_odds(model)))
     voted = counted.withColumns(votes()).withColumn("posterior", posterior)
     return voted.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
@@ -175,9 +174,12 @@ def decided(counted: DataFrame, threshold: float) -> DataFrame:
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """stats() with the votes, the posterior that the document is good, base_failed and kept."""
-    return decided(written(stats(docs, id_col, text_col), "stats"), threshold)
+    counted = written(stats(docs, id_col, text_col), "stats")
+    return decided(counted, fit(counted), threshold)
 
 
 def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that judged() keeps, with all their columns. Counts are written beside the documents, so no text is shuffled."""
-    return decided(written(stats(docs, id_col, text_col, whole=True), "stats"), threshold).where("kept").select("row.*")
+    """The documents that judged() keeps, with all their columns. Counts are made twice, for the model and for the verdict,
+    so that no text is shuffled or written a second time."""
+    model = fit(stats(docs, id_col, text_col))
+    return decided(stats(docs, id_col, text_col, whole=True), model, threshold).where("kept").select("row.*")
