@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GROUP_BYTES = 4 << 20  # of texts that are split at once; a longer text comes in several parts
+GROUP_BYTES = 1 << 20  # of texts that are split at once; a longer text comes in several parts
 BATCH_BYTES = 1 << 18  # of pieces that go to the library at once
-KEPT_PIECES, KEPT_BYTES = 400_000, 1 << 10  # pieces that a worker remembers from group to group, and their size
+KEPT_PIECES, KEPT_BYTES = 200_000, 1 << 10  # pieces that a worker remembers from group to group, and their size
 
 #: Bytes that may follow a space at which a text is cut: no ASCII white space or control, no first byte of a Unicode space.
 FOLLOWS = np.array([0x20 < b and b not in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) for b in range(256)])
