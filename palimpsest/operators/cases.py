@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dictionaries as D
@@ -48,6 +48,17 @@ def heading_fits(question: Column, heading: Column) -> Column:
     return out
 
 
+def fitting(questions: DataFrame, headings: DataFrame, question: str, heading: str) -> DataFrame:
+    """heading_fits() of every question and every heading of a stated set, which goes to every task: adds family and fits.
+    What is read from either text is read once, before they meet."""
+    weak = F.array(*map(F.lit, D.WEAK_WORDS))
+    asked = questions.withColumns({"family": theme(F.col(question)), "__asked": F.array_except(long_words(F.col(question)), weak)})
+    told = headings.withColumns({"__families": all_of(fold(F.col(heading)), tuple((n, p) for n, _, p in D.THEMES)), "__told": long_words(F.col(heading))})
+    shared = F.size(F.array_intersect("__asked", "__told")) >= 2
+    both = asked.crossJoin(F.broadcast(told))
+    return both.withColumn("fits", F.when(F.col("family").isNotNull(), F.array_contains("__families", F.col("family"))).otherwise(shared)).drop("__asked", "__told", "__families")
+
+
 def focus(heading: Column, body: Column) -> Column:
     """How general a rule on failure and its consequence is: whole numbers, more is better."""
     h, b = fold(heading), fold(body)

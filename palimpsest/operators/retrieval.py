@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import fold, roots, words
+from palimpsest.functions.text import WORD, fold, roots, words
 from palimpsest.operators.relational import top_n
 
 WEIGHT, K = 0.1, 60
@@ -157,10 +157,11 @@ def focal(candidates: DataFrame, priority: Column, n: int) -> DataFrame:
 
 def snippet(text: Column, asked: Column, most: int = 40, least: int = 15) -> Column:
     """The first run of at most `most` words that begins at a hit; where fewer than `least` words follow it, the last `least`."""
-    whole = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    hit = F.array_position(F.transform(whole, lambda w: F.arrays_overlap(words(w, 1), asked)), True)
+    whole = F.filter(F.zip_with(F.split(text, r"\s+"), F.split(fold(text), r"\s+"), lambda w, low: F.struct(w.alias("w"), low.alias("low"))), lambda x: x["w"] != "")
+    # What is asked is taken from an array of one, or it would be made anew for every word.
+    hit = F.get(F.transform(F.array(asked), lambda q: F.array_position(F.transform(whole, lambda x: F.arrays_overlap(F.split(x["low"], WORD), q)), True)), F.lit(0))
     start = F.greatest(F.lit(1), F.least(hit.cast("int"), F.size(whole) - least + 1))
-    return F.when(hit > 0, F.array_join(F.slice(whole, start, F.lit(most)), " "))
+    return F.when(hit > 0, F.array_join(F.transform(F.slice(whole, start, F.lit(most)), lambda x: x["w"]), " "))
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, docs: DataFrame, limit: int, k: int = K) -> DataFrame:

@@ -176,8 +176,18 @@ def bind(spec: ReportSpec, catalog: dict[str, Entity], tables: Tables, owner: ob
     if chart != "table" and not (columns[0][2] != NUMBER and any(k == NUMBER for _, _, k in columns[1:])):
         warnings.append("a chart needs a label and a number; shown as a table")
         chart = "table"
-    title = spec.title or (f"{entity.label} por {', '.join(f.label.lower() for _, f in groups)}" if groups else entity.label)
-    return Bound(df, columns, [d for _, d in conditions], warnings, title, chart, limit)
+    return Bound(df, columns, [d for _, d in conditions], warnings, spec.title or default_title(entity, spec, [f for _, f in groups]), chart, limit)
+
+
+def default_title(entity: Entity, spec: ReportSpec, groups: list[Field]) -> str:
+    """What a report without a title shows: its groups, else the value of the first equality with one of a field's values."""
+    if groups:
+        return f"{entity.label} por {', '.join(f.label.lower() for f in groups)}"
+    for told in spec.filters:
+        found = entity.fields.get(told.field.strip().lower())
+        if found is not None and found.kind == ENUM and told.op == "eq":
+            return f"{entity.label}: {told.value}"
+    return entity.label
 
 
 def sorting(entity: Entity, spec: ReportSpec, groups: list, sums: list, warnings: list[str]) -> tuple[list[Column], list[Column]]:

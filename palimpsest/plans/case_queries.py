@@ -39,9 +39,8 @@ ASKED_OF = "SELECT conv_id, turn, c.text AS q, b.text AS h, item_id FROM convers
        (SELECT *, {case_sql('f', D.THEMES)} AS family FROM (SELECT item_id, {FOLD.format('q')} AS f, {FOLD.format('h')} AS h FROM ({ASKED_OF}))) GROUP BY 1, 2""")
 def family_pertinence(t):
     """Every turn as a question against every benchmark item as a heading, a stated set that goes to every task: how many fit."""
-    headings = F.broadcast(t("benchmark").select("item_id", F.col("text").alias("heading")))
-    both = t("conversations").select("text").crossJoin(headings)
-    return both.groupBy("item_id", C.theme(F.col("text")).alias("family")).agg(F.count_if(C.heading_fits(F.col("text"), F.col("heading"))).alias("fitting"), F.count(F.lit(1)).alias("asked"))
+    both = C.fitting(t("conversations").select("text"), t("benchmark").select("item_id", F.col("text").alias("heading")), "text", "heading")
+    return both.groupBy("item_id", "family").agg(F.count_if("fits").alias("fitting"), F.count(F.lit(1)).alias("asked"))
 
 
 FOCUS = """CAST(CASE WHEN contains(h, 'responsabilidad') AND contains(h, 'deudor') THEN 3 ELSE 0 END + CASE WHEN contains(h, 'resarcimiento') AND NOT contains(h, 'pecuniari') THEN 2 ELSE 0 END
@@ -225,3 +224,11 @@ def retrieve_by_problem(t):
     lexical, semantic = (named(x) for x in two_lists(t))
     wanted = lexical.unionByName(semantic).select("problem", "doc_id").distinct().join(t("documents").where("n_chars >= 200").select("doc_id"), "doc_id")
     return R.by_problem(lexical, semantic, wanted, 3, 6)[1].select("case", "problem", F.col("position").cast("long").alias("position"), "doc_id")
+
+
+@query(f"""{PAIRS}, w AS (SELECT item_id, doc_id, list_filter(regexp_split_to_array(d.text, '\\s+'), lambda x: x <> '') AS w, {TOKENS.format('b.text', 1)} AS asked FROM pairs JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
+       h AS (SELECT item_id, doc_id, w, list_position(list_transform(w, lambda x: len(list_intersect({TOKENS.format('x', 1).replace('w:', 'y:').replace('length(w)', 'length(y)')}, asked)) > 0), true) AS hit FROM w)
+       SELECT item_id, doc_id, array_to_string(list_slice(w, greatest(1, least(hit, len(w) - 14)), greatest(1, least(hit, len(w) - 14)) + 39), ' ') AS snippet FROM h""")
+def fts_snippet(t):
+    """Of each result the words from the first hit on."""
+    return with_texts(t, pairs(t)).select("item_id", "doc_id", R.snippet(F.col("text"), X.words(F.col("asked_text"), 1)).alias("snippet"))

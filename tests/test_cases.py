@@ -40,7 +40,7 @@ def test_budget(spark):
             if len(kept) < 4 and used + n <= 100:
                 kept.append(i)
                 used += n
-        df = spark.createDataFrame([([(i, "x" * n) for i, n in enumerate(sizes)],)], "c array<struct<i:int,text:string>>")
+        df = spark.createDataFrame([(list(enumerate(sizes)),)], "c array<struct<i:int,n:int>>")
         assert [r["i"] for r in df.select(C.budgeted(F.col("c"), 4, 100).alias("k")).first()["k"]] == kept
 
 
@@ -67,3 +67,36 @@ def test_review(spark):
 def test_drafts(spark):
     text = one(spark, C.draft(F.lit("T"), {"a": F.lit("1"), "b": F.lit(None).cast("string"), "c": F.lit(" ")}))[0]
     assert text == "T\na: 1\nb: [FALTA: b]\nc: [FALTA: c]" and one(spark, C.pending(F.lit(text)), C.pending(F.lit("x"))) == (["b", "c"], [])
+
+
+def test_account_of_a_building_contract(spark):
+    """The facts of an account with amounts, shares, dates and a further term, and the ceiling that follows from them."""
+    told = (
+        "El 10 de enero de 2026 contraté a una empresa para remodelar por Bs 180.000 en total.\nPagué un anticipo de Bs 72.000.\nQuedó un saldo de Bs 108.000.\n"
+        "La cláusula penal es de 0,5% por día de retraso.\nLa penalidad tiene un máximo del 10%.\nDebía entregar hasta el 5 de mayo de 2026.\n"
+        "Le di diez días adicionales.\nOtra empresa cobró Bs 28.000 para terminar y reparar.\n1. ¿Hay mora?"
+    )
+    facts, cap = one(spark, C.case_facts(F.lit(told)), C.capped(C.case_facts(F.lit(told))))
+    assert {f["label"]: f["value"] for f in facts} == {
+        "precio_total": "180000", "anticipo": "72000", "saldo_pendiente": "108000", "gasto_adicional": "28000", "penalidad_diaria": "0.5", "tope_contractual": "10",
+        "fecha_contrato": "10 de enero de 2026", "fecha_entrega_pactada": "5 de mayo de 2026", "plazo_adicional": "diez días adicionales",
+    }
+    assert str(cap) == "18000.00" and all(f["evidence"] in told for f in facts)
+    assert one(spark, C.case_facts(F.lit("")), C.capped(C.case_facts(F.lit("nada")))) == ([], None)
+
+
+def test_spans(spark):
+    import re
+
+    rnd = random.Random(3)
+    for pattern in (r"\d+", r"(?i)a+b", "é[xy]"):
+        texts = ["", "no"] + ["".join(rnd.choice("aAbé xy12\n") for _ in range(60)) for _ in range(20)]
+        got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", X.spans(F.col("t"), pattern).alias("s")).collect()
+        assert {r["i"]: [tuple(x) for x in r["s"]] for r in got} == {i: [(m.start(), m.group()) for m in re.finditer(pattern, t)] for i, t in enumerate(texts)}
+
+
+def test_signals_of_what_is_asked(spark):
+    asked = F.array(F.lit("plazo"))
+    score = lambda text, intent: C.chunk_score(asked, F.lit("plazo"), F.lit(text), F.lit(intent))
+    got = one(spark, score("El plazo es de doce meses, con vencimiento", "plazo"), score("Nada dice", "plazo"), score("El plazo", None))
+    assert [round(x, 6) for x in got] == [1 + 0.9 + 0.25, 0.0, 1.0]

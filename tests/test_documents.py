@@ -71,11 +71,18 @@ def test_types_and_intents(spark):
 
 def test_changes():
     new = LEASE.replace("1.500,00", "1.600,00").replace("CLAUSULA 3 Se permite el subarriendo del inmueble.\n", "CUARTA.- Nueva\n")
-    assert [(c[0], c[1]) for c in O.changes(LEASE, new)] == [("eliminado", "3"), ("agregado", "CUARTA")]  # headings hold the first amount's line
+    told = O.changes(LEASE, new)
+    assert [c[:2] for c in told] == [("modificado", "Cláusula PRIMERA"), ("eliminado", "Cláusula 3"), ("agregado", "Cláusula CUARTA")]
+    assert [c[4] for c in told] == ["El monto cambió de Bs. 1.500,00 a Bs. 1.600,00.", "Se eliminó la cláusula 3.", "Se agregó la cláusula cuarta."] and [c[5] for c in told] == [1, 3, 3]
+    assert [c[:2] for c in O.changes("PRIMERA.- El precio es 100 Bs.", "PRIMERA.- El precio es 900 Bs.")] == [("modificado", "Cláusula PRIMERA")]  # a clause of one line
     body = "PRIMERA.-\nuno\nSEGUNDA.-\ndos\n"
-    assert [c[:2] for c in O.changes(body, body.replace("dos", "tres"))] == [("modificado", "SEGUNDA")]
+    assert [c[:2] for c in O.changes(body, body.replace("dos", "tres"))] == [("modificado", "Cláusula SEGUNDA")]
     assert O.changes(body, body.replace("uno", "  uno ")) == []
-    assert [c[0] for c in O.changes("a\nb", "a\nc\nd")] == ["modificado", "agregado"]
+    assert [c[:2] for c in O.changes("a\nb", "a\nc\nd")] == [("modificado", "Párrafo 2"), ("agregado", "Párrafo 3")]
+    assert [c[:4] for c in O.changes("uno\nx\n\ndos", "cero\n\nuno\nx\n\ntres")] == [("agregado", "Párrafo 1", None, "cero"), ("modificado", "Párrafo 3", "dos", "tres")]  # paragraphs where there are two, numbers of the new version
+    assert O.changes("x" * 1300, "y")[0][2] == "x" * 1200 + "…"
+    assert O.explanation("Bs 1 y Bs 2", "Bs 1") == O.explanation("a", "b") == "El contenido de esta sección fue modificado."
+    assert O.explanation("dura dos meses desde 01/02/2024", "dura tres meses desde 01/03/2024") == "El plazo cambió de dos meses a tres meses."
 
 
 def test_pieces():

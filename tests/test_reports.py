@@ -5,7 +5,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.plans import dates
+from palimpsest.plans import dates, fidelity, sinks
 from palimpsest.plans.binder import bind, clamp
 from palimpsest.plans.driver_catalog import CATALOG
 from palimpsest.plans.spec import InvalidReport, ReportSpec
@@ -102,3 +102,39 @@ def test_filters_reach_the_scan(spark, tmp_path):
     b = bind(ReportSpec.parse({"entity": "orders", "columns": ["status"]}), CATALOG, lambda n: spark.read.parquet(path), 1, NOW)
     plan = b.df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_custkey,1)" in plan and "o_totalprice" not in plan
+
+
+def test_titles_facts_and_charts(tables):
+    spec = {"entity": "orders", "columns": ["key", "date", "status"], "filters": [{"field": "status", "op": "eq", "value": "F"}], "order": [{"field": "parts"}]}
+    bound = bind(ReportSpec.parse(spec), CATALOG, tables, 1, NOW)
+    assert bound.title == "Órdenes: F" and bind(ReportSpec.parse({"entity": "orders", "group_by": ["status"]}), CATALOG, tables, 1, NOW).title == "Órdenes por estado"
+    report = sinks.gathered(bound, "Órdenes", "mostrame las F", NOW)
+    assert report.facts[:3] == [("Petición", "mostrame las F"), ("Generado", "14/09/2026 22:30"), ("Entidad", "Órdenes")] and report.facts[-1][0] == "Avisos" and ("Resultados", "2") in report.facts
+    assert report.chart == (["—", "31/08/2026"], [4.0, 1.0], "Clave")
+    assert sinks.as_csv(report) == "Clave,Fecha,Estado\n4,—,F\n1,31/08/2026,F\n"
+    import json
+
+    told = json.loads(sinks.as_json(report))
+    assert told["filas"][0]["key"] == 4 and told["grafico"]["valores"] == [4.0, 1.0]
+    page = sinks.as_html(report)
+    assert page.count("<tr>") == 3 and "Órdenes: F" in page and "<meter" in page
+    empty = sinks.gathered(bind(ReportSpec.parse(spec | {"filters": [{"field": "status", "op": "eq", "value": "P"}]}), CATALOG, tables, 1, NOW), "Órdenes")
+    assert empty.chart is None and sinks.as_csv(empty) == "Clave,Fecha,Estado\n"
+    assert [sinks.cell(x) for x in (None, "", 1.5, 10.256, "x" * 301, [1, 2], datetime(2026, 9, 1, 2, tzinfo=UTC))] == ["—", "—", "1.5", "10.26", "x" * 300 + "…", "1, 2", "31/08/2026"]
+
+
+@pytest.mark.parametrize(
+    ("request_text", "groups", "totals", "chart"),
+    [
+        ("mostrame clave y cantidad de líneas de mis órdenes", (), 0, "table"), ("órdenes agrupadas por estado", ("status",), 1, "table"), ("cuántas órdenes hay por mes en un gráfico", ("status",), 1, "bar"),
+        ("el promedio de precios", (), 1, "table"), ("distribución por prioridad en torta", ("status",), 1, "pie"), ("ordenes por cliente", (), 0, "table"), ("exportalas a excel en un listado", (), 0, "table"),
+    ],
+)
+def test_reports_say_no_more_than_asked(request_text, groups, totals, chart):
+    spec = ReportSpec.parse({"entity": "orders", "group_by": ["status"], "aggregates": [{"function": "count"}], "chart": "bar"})
+    got = fidelity.faithful(spec, request_text, CATALOG)
+    assert (got.group_by, len(got.aggregates), got.chart) == (groups, totals, chart)
+    kept = fidelity.faithful(spec, "ordenalo al revés", CATALOG, spec)
+    assert (kept.group_by, kept.aggregates, kept.chart) == (spec.group_by, spec.aggregates, "bar")
+    assert [fidelity.file_asked(x) for x in ("a Excel", "en PowerPoint", "como PDF", "nada")] == ["xlsx", "pptx", "pdf", ""]
+    assert fidelity.faithful(ReportSpec("nope"), "x", CATALOG) == ReportSpec("nope")
