@@ -79,13 +79,18 @@ def literal_facts(text: Column, most: int = 24) -> Column:
     return F.slice(F.array_distinct(F.filter(parts, states)), 1, most)
 
 
+def folded_chunk_score(asked: Column, phrase: Column, told: Column, chunk: Column) -> Column:
+    """chunk_score() without an intent, of a phrase and a chunk that are folded already; told: the chunk's words."""
+    share = F.coalesce(F.try_divide(F.size(F.array_intersect(asked, told)), F.size(asked)), F.lit(0.0))
+    return share + F.when((F.size(asked) > 0) & (F.length(phrase) >= 12) & F.contains(chunk, phrase), 1.0).otherwise(0.0)
+
+
 def chunk_score(asked: Column, phrase: Column, chunk: Column, intent: Column | None = None, label: Column | None = None) -> Column:
     """Share of the asked words that a chunk has, and 1 more if it has the whole phrase of 12 characters or more. intent: what
     is asked about the document: 0.3 for each of up to three of its signals, 0.25 if the chunk's label or first 100
     characters have one of the first three."""
-    plain, whole = fold(chunk), fold(phrase)
-    share = F.size(F.array_intersect(asked, words(chunk))) / F.size(asked)
-    score = share + F.when((F.length(whole) >= 12) & F.contains(plain, whole), 1.0).otherwise(0.0)
+    plain = fold(chunk)
+    score = folded_chunk_score(asked, fold(phrase), words(chunk), plain)
     if intent is not None:
         head = fold(F.concat_ws(" ", label if label is not None else F.lit(""), F.substring(chunk, 1, 100)))
         bonus = F.lit(0.0)

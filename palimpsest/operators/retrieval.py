@@ -1,65 +1,21 @@
-"""Ranked retrieval: postings, OR search, exact cosine, reciprocal-rank fusion and thematic reranking, for many queries in one plan."""
+"""Ranked retrieval beyond the lexical channel: exact cosine, reciprocal-rank fusion and thematic reranking, for many queries in one plan."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import WORD, fold, roots, words
+from palimpsest.functions.text import WORD, fold, roots
+from palimpsest.operators.lexical import sent
 from palimpsest.operators.relational import top_n
 
-WEIGHT, K = 0.1, 60
-#: Bounds of what is sent to every task: asked lexemes, and numbers in the vectors of a block of queries.
-SENT_LEXEMES, SENT_NUMBERS = 500_000, 4_000_000
+K = 60
+SENT_NUMBERS = 4_000_000  # in the vectors of a block of queries, at most, which are sent to every task
 #: Text of a semantic query, whose vector comes from outside, and the vectors' version of a corpus entry.
 VERSION = "norma-v2"
 NO_VECTORS, NO_SERVICE = "No hay embeddings actuales; se utilizó la búsqueda léxica.", "El servicio local de inteligencia artificial no está disponible. Se utilizó la búsqueda léxica."
 
 
-def postings(docs: DataFrame, id_col: str, text: Column, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (doc_id, lexeme, n): how often a document has a folded word. Counts are partial before the shuffle."""
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.explode(words(text, 1)).alias("lexeme")).where("lexeme <> ''")
-    if stop_words:
-        tokens = tokens.where(~F.col("lexeme").isin(*stop_words))
-    return tokens.groupBy("doc_id", "lexeme").agg(F.count(F.lit(1)).alias("n"))
-
-
-def asked_postings(docs: DataFrame, id_col: str, text: Column, asked: DataFrame) -> DataFrame:
-    """postings() of the lexemes that are asked for alone; they are sent to every task where they are SENT_LEXEMES at most,
-    so that of a text only those words are shuffled."""
-    wanted = asked.select("lexeme").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= SENT_LEXEMES else wanted
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.explode(words(text, 1)).alias("lexeme"))
-    return tokens.join(wanted, "lexeme").groupBy("doc_id", "lexeme").agg(F.count(F.lit(1)).alias("n"))
-
-
-def telling(post: DataFrame, total: int, most: float) -> DataFrame:
-    """Postings of the lexemes that at most this share of all documents has: words that nearly every document has tell
-    nothing, and would bring every document to every query in one task. For languages without a list of stop words."""
-    common = post.groupBy("lexeme").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > most * total).select("lexeme")
-    return post.join(common, "lexeme", "left_anti")
-
-
-def lexemes(queries: DataFrame, id_col: str, text: Column, least: int = 1, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (query_id, lexeme), each once; a query without words has none and finds nothing."""
-    found = queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(words(text, least))).alias("lexeme")).where("lexeme <> ''")
-    return found.where(~F.col("lexeme").isin(*stop_words)) if stop_words else found
-
-
-def matches(post: DataFrame, asked: DataFrame) -> DataFrame:
-    """Rows (query_id, doc_id, hits): matching positions. Under OR each cover is one position, so rank is WEIGHT * hits."""
-    return post.join(asked, "lexeme").groupBy("query_id", "doc_id").agg(F.sum("n").alias("hits"))
-
-
-def search(post: DataFrame, asked: DataFrame, limit: int, with_total: bool = False) -> DataFrame:
-    """The first `limit` documents of each query by rank, then id: (query_id, doc_id, score, rank[, total])."""
-    found = matches(post, asked)
-    best = top_n(found.withColumn("score", F.round(WEIGHT * F.col("hits"), 4)), ["query_id"], [F.col("hits").desc(), F.col("doc_id")], limit).drop("hits")
-    if with_total:
-        best = best.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total")), "query_id")
-    return best
-
-
 def fallback(narrow: DataFrame, wide: DataFrame) -> DataFrame:
     """Results of the narrow search; of the wide one for queries that found nothing."""
     return narrow.unionByName(wide.join(narrow.select("query_id").distinct(), "query_id", "left_anti"))
@@ -155,13 +111,14 @@ def focal(candidates: DataFrame, priority: Column, n: int) -> DataFrame:
     return top_n(candidates.withColumn("priority", priority).drop("rank"), ["query_id"], [F.col("priority").desc(), F.col("score").desc(), F.col("doc_id")], n)
 
 
-def snippet(text: Column, asked: Column, most: int = 40, least: int = 15) -> Column:
-    """The first run of at most `most` words that begins at a hit; where fewer than `least` words follow it, the last `least`."""
-    whole = F.filter(F.zip_with(F.split(text, r"\s+"), F.split(fold(text), r"\s+"), lambda w, low: F.struct(w.alias("w"), low.alias("low"))), lambda x: x["w"] != "")
-    # What is asked is taken from an array of one, or it would be made anew for every word.
-    hit = F.get(F.transform(F.array(asked), lambda q: F.array_position(F.transform(whole, lambda x: F.arrays_overlap(F.split(x["low"], WORD), q)), True)), F.lit(0))
-    start = F.greatest(F.lit(1), F.least(hit.cast("int"), F.size(whole) - least + 1))
-    return F.when(hit > 0, F.array_join(F.transform(F.slice(whole, start, F.lit(most)), lambda x: x["w"]), " "))
+def snippet(text: Column, first: Column, most: int = 40, least: int = 15) -> Column:
+    """A run of at most `most` words that begins at the word with place `first` (lexical.placed_words); where fewer than
+    `least` words follow it, the last `least`."""
+    whole = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    held = F.transform(whole, lambda w: F.size(F.filter(F.split(fold(w), WORD), lambda x: x != "")))
+    step = lambda s, n: F.when(s["seen"] >= first, s).otherwise(F.struct((s["seen"] + n).alias("seen"), (s["at"] + 1).alias("at")))
+    hit = F.aggregate(held, F.struct(F.lit(0).alias("seen"), F.lit(0).alias("at")), step, lambda s: s["at"])
+    return F.array_join(F.slice(whole, F.greatest(F.lit(1), F.least(hit, F.size(whole) - least + 1)), F.lit(most)), " ")
 
 
 def hybrid(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, docs: DataFrame, limit: int, k: int = K) -> DataFrame:
@@ -170,14 +127,13 @@ def hybrid(lexical: DataFrame, semantic: DataFrame, queries: DataFrame, docs: Da
 
     lexical, semantic: (query_id, doc_id, rank). queries: (query_id, text, concepts), a stated set. docs: (doc_id, heading,
     body). Without concepts the order is that of the fusion. A query without semantic results is served by the lexical
-    channel alone and says so.
+    channel alone and says so. The channels are read more than once.
     """
     lists = lexical.select("query_id", "doc_id", "rank", F.lit("lexical").alias("list")).unionByName(semantic.select("query_id", "doc_id", "rank", F.lit("semantic").alias("list")))
     fused = fuse(lists, k).withColumn("score", F.round("score", 9))
     told = queries.select("query_id", F.col("text").alias("question"), F.array_distinct(F.flatten(F.transform("concepts", roots))).alias("asked"), "concepts")
     anchored = told.join(anchors(queries.select("query_id", F.explode("concepts").alias("concept"))), "query_id", "left")
-    found = docs.join(F.broadcast(fused), "doc_id") if queries.count() * limit <= SENT_LEXEMES else docs.join(fused, "doc_id")
-    found = found.join(anchored, "query_id")
+    found = docs.join(sent(fused), "doc_id").join(anchored, "query_id")
     found = found.where(pertinent(F.col("question"), F.col("heading"), F.col("body")))
     near = F.when(F.size("concepts") > 0, affinity(F.col("anchor"), F.col("asked"), F.col("heading"), F.col("body"))).otherwise(0)
     ranked = top_n(found.select("query_id", "doc_id", "score", near.alias("affinity")), ["query_id"], [F.col("affinity").desc(), F.col("score").desc(), F.col("doc_id")], limit, "place")

@@ -10,8 +10,10 @@ from palimpsest.functions import text as X
 from palimpsest.operators import cases as C
 from palimpsest.operators import documents as O
 from palimpsest.operators import grounding as G
+from palimpsest.operators import lexical as L
 from palimpsest.operators import relational as rel
 from palimpsest.operators import retrieval as R
+from palimpsest.operators.store import written
 from palimpsest.plans.relational_queries import findings
 from palimpsest.plans.text_queries import CUT, LISTS, ORACLE_SQL, PAIRS, QUERIES, TOKENS, pairs, query, two_lists, with_next, with_texts  # noqa: F401 - registered beside those
 
@@ -84,9 +86,15 @@ SCORED = f"""{PAIRS}, c AS ({WINDOWS}), b AS (SELECT item_id, text AS q, list_di
 
 
 def scored(t):
-    """Windows of the documents that are found for each item, scored by it."""
-    chunks = with_texts(t, pairs(t), "q").where("length(text) > 0").select("item_id", "doc_id", "q", F.array_distinct(X.words(F.col("q"))).alias("asked"), F.explode(X.windows(F.col("text"))).alias("w"))
-    return chunks.select("item_id", "doc_id", F.col("w.at").alias("at"), F.col("w.text").alias("text"), C.chunk_score(F.col("asked"), F.col("q"), F.col("w.text")).alias("score"))
+    """Windows of the documents that are found for each item, scored by it: each document is cut, and each window and item
+    folded, once, before they meet."""
+    found = pairs(t)
+    asked = t("benchmark").select("item_id", X.fold(F.col("text")).alias("phrase"), F.array_distinct(X.words(F.col("text"))).alias("asked"))
+    docs = t("documents").select("doc_id", "text").where("length(text) > 0").join(L.sent(found.select("doc_id").distinct()), "doc_id", "left_semi")
+    cut = docs.select("doc_id", F.explode(X.windows(F.col("text"))).alias("w")).select("doc_id", "w.at", F.length("w.text").alias("n"), X.fold(F.col("w.text")).alias("plain"))
+    cut = written(cut.withColumn("words", F.array_distinct(F.filter(F.split("plain", X.WORD), lambda w: F.length(w) >= 3))), "windows")
+    both = cut.join(L.sent(found.select("item_id", "doc_id")), "doc_id").join(L.sent(asked), "item_id")
+    return both.select("item_id", "doc_id", "at", "n", C.folded_chunk_score(F.col("asked"), F.col("phrase"), F.col("words"), F.col("plain")).alias("score"))
 
 
 @query(f'{SCORED} SELECT item_id, doc_id, CAST("at" AS INTEGER) AS "at", round(score, 6) AS score FROM s')
@@ -101,7 +109,7 @@ def chunk_score(t):
        SELECT item_id, doc_id, CAST(taken - 1 AS INTEGER) AS place, CAST("at" AS INTEGER) AS "at" FROM g WHERE "at" IS NOT NULL""")
 def budget_pick(t):
     """Windows of each document that fit the budget, best first: of each its place and length meet, not its text."""
-    best = scored(t).groupBy("item_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("low"), "at", F.length("text").alias("n")))).alias("c"))
+    best = scored(t).groupBy("item_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct((-F.round("score", 6)).alias("low"), "at", "n"))).alias("c"))
     return best.select("item_id", "doc_id", F.posexplode(C.budgeted(F.col("c"))).alias("place", "c")).select("item_id", "doc_id", "place", "c.at")
 
 
@@ -226,9 +234,11 @@ def retrieve_by_problem(t):
     return R.by_problem(lexical, semantic, wanted, 3, 6)[1].select("case", "problem", F.col("position").cast("long").alias("position"), "doc_id")
 
 
-@query(f"""{PAIRS}, w AS (SELECT item_id, doc_id, list_filter(regexp_split_to_array(d.text, '\\s+'), lambda x: x <> '') AS w, {TOKENS.format('b.text', 1)} AS asked FROM pairs JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
-       h AS (SELECT item_id, doc_id, w, list_position(list_transform(w, lambda x: len(list_intersect({TOKENS.format('x', 1).replace('w:', 'y:').replace('length(w)', 'length(y)')}, asked)) > 0), true) AS hit FROM w)
-       SELECT item_id, doc_id, array_to_string(list_slice(w, greatest(1, least(hit, len(w) - 14)), greatest(1, least(hit, len(w) - 14)) + 39), ' ') AS snippet FROM h""")
+@query(f"""{PAIRS}, w AS (SELECT item_id, doc_id, first, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n FROM (SELECT item_id, doc_id, first, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM pairs JOIN documents USING (doc_id))),
+       c AS (SELECT *, sum(len({TOKENS.format('w', 1).replace('lambda w: length(w)', 'lambda y: length(y)')})) OVER (PARTITION BY item_id, doc_id ORDER BY i) AS seen FROM w),
+       h AS (SELECT item_id, doc_id, greatest(1, least(min(i) FILTER (seen >= first), any_value(n) - 14)) AS begun FROM c GROUP BY 1, 2)
+       SELECT item_id, doc_id, string_agg(w, ' ' ORDER BY i) AS snippet FROM c JOIN h USING (item_id, doc_id) WHERE i BETWEEN begun AND begun + 39 GROUP BY 1, 2""")
 def fts_snippet(t):
     """Of each result the words from the first hit on."""
-    return with_texts(t, pairs(t)).select("item_id", "doc_id", R.snippet(F.col("text"), X.words(F.col("asked_text"), 1)).alias("snippet"))
+    found = pairs(t)
+    return t("documents").select("doc_id", "text").join(L.sent(found), "doc_id").select("item_id", "doc_id", R.snippet(F.col("text"), F.col("first")).alias("snippet"))

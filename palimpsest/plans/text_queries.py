@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from palimpsest.functions import dictionaries as D
 from palimpsest.functions import text as X
 from palimpsest.operators import documents as O
+from palimpsest.operators import lexical as L
 from palimpsest.operators import grounding as G
 from palimpsest.operators import retrieval as R
 from palimpsest.operators.relational import top_n
+from palimpsest.operators.store import written
+from palimpsest.plans.lexical_sql import ASK, HITS, POST, RANKED, TOKENS, placed, stems
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -31,7 +34,6 @@ def query(sql: str | None = None):
     return register
 
 
-TOKENS = "list_filter(regexp_split_to_array(strip_accents(lower({})), '[^a-z0-9_ß]+'), lambda w: length(w) >= {})"
 DRIVER_CLASSES = {"english": (("the", 1.0), ("that", 1.5), ("with", 1.0)), "german": (("der", 1.0), ("und", 1.5), ("nicht", 1.0)), "french": (("les", 1.0), ("dans", 1.5), ("est", 1.0)), "spanish": (("que", 1.0), ("para", 1.5), ("las", 1.0))}
 
 
@@ -93,11 +95,6 @@ def complex_case(t):
     return t("conversations").select("conv_id", "turn", ((F.length("text") >= 400) | (F.regexp_count("text", F.lit(r"\?")) >= 2)).alias("complex"))
 
 
-@query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]{1,3}[/.-][0-9]{1,2}[/.-][0-9]{2,4}')) AS INTEGER) AS dates, CAST(len(regexp_extract_all(text, '[0-9]+')) AS INTEGER) AS numbers FROM documents""")
-def extract_counts(t):
-    return t("documents").select("doc_id", F.regexp_count("text", F.lit("[0-9]{1,3}[/.-][0-9]{1,2}[/.-][0-9]{2,4}")).alias("dates"), F.regexp_count("text", F.lit("[0-9]+")).alias("numbers"))
-
-
 @query()
 def extract_entities(t):
     """Findings with their offsets; rows only, for SQL gives no offsets."""
@@ -110,16 +107,6 @@ def segment_clauses(t):
     return t("documents").select("doc_id", F.explode_outer(O.clauses("text")).alias("c")).select("doc_id", "c.orden", "c.inicio", "c.fin")
 
 
-@query("""SELECT doc_id, codigo FROM (SELECT doc_id, unnest(['GEN-SIN-CLAUSULAS', CASE WHEN n = 0 THEN 'GEN-SIN-FECHA' END, CASE WHEN k = 'english' THEN 'x' END]) AS codigo FROM
-       (SELECT doc_id, 0 AS n, '' AS k FROM documents WHERE NOT regexp_matches(text, '[0-9]'))) WHERE codigo IS NOT NULL
-       UNION ALL SELECT doc_id, 'GEN-SIN-CEDULA' FROM documents WHERE NOT regexp_matches(text, '[0-9]')""")
-def risk_rules(t):
-    """Texts without digits have no clause, date or identity number, which the rules for every document report."""
-    docs = t("documents").where(~F.rlike("text", F.lit("[0-9]"))).select("doc_id", "text", F.lit("otro").alias("kind"))
-    found = docs.withColumns({"clauses": O.clauses("text"), "findings": O.findings("text")})
-    return O.risks(found, "text", "kind", "clauses", "findings").select("doc_id", F.explode("risks").alias("r")).select("doc_id", F.col("r.codigo").alias("codigo"))
-
-
 @query()
 def risk_rules_all(t):
     """All rules over all documents, each with the type that its text has. Rows only: SQL on the other side gives no clauses."""
@@ -177,56 +164,91 @@ def ingest_status(t):
 # Retrieval: the benchmark's items are the queries, documents the corpus.
 
 
-TELLING = 0.2
+def vocabulary(t):
+    return written(L.vocabulary((t("documents"), F.col("text")), (t("benchmark"), F.col("text"))), "vocabulary")
 
 
-def post(t, wanted=None):
-    """Postings of what is asked for, without words that more than a fifth of all documents have."""
-    docs = t("documents")
-    return R.telling(R.asked_postings(docs, "doc_id", F.col("text"), asked(t) if wanted is None else wanted), docs.count(), TELLING)
+def index(t, places=False):
+    """Postings of what is asked for, and what is asked for, each made once."""
+    known = vocabulary(t)
+    asked = written(L.lexemes(t("benchmark"), "item_id", F.col("text"), known), "asked")
+    return written(L.postings(t("documents"), "doc_id", F.col("text"), known, asked, places), "postings"), asked
 
 
-def asked(t):
-    return R.lexemes(t("benchmark"), "item_id", F.col("text"))
+@query(f"WITH {POST} SELECT lexeme, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM post GROUP BY 1")
+def postings(t):
+    return L.postings(t("documents"), "doc_id", F.col("text"), vocabulary(t)).groupBy("lexeme").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
 
 
-ALL_POST = f"post AS (SELECT doc_id, w AS lexeme, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format('text', 1)}) AS w FROM documents) GROUP BY 1, 2)"
-POST = ALL_POST.replace("post AS", "every AS", 1) + f", post AS (SELECT * FROM every WHERE lexeme IN (SELECT lexeme FROM every GROUP BY 1 HAVING count(*) <= {TELLING} * (SELECT count(*) FROM documents)))"
-ASK = f"ask AS (SELECT DISTINCT item_id AS query_id, unnest({TOKENS.format('text', 1)}) AS lexeme FROM benchmark)"
-HITS = "hits AS (SELECT query_id, doc_id, sum(n) AS h FROM post JOIN ask USING (lexeme) GROUP BY 1, 2)"
-RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, doc_id) AS rank FROM hits)"
+@query(f"WITH {POST} SELECT w AS word, lexeme FROM stems")
+def stem_words(t):
+    """The vocabulary's stems."""
+    return vocabulary(t)
 
 
-@query(f"WITH {ALL_POST} SELECT lexeme, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM post WHERE lexeme <> '' GROUP BY 1")
-def postings(t):
-    return R.postings(t("documents"), "doc_id", F.col("text")).groupBy("lexeme").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+@query(f"WITH {POST}, {ASK} SELECT query_id, lexeme FROM ask")
+def fts_or(t):
+    return L.lexemes(t("benchmark"), "item_id", F.col("text"), vocabulary(t))
 
 
-@query(f"WITH {ASK} SELECT query_id, lexeme FROM ask")
-def fts_or(t):
-    return asked(t)
+SEARCHED = "SELECT query_id, doc_id, round(0.1 * h, 4)::DOUBLE AS score, rank, total"
 
 
-@query(f"WITH {POST}, {ASK}, {HITS}, {RANKED} SELECT query_id, doc_id, round(0.1 * h, 4)::DOUBLE AS score, rank, (SELECT count(*) FROM hits x WHERE x.query_id = r.query_id) AS total FROM ranked r WHERE rank <= 10")
+@query(f"WITH {POST}, {ASK}, {HITS}, {RANKED} {SEARCHED} FROM ranked JOIN (SELECT query_id, count(*) AS total FROM hits GROUP BY 1) USING (query_id) WHERE rank <= 10")
 def fts_search(t):
-    return R.search(post(t), asked(t), 10, with_total=True).withColumn("score", F.col("score").cast("double")).withColumn("rank", F.col("rank").cast("long"))
+    found = written(L.matches(*index(t)), "matches")
+    return L.ranked(found, 10, with_total=True).drop("first").withColumn("score", F.col("score").cast("double")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {POST}, {ASK}, {HITS}, inside AS (SELECT query_id, doc_id, h FROM hits JOIN documents USING (doc_id) WHERE query_id % 4 = 3 OR lang = CASE query_id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' ELSE 'es' END),
+       {RANKED.replace('hits', 'inside')} {SEARCHED} FROM ranked JOIN (SELECT query_id, count(*) AS total FROM inside GROUP BY 1) USING (query_id) WHERE rank <= 10""")
+def fts_area(t):
+    """Three of four questions ask for an area, here a language; ranks and totals are those inside it."""
+    asks = F.when(F.col("query_id") % 4 == 0, "de").when(F.col("query_id") % 4 == 1, "en").when(F.col("query_id") % 4 == 2, "es")
+    areas = t("benchmark").select(F.col("item_id").alias("query_id")).withColumn("area", asks)
+    found = written(L.in_area(L.matches(*index(t)), areas, t("documents").select("doc_id", F.col("lang").alias("area"))), "inside")
+    return L.ranked(found, 10, with_total=True).drop("first").withColumn("score", F.col("score").cast("double")).withColumn("rank", F.col("rank").cast("long"))
+
+
+FIRST_WORDS = "regexp_extract(text, '^\\S+(?:\\s+\\S+){0,2}')"
+
+
+@query(f"""WITH {POST}, ask AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, lexeme FROM ({placed('benchmark', 'item_id', FIRST_WORDS)}) JOIN stems USING (w)),
+       need AS (SELECT query_id, count(*) AS lexemes FROM ask GROUP BY 1),
+       placed AS (SELECT DISTINCT query_id, doc_id, lexeme, pos FROM doc_words JOIN stems USING (w) JOIN ask USING (lexeme)),
+       capped AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, lexeme ORDER BY pos) <= 255),
+       whole AS (SELECT query_id, doc_id, any_value(lexemes) AS lexemes FROM capped JOIN need USING (query_id) GROUP BY 1, 2 HAVING count(DISTINCT lexeme) = any_value(lexemes)),
+       e AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos, lexeme) AS k FROM capped JOIN whole USING (query_id, doc_id)),
+       ends AS (SELECT x.query_id, x.doc_id, x.k, x.pos, y.lexeme, max(y.k) AS last, arg_max(y.pos, y.k) AS lpos, any_value(x.lexemes) AS lexemes FROM e x JOIN e y ON x.query_id = y.query_id AND x.doc_id = y.doc_id AND y.k <= x.k GROUP BY ALL),
+       runs AS (SELECT query_id, doc_id, k, pos, min(last) AS begun, arg_min(lpos, last) AS bpos FROM ends GROUP BY query_id, doc_id, k, pos HAVING count(*) = any_value(lexemes)),
+       covers AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY query_id, doc_id, begun ORDER BY k) = 1)
+       SELECT query_id, doc_id, round(sum(0.1::DOUBLE / (1 + CASE WHEN (pos - bpos) - (k - begun) >= 0 THEN (pos - bpos) - (k - begun) ELSE (k - begun) // 2 END)), 6) AS score FROM covers GROUP BY 1, 2""")
+def fts_all(t):
+    """Documents that have all of a question's first three words, by the density of their covers."""
+    questions = t("benchmark").select("item_id", F.regexp_extract("text", r"^\S+(?:\s+\S+){0,2}", 0).alias("text"))
+    known = vocabulary(t)
+    asked = written(L.lexemes(questions, "item_id", F.col("text"), known), "asked")
+    post = L.postings(t("documents"), "doc_id", F.col("text"), known, asked, places=True)
+    return L.all_of(post, asked)
 
 
 @query(f"WITH {POST}, {ASK}, {HITS}, {RANKED} SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 20")
 def fts_candidates(t):
-    return R.search(post(t), asked(t), 20).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    """The first twenty without a total, so documents that can't be among them aren't scored."""
+    return L.bounded_search(*index(t), 20).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
 
 
 CONCEPTS = (("licence", "released under the license"), ("mail", "mail example com"), ("nothing", "zzzz"))
 
 
-@query(f"""WITH {POST}, c AS (SELECT * FROM (VALUES ('licence', 'released'), ('licence', 'under'), ('licence', 'the'), ('licence', 'license'), ('mail', 'mail'), ('mail', 'example'), ('mail', 'com'), ('nothing', 'zzzz')) v(query_id, lexeme)),
+@query(f"""WITH {POST}, c AS (SELECT DISTINCT query_id, lexeme FROM (SELECT query_id, unnest({TOKENS.format('t', 1)}) AS w FROM (VALUES {', '.join(map(str, CONCEPTS))}) v(query_id, t)) JOIN stems USING (w)),
        h AS (SELECT query_id, doc_id, sum(n) AS h FROM post JOIN c USING (lexeme) GROUP BY 1, 2) SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, doc_id) AS k FROM h) WHERE k <= 15""")
 def union_concepts(t):
-    """All concepts in one scan of the postings."""
-    spark = t("documents").sparkSession
-    concepts = R.lexemes(spark.createDataFrame(CONCEPTS, "name string, text string"), "name", F.col("text"))
-    return R.search(post(t, concepts), concepts, 15).select("query_id", "doc_id")
+    """All concepts in one scan of the documents."""
+    known = vocabulary(t)
+    concepts = written(L.lexemes(t("documents").sparkSession.createDataFrame(CONCEPTS, "name string, text string"), "name", F.col("text"), known), "concepts")
+    post = written(L.postings(t("documents"), "doc_id", F.col("text"), known, concepts), "postings")
+    return L.search(post, concepts, 15).select("query_id", "doc_id")
 
 
 @query(f"""WITH {POST}, {ASK}, hits AS (SELECT query_id, doc_id, lang, sum(n) AS h FROM post JOIN ask USING (lexeme) JOIN documents USING (doc_id) GROUP BY 1, 2, 3),
@@ -235,10 +257,11 @@ def union_concepts(t):
        SELECT query_id, doc_id FROM n WHERE k <= 5 UNION ALL SELECT query_id, doc_id FROM a WHERE k <= 5 AND query_id NOT IN (SELECT query_id FROM n)""")
 def fts_fallback(t):
     """Queries ask for an area (here a language that only some have); those without results there go without it."""
-    found = R.matches(post(t), asked(t)).join(t("documents").select("doc_id", "lang"), "doc_id")
-    wanted = F.when(F.col("query_id") % 3 == 0, "de").otherwise("xx")
+    found = written(L.matches(*index(t)), "matches")
+    areas = t("benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 3 == 0, "de").otherwise("xx").alias("area"))
+    inside = L.in_area(found, areas, t("documents").select("doc_id", F.col("lang").alias("area")))
     best = lambda df: top_n(df, ["query_id"], [F.col("hits").desc(), F.col("doc_id")], 5).select("query_id", "doc_id")
-    return R.fallback(best(found.where(F.col("lang") == wanted)), best(found))
+    return R.fallback(best(inside), best(found))
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 100 = 0),
@@ -270,7 +293,8 @@ def nearest(t, k=20):
 
 
 def two_lists(t):
-    return R.search(post(t), asked(t), 20), nearest(t)
+    """Both channels, each made once."""
+    return written(L.search(*index(t), 20), "lexical"), written(nearest(t), "semantic")
 
 
 @query(f"{LISTS} SELECT query_id, doc_id, a.rank AS rank_a, b.rank AS rank_b FROM a FULL JOIN b USING (query_id, doc_id)")
@@ -299,18 +323,23 @@ def anchor(t):
     return R.anchors(t("conversations").select(F.col("conv_id").alias("query_id"), F.col("text").alias("concept")))
 
 
-PAIRS = f"WITH {POST}, {ASK}, {HITS}, {RANKED}, pairs AS (SELECT query_id AS item_id, doc_id FROM ranked WHERE rank <= 20)"
+PAIRS = f"WITH {POST}, {ASK}, {HITS}, {RANKED}, pairs AS (SELECT query_id AS item_id, doc_id, first FROM ranked WHERE rank <= 20)"
+SENT_BYTES = 32 << 20
 
 
 def pairs(t):
-    """Items and the documents that the lexical channel finds for them, which is what later steps look at."""
-    return R.search(post(t), asked(t), 20).select(F.col("query_id").alias("item_id"), "doc_id")
+    """Items and the documents that the lexical channel finds for them, which is what later steps look at, and the place of
+    the first word of each that is asked for."""
+    return written(L.search(*index(t), 20).select(F.col("query_id").alias("item_id"), "doc_id", "first"), "pairs")
 
 
 def with_texts(t, found, name="asked_text"):
-    """Pairs of items and documents with both texts. Pairs are as many as the stated items times the limit, so they go to the documents."""
-    both = F.broadcast(found.join(t("benchmark").select("item_id", F.col("text").alias(name)), "item_id"))
-    return t("documents").select("doc_id", "text").join(both, "doc_id")
+    """Pairs of items and documents with both texts. The pairs with their items' texts go to the documents where they have
+    SENT_BYTES at most, which is measured; else the documents that are found are shuffled to them."""
+    both = found.join(t("benchmark").select("item_id", F.col("text").alias(name)), "item_id")
+    size = both.agg(F.sum(F.octet_length(name) + 32)).first()[0] or 0
+    docs = t("documents").select("doc_id", "text")
+    return docs.join(F.broadcast(both), "doc_id") if size <= SENT_BYTES else docs.join(L.sent(found.select("doc_id").distinct()), "doc_id", "left_semi").join(both, "doc_id")
 
 
 @query(f"""{PAIRS}, b AS (SELECT item_id, {ROOTS.format('text')} AS asked FROM benchmark), d AS (SELECT doc_id, {ROOTS.format('split_part(text, chr(10), 1)')} AS head, {ROOTS.format('text')} AS body FROM documents)
