@@ -6,12 +6,16 @@ What needs no offsets stays in expressions; offsets come from Arrow functions ov
 import bisect
 import difflib
 import re
+from functools import reduce
+from operator import add, and_
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dictionaries as D
 from palimpsest.functions.text import any_of, fold, term_pattern
+from palimpsest.operators.relational import made_once
 
 CLAUSE = "array<struct<orden:int,encabezado:string,ordinal:string,texto:string,inicio:int,fin:int>>"
 FINDING = "array<struct<tipo:string,texto:string,inicio:int,fin:int,clausula:int>>"
@@ -90,26 +94,22 @@ def counted(text: Column, kind: str) -> Column:
     return total
 
 
-def scores(text: Column, dictionary: dict[str, tuple[tuple[str, float], ...]]) -> dict[str, Column]:
-    """Weight of each class: a term counts once however often it occurs."""
-    plain = fold(text)
-    out = {}
-    for name, terms in dictionary.items():
-        total = F.lit(0.0)
-        for term, weight in terms:
-            total = total + F.when(F.rlike(plain, F.lit(term_pattern(term))), F.lit(weight)).otherwise(0.0)
-        out[name] = total
-    return out
+def scores(plain: Column, dictionary: dict[str, tuple[tuple[str, float], ...]]) -> dict[str, Column]:
+    """Weight of each class in a folded text: a term counts once however often it occurs. A term's first word is looked for
+    before its pattern is."""
+    has = lambda term: F.contains(plain, F.lit(term.split()[0])) & F.rlike(plain, F.lit(term_pattern(term)))
+    return {name: reduce(add, (F.when(has(term), F.lit(weight)).otherwise(0.0) for term, weight in terms)) for name, terms in dictionary.items()}
 
 
 def classified(df: DataFrame, text_col: str, dictionary: dict, threshold: float, otherwise: str | None = None) -> DataFrame:
-    """Adds class and class_score: the heaviest class, the first of equals; `otherwise` below the threshold."""
-    made = df.withColumns({f"__s_{n}": c for n, c in scores(F.col(text_col), dictionary).items()})
-    ordered = F.array(*(F.struct(F.col(f"__s_{n}").alias("score"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, n in enumerate(dictionary)))
-    best = F.array_max(ordered)
+    """Adds class and class_score: the heaviest class, the first of equals; `otherwise` below the threshold. Texts are folded once."""
+    folded = made_once(df, {"__plain": fold(F.col(text_col))})
+    each = scores(F.col("__plain"), dictionary)
+    ordered = F.array(*(F.struct(c.alias("score"), F.lit(-i).alias("place"), F.lit(n).alias("name")) for i, (n, c) in enumerate(each.items())))
+    made = made_once(folded, {"__best": F.array_max(ordered)})
+    best = F.col("__best")
     ok = best["score"] >= threshold
-    out = made.withColumn("class", F.when(ok, best["name"]).otherwise(F.lit(otherwise))).withColumn("class_score", F.when(ok, best["score"]).otherwise(0.0))
-    return out.drop(*[f"__s_{n}" for n in dictionary])
+    return made.withColumns({"class": F.when(ok, best["name"]).otherwise(F.lit(otherwise)), "class_score": F.when(ok, best["score"]).otherwise(0.0)}).drop("__plain", "__best")
 
 
 def intent(text: Column, has_document: Column) -> Column:
@@ -126,52 +126,71 @@ def intent(text: Column, has_document: Column) -> Column:
     )
 
 
+SUBLET, INTEREST, CAPITAL = r"\bsubarr[a-z0-9_]*", r"\binteres[a-z0-9_]*", r"\bcapitaliz[a-z0-9_]*"
+RATE = r"[0-9]+(?:[.,][0-9]+)?\s*%"
+#: What rules look for in a folded text, by the type of document that they hold for.
+LOOKED_FOR = {
+    "compraventa": {"alien": r"\b(?:cosa ajena|no es propietario)\b", "estate": r"\b(?:venta de herencia|derechos hereditarios)\b"},
+    "arrendamiento": {"sublet": SUBLET, "antichresis": r"\banticre(?:si|tic)[a-z0-9_]*"},
+    "prestamo": {"rate": RATE, "percent": rf"(?:%|{INTEREST})", "interest": INTEREST, "capital": CAPITAL},
+}
+
+
 def risks(df: DataFrame, text_col: str, type_col: str, clause_col: str, finding_col: str) -> DataFrame:
     """Adds risks: array<struct<rango, inicio, codigo, severidad, articulos, evidencia, clausula>>, gravest first.
 
     Common rules hold for every document, others for its type. Evidence is cut from the original at the offsets of the
-    folded text, which has the same length wherever letters are precomposed.
+    folded text, which has the same length wherever letters are precomposed. A text is folded once, and each pattern is
+    looked for once, in documents of its type alone.
     """
-    t, plain = F.col(text_col), fold(F.col(text_col))
-    kinds = F.transform(finding_col, lambda x: x["tipo"])
-    lacks = lambda *names: ~F.arrays_overlap(kinds, F.array(*map(F.lit, names)))
+    t, plain, kind = F.col(text_col), F.col("__plain"), F.col(type_col)
+    names = [n for found in LOOKED_FOR.values() for n in found]
+
+    def spot(owner: str, pattern: str) -> Column:
+        """Place from 0 and length of the first match, null without one and in documents of another type."""
+        at = F.when(kind == owner, F.nullif(F.regexp_instr(plain, F.lit(pattern)), F.lit(0)))
+        return F.when(at.isNotNull(), F.struct((at - 1).alias("at"), F.length(F.regexp_extract(plain, pattern, 0)).alias("n")))
+
+    spots = {f"__{n}": spot(owner, p) for owner, found in LOOKED_FOR.items() for n, p in found.items()}
+    known = made_once(made_once(df, {"__plain": fold(t), "__kinds": F.transform(finding_col, lambda x: x["tipo"])}), spots)
+    lacks = lambda *kinds: ~F.arrays_overlap("__kinds", F.array(*map(F.lit, kinds)))
+    place = lambda n: F.col(f"__{n}")
     grade = {"alta": 3, "media": 2, "baja": 1}
 
-    def hit(code: str, level: str, articles: tuple[int, ...], when: Column, *patterns: str) -> Column:
-        """Evidence reaches from the first to the last of the patterns' first matches."""
-        starts = [F.regexp_instr(plain, F.lit(p)) - 1 for p in patterns]
-        ends = [s + F.length(F.regexp_extract(plain, p, 0)) for s, p in zip(starts, patterns)]
-        at = F.least(*starts) if len(starts) > 1 else starts[0] if starts else F.lit(None).cast("int")
-        upto = F.greatest(*ends) if len(ends) > 1 else ends[0] if ends else None
-        evidence = F.substring(t, at + 1, upto - at) if patterns else F.lit(None).cast("string")
+    def hit(code: str, level: str, articles: tuple[int, ...], when: Column, *found: str) -> Column:
+        """Evidence reaches from the first to the last of what is found."""
+        first = [place(n)["at"] for n in found] or [F.lit(None).cast("int")]
+        ends = [place(n)["at"] + place(n)["n"] for n in found] or [F.lit(None).cast("int")]
+        at, upto = (F.least(*first), F.greatest(*ends)) if len(found) > 1 else (first[0], ends[0])
         clause = F.get(F.transform(F.filter(clause_col, lambda c: (c["inicio"] <= at) & (at < c["fin"])), lambda c: c["orden"]), F.lit(0))
-        cond = when & (at >= 0) if patterns else when
-        return F.when(cond, F.struct(F.lit(-grade[level]).alias("rango"), F.coalesce(at, F.lit(-1)).alias("inicio"), F.lit(code).alias("codigo"), F.lit(level).alias("severidad"), F.array(*map(F.lit, articles)).alias("articulos"), evidence.alias("evidencia"), clause.alias("clausula")))
-
-    kind = F.col(type_col)
-    sale, lease, loan = kind == "compraventa", kind == "arrendamiento", kind == "prestamo"
-    sublet = r"\bsubarr[a-z0-9_]*"
-    at = F.regexp_instr(plain, F.lit(sublet))
-    near = F.substring(plain, F.greatest(F.lit(1), at - 60), F.length(F.regexp_extract(plain, sublet, 0)) + F.least(at - 1, F.lit(60)) + 60)
-    interest, capital = r"\binteres[a-z0-9_]*", r"\bcapitaliz[a-z0-9_]*"
-    apart = F.abs(F.regexp_instr(plain, F.lit(interest)) - F.regexp_instr(plain, F.lit(capital)))
-    rate = r"[0-9]+(?:[.,][0-9]+)?\s*%"
+        there = [place(n).isNotNull() for n in found]
+        told = F.struct(
+            F.lit(-grade[level]).alias("rango"), F.coalesce(at, F.lit(-1)).alias("inicio"), F.lit(code).alias("codigo"), F.lit(level).alias("severidad"),
+            F.array(*map(F.lit, articles)).alias("articulos"), F.substring(t, at + 1, upto - at).alias("evidencia"), clause.alias("clausula"),
+        )
+        return F.when(reduce(and_, there, when), told)
+
+    sale, lease, loan = (kind == k for k in LOOKED_FOR)
+    begins = place("sublet")["at"]
+    near = F.substring(plain, F.greatest(F.lit(1), begins - 59), place("sublet")["n"] + F.least(begins, F.lit(60)) + 60)
+    allowed = F.rlike(near, F.lit(r"\bprohib")) | F.rlike(plain, F.lit(r"\b(?:autorizacion expresa|autoriza expresamente)\b"))
+    apart = F.abs(place("interest")["at"] - place("capital")["at"])
     all_rules = F.array(
         hit("GEN-SIN-CLAUSULAS", "media", (493,), F.size(clause_col) == 0),
         hit("GEN-SIN-FECHA", "media", (493,), lacks("fecha")),
         hit("GEN-SIN-CEDULA", "alta", (549,), lacks("cedula")),
         hit("CV-PRECIO-AUSENTE", "alta", (613,), sale & lacks("monto_bs", "monto_usd")),
-        hit("CV-COSA-AJENA", "alta", (595, 596), sale, r"\b(?:cosa ajena|no es propietario)\b"),
-        hit("CV-VENTA-HERENCIA", "media", (607,), sale, r"\b(?:venta de herencia|derechos hereditarios)\b"),
+        hit("CV-COSA-AJENA", "alta", (595, 596), sale, "alien"),
+        hit("CV-VENTA-HERENCIA", "media", (607,), sale, "estate"),
         hit("AR-SIN-PLAZO", "media", (687,), lease & lacks("plazo")),
-        hit("AR-SUBARRIENDO-SIN-AUTORIZACION", "alta", (707,), lease & ~F.rlike(near, F.lit(r"\bprohib")) & ~F.rlike(plain, F.lit(r"\b(?:autorizacion expresa|autoriza expresamente)\b")), sublet),
-        hit("AR-ANTICRETICO-SIMULTANEO", "alta", (716,), lease & F.rlike(plain, F.lit(r"\b(?:arrendamient|arriend|alquile|alquila)")), r"\banticre(?:si|tic)[a-z0-9_]*"),
-        hit("PR-INTERES-PACTADO", "media", (413,), loan & F.rlike(plain, F.lit(rate)), rate),
-        hit("PR-INTERES-PACTADO", "media", (413,), loan & ~F.rlike(plain, F.lit(rate)), rf"(?:%|{interest})"),
-        hit("PR-INTERES-CAPITALIZADO", "alta", (413,), loan & (apart <= 150), interest, capital),
+        hit("AR-SUBARRIENDO-SIN-AUTORIZACION", "alta", (707,), lease & F.when(place("sublet").isNotNull(), ~allowed), "sublet"),
+        hit("AR-ANTICRETICO-SIMULTANEO", "alta", (716,), lease & F.when(place("antichresis").isNotNull(), F.rlike(plain, F.lit(r"\b(?:arrendamient|arriend|alquile|alquila)"))), "antichresis"),
+        hit("PR-INTERES-PACTADO", "media", (413,), loan, "rate"),
+        hit("PR-INTERES-PACTADO", "media", (413,), loan & place("rate").isNull(), "percent"),
+        hit("PR-INTERES-CAPITALIZADO", "alta", (413,), loan & (apart <= 150), "interest", "capital"),
         hit("PR-SIN-PLAZO-DEVOLUCION", "media", (493,), loan & lacks("plazo")),
     )
-    return df.withColumn("risks", F.array_sort(F.filter(all_rules, lambda x: x.isNotNull())))
+    return known.withColumn("risks", F.array_sort(F.filter(all_rules, lambda x: x.isNotNull()))).drop("__plain", "__kinds", *(f"__{n}" for n in names))
 
 
 def _collapsed(text: str) -> str:

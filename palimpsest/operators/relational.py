@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def made_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with these columns behind inline: what refers to them later doesn't write their expressions out again, as merged
+    projections and pushed filters would."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def latest(df: DataFrame, group: list[str], by: list[str]) -> DataFrame:
     """The last row of each group by these columns; ties settle on the later columns. Rows aren't sorted: a partial maximum goes before the shuffle."""
     rest = [c for c in df.columns if c not in group and c not in by]

@@ -258,7 +258,7 @@ def help_intent(t):
 ITEM = "'{\"id\":' || CAST(l_linenumber AS STRING) || ',\"texto\":\"' || repeat('x', CAST(l_quantity AS INT)) || '\"}'"
 
 
-@query(f"""WITH RECURSIVE i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, length({ITEM}) AS size FROM lineitem),
+@query(f"""WITH RECURSIVE i AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, {ITEM}) AS n, length({ITEM}) AS size FROM lineitem),
        g AS (SELECT DISTINCT k, CAST(0 AS BIGINT) AS n, CAST(14 AS BIGINT) AS used, 0 AS taken, false AS got FROM i UNION ALL
              SELECT g.k, i.n, CASE WHEN used + size + least(taken, 1) <= 120 THEN used + size + least(taken, 1) ELSE used END, CASE WHEN used + size + least(taken, 1) <= 120 THEN taken + 1 ELSE taken END, used + size + least(taken, 1) <= 120
              FROM g JOIN i ON i.k = g.k AND i.n = g.n + 1 WHERE i.n <= 5)
