@@ -61,17 +61,17 @@ def number(text: str, label: str) -> Decimal:
 
 def date_condition(f: Field, told: Filter, now: datetime) -> tuple[Column, str]:
     try:
-        start, end = dates.resolve(told.value, now)
-        words = dates.describe(told.value, start, end)
+        found = dates.days(told.value, now)
+        words = dates.describe(told.value, found)
         if told.op == "between" and told.value_to:
-            end = dates.resolve(told.value_to, now)[1]
+            found = found[0], dates.days(told.value_to, now)[1]
             words = f"{told.value} - {told.value_to}"
     except dates.AmbiguousDate as e:
         raise InvalidReport(f"{e} can't be read as a date") from None
-    c, lo, hi = f.column(), F.lit(start), F.lit(end)
+    c, (lo, hi) = f.column(), map(F.lit, dates.instants(found))
     inside = c.isNotNull() & (c >= lo) & (c < hi)
-    found = {"eq": inside, "between": inside, "ge": c >= lo, "gt": c >= hi, "le": c < hi, "lt": c < lo, "ne": (c < lo) | (c >= hi)}[told.op]
-    return found, f"{f.label} {told.op} {words}"
+    chosen = {"eq": inside, "between": inside, "ge": c >= lo, "gt": c >= hi, "le": c < hi, "lt": c < lo, "ne": (c < lo) | (c >= hi)}[told.op]
+    return chosen, f"{f.label} {told.op} {words}"
 
 
 def condition(entity: Entity, told: Filter, now: datetime) -> tuple[Column, str]:

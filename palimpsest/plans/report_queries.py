@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.plans import sinks
 from palimpsest.plans.binder import bind
 from palimpsest.plans.driver_catalog import CATALOG, tables_of
 from palimpsest.plans.spec import ReportSpec
@@ -116,3 +117,23 @@ FLAGSHIP = {"entity": "all_orders", "filters": [{"field": "date", "op": "between
 report("flagship_report", FLAGSHIP,
        """SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS count, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS sum_price FROM orders
        WHERE o_orderdate >= TIMESTAMP '1995-01-01 04:00:00' AND o_orderdate < TIMESTAMP '1997-01-01 04:00:00' GROUP BY 1 ORDER BY 1 LIMIT 100""")
+
+
+def chart_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bars of a report by month: its label and its number."""
+    bound = bind(ReportSpec.parse({"entity": "all_orders", "group_by": ["month"], "chart": "bar", "limit": 500}), CATALOG, tables_of(spark, sf_dir), None, NOW)
+    return bound.df.select(sinks.bar(bound.df, bound.columns).alias("bar")).select("bar.*")
+
+
+def shown_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of every order as its report shows them."""
+    orders = tables_of(spark, sf_dir)("orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+    return orders.select("o_orderkey", *sinks.cells(orders, ["o_orderdate", "o_totalprice", "o_orderpriority"]))
+
+
+QUERIES |= {"chart_bars": chart_bars, "shown_cells": shown_cells}
+ORACLE_SQL |= {
+    "chart_bars": "SELECT coalesce(strftime(o_orderdate, '%Y-%m'), '—') AS label, count(*)::DOUBLE AS value FROM orders GROUP BY 1",
+    "shown_cells": """SELECT o_orderkey, coalesce(strftime(o_orderdate - INTERVAL 4 HOUR, '%d/%m/%Y'), '—') AS o_orderdate, coalesce(nullif(o_orderpriority, ''), '—') AS o_orderpriority,
+        coalesce(regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(38,2)) AS VARCHAR), '\\.00$|(\\.[0-9])0$', '\\1'), '—') AS o_totalprice FROM orders""",
+}

@@ -1,6 +1,7 @@
 """The report engine: what its specifications may say, dates, order, limits, isolation."""
 
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.plans import dates, fidelity, sinks
 from palimpsest.plans.binder import bind, clamp
 from palimpsest.plans.driver_catalog import CATALOG
-from palimpsest.plans.spec import InvalidReport, ReportSpec
+from palimpsest.plans.spec import NUMBER, InvalidReport, ReportSpec
 
 NOW = datetime(2026, 9, 15, 2, 30, tzinfo=UTC)  # still the 14th in UTC-4
 
@@ -110,7 +111,7 @@ def test_titles_facts_and_charts(tables):
     assert bound.title == "Órdenes: F" and bind(ReportSpec.parse({"entity": "orders", "group_by": ["status"]}), CATALOG, tables, 1, NOW).title == "Órdenes por estado"
     report = sinks.gathered(bound, "Órdenes", "mostrame las F", NOW)
     assert report.facts[:3] == [("Petición", "mostrame las F"), ("Generado", "14/09/2026 22:30"), ("Entidad", "Órdenes")] and report.facts[-1][0] == "Avisos" and ("Resultados", "2") in report.facts
-    assert report.chart == (["—", "31/08/2026"], [4.0, 1.0], "Clave")
+    assert report.bars == [("—", 4.0), ("31/08/2026", 1.0)] and report.measure == "Clave"
     assert sinks.as_csv(report) == "Clave,Fecha,Estado\n4,—,F\n1,31/08/2026,F\n"
     import json
 
@@ -119,8 +120,22 @@ def test_titles_facts_and_charts(tables):
     page = sinks.as_html(report)
     assert page.count("<tr>") == 3 and "Órdenes: F" in page and "<meter" in page
     empty = sinks.gathered(bind(ReportSpec.parse(spec | {"filters": [{"field": "status", "op": "eq", "value": "P"}]}), CATALOG, tables, 1, NOW), "Órdenes")
-    assert empty.chart is None and sinks.as_csv(empty) == "Clave,Fecha,Estado\n"
-    assert [sinks.cell(x) for x in (None, "", 1.5, 10.256, "x" * 301, [1, 2], datetime(2026, 9, 1, 2, tzinfo=UTC))] == ["—", "—", "1.5", "10.26", "x" * 300 + "…", "1, 2", "31/08/2026"]
+    assert empty.bars == [] and sinks.as_csv(empty) == "Clave,Fecha,Estado\n"
+
+
+def test_cells_are_shown_by_spark(spark):
+    row = [("", None, 1.5, 10.256, -0.004, 1e7, "x" * 301, [1, 2], datetime(2026, 9, 1, 2, tzinfo=UTC), datetime(2026, 9, 1, 2), date(2026, 9, 1), Decimal("7.10"), True, 12)]
+    df = spark.createDataFrame(row, "a string, b string, c double, d double, e double, f double, g string, h array<int>, i timestamp, j timestamp_ntz, k date, l decimal(9,2), m boolean, n int")
+    got = list(df.select(*sinks.cells(df, df.columns)).first())
+    assert got == ["—", "—", "1.5", "10.26", "0", "10000000", "x" * 300 + "…", "1, 2", "31/08/2026", "31/08/2026", "01/09/2026", "7.1", "true", "12"]
+    bar = sinks.bar(df, [("d", "D", NUMBER), ("c", "C", NUMBER), ("k", "K", "date"), ("a", "A", "text")])
+    assert tuple(df.select(bar).first()[0]) == ("01/09/2026", 10.256) and sinks.bar(df, [("a", "A", "text")]) is None
+
+
+def test_ranges_are_described_by_their_days():
+    assert dates.describe("hoy", dates.days("hoy", NOW)) == "hoy (14/09/2026)"
+    assert dates.describe("marzo", dates.days("marzo", NOW)) == "marzo (del 01/03/2026 al 31/03/2026)"
+    assert dates.days("septiembre", NOW)[0] == date(2026, 9, 1) and dates.days("este año", NOW) == (date(2026, 1, 1), date(2027, 1, 1))
 
 
 @pytest.mark.parametrize(
