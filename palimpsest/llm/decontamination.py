@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.shared import filter_of, fresh, may_have, written
@@ -28,6 +28,7 @@ from palimpsest.llm.tokens import BASE, INVERSE, powers
 
 SEED, COVERAGE = 5, 0.6
 BROADCAST_BYTES = 16 << 20  # of benchmark text; beyond, seeds are joined by a shuffle
+SALTS = 32  # tasks that a seed's documents are dealt over in that shuffle
 WORD = re.compile(r"\w+")
 
 
@@ -138,6 +139,11 @@ class Items:
         return found
 
 
+def text_key(text: Column) -> Column:
+    """256 bits that tell texts apart; null for null."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def small(benchmark: DataFrame, text_col: str) -> bool:
     """Whether the benchmark's measured size allows a copy in each worker."""
     return (benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) <= BROADCAST_BYTES
@@ -148,13 +154,13 @@ FOUND = "coverage double, tiles int, longest_tile int, item_words int"
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row per document and leaked item: doc_id, text_key, item_id, coverage, tiles, longest_tile, item_words."""
-    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("item_text"))
-    kinds = f"doc_id {read.schema['doc_id'].dataType.simpleString()}, text_key long, item_id {items.schema['item_id'].dataType.simpleString()}, {FOUND}"
+    kinds = f"doc_id {read.schema['doc_id'].dataType.simpleString()}, text_key binary, item_id {items.schema['item_id'].dataType.simpleString()}, {FOUND}"
     if not small(items, "item_text"):
         return matches_by_join(read, items, threshold, kinds)
     held = read.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])  # BROADCAST_BYTES of text at most
-    empty = pa.RecordBatch.from_pylist([], schema=arrow_schema(kinds))
+    empty = pa.RecordBatch.from_pylist([], schema=arrow_schema(read.sparkSession, kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Items(held.value)
@@ -165,9 +171,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE,
     return read.mapInArrow(run, kinds)
 
 
-def arrow_schema(kinds: str) -> pa.Schema:
-    known = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
-    return pa.schema([(c.split()[0], known[c.split()[1]]) for c in kinds.split(", ")])
+def arrow_schema(spark: SparkSession, kinds: str) -> pa.Schema:
+    """Arrow's types of a Spark schema, whatever types its ids have."""
+    return spark.createDataFrame([], kinds).toArrow().schema
 
 
 def seeds_of(rows: DataFrame, key: str, text: str, sizes: list[int] | None, asked: Broadcast | None = None) -> DataFrame:
@@ -182,26 +188,28 @@ def seeds_of(rows: DataFrame, key: str, text: str, sizes: list[int] | None, aske
                 for size in sizes or ([min(SEED, len(words))] if words else []):
                     found = Counter(xxhash.xxh64_intdigest(" ".join(words[i : i + size]), size) - (1 << 63) for i in range(len(words) - size + 1))
                     out += [(k, h, n, size, len(words)) for h, n in found.items()]
-            columns = [pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+            columns = [pa.array(c, kind) for c, kind in zip(zip(*out) if out else [[]] * 5, (pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
             made = pa.record_batch(columns, ["key", "seed", "places", "size", "words"])
             yield made if asked is None else made.filter(pa.array(may_have(asked.value, made.column(1).to_numpy()) == 1))
 
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key long, seed long, places int, size int, words int")
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, "key binary, seed long, places int, size int, words int")
 
 
 def matches_by_join(read: DataFrame, items: DataFrame, threshold: float, kinds: str) -> DataFrame:
     """For benchmarks of any size: seeds of distinct texts and items meet in a shuffle; pairs whose shared seeds can't cover
     enough of the item go; each other pair is tiled once. Then every row with the text meets every item with the other."""
-    keyed = items.withColumn("item_key", F.xxhash64("item_text"))
+    keyed = items.withColumn("item_key", text_key(F.col("item_text")))
     of_items = written(seeds_of(keyed.dropDuplicates(["item_key"]), "item_key", "item_text", None), "item-seeds").withColumnRenamed("key", "item_key")
     sizes = sorted(r["size"] for r in of_items.select("size").distinct().collect())  # SEED at most
     asked = filter_of(of_items.select(F.col("seed").alias("fp")))
     of_docs = seeds_of(read, "text_key", "text", sizes, asked).select(F.col("key").alias("text_key"), "seed", "size").distinct() if sizes else None
-    schema = arrow_schema(kinds)
+    schema = arrow_schema(read.sparkSession, kinds)
     if of_docs is None:
         return read.sparkSession.createDataFrame([], kinds)
     covers = F.sum("places") * F.first("size") >= F.lit(threshold) * F.first("words")
-    pairs = of_docs.join(of_items, ["seed", "size"]).groupBy("text_key", "item_key").agg(covers.alias("may")).where("may").select("text_key", "item_key")
+    salt = F.pmod(F.xxhash64("text_key"), F.lit(SALTS)).cast("int")  # a stock phrase is no single task's
+    dealt = of_items.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = of_docs.withColumn("salt", salt).join(dealt, ["seed", "size", "salt"]).groupBy("text_key", "item_key").agg(covers.alias("may")).where("may").select("text_key", "item_key")
     pairs = written(pairs, "seeded")
     texts = read.join(pairs.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"]).select("text_key", "text")
     full = pairs.join(keyed.dropDuplicates(["item_key"]).select("item_key", "item_text"), "item_key").join(texts, "text_key")
@@ -212,10 +220,10 @@ def matches_by_join(read: DataFrame, items: DataFrame, threshold: float, kinds:
             for key, item_key, item_text, text in zip(*(c.to_pylist() for c in batch.columns)):
                 rows += [(key, item_key, *found[1:]) for found in Items([(0, item_text)]).of(text, threshold)]
             if rows:
-                fields = [pa.field("text_key", pa.int64()), pa.field("item_key", pa.int64()), *list(schema)[3:]]
+                fields = [pa.field("text_key", pa.binary()), pa.field("item_key", pa.binary()), *list(schema)[3:]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=pa.schema(fields))
 
-    tiled = full.select("text_key", "item_key", "item_text", "text").mapInArrow(run, f"text_key long, item_key long, {FOUND}")
+    tiled = full.select("text_key", "item_key", "item_text", "text").mapInArrow(run, f"text_key binary, item_key binary, {FOUND}")
     tiled = written(tiled, "tiled")
     named = tiled.join(keyed.select("item_id", "item_key"), "item_key").join(read.select("doc_id", "text_key"), "text_key")
     return named.select(*schema.names)
@@ -225,4 +233,4 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, threshold: float = COVERAGE,
     """The documents that leak no item, with all their columns. The leaks are few beside the corpus; Spark picks the anti join by their size."""
     leaking, key = fresh(docs, "leaking"), fresh(docs, "leaking_text")
     leaks = matches(docs, benchmark, threshold, id_col, text_col).select(F.col("doc_id").alias(leaking), F.col("text_key").alias(key)).distinct()
-    return docs.join(written(leaks, "leaks"), docs[id_col].eqNullSafe(F.col(leaking)) & (F.xxhash64(docs[text_col]) == F.col(key)), "left_anti")
+    return docs.join(written(leaks, "leaks"), docs[id_col].eqNullSafe(F.col(leaking)) & (text_key(docs[text_col]) == F.col(key)), "left_anti")

@@ -59,7 +59,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return sharding.shards(docs, edges=sharding.alike(docs))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
-"""Sharding by balanced label propagation: groups of linked documents move whole to the shard where most of their members
-are, as far as quotas allow, else to their next best one; documents without links make way, and fill up what is left.
+"""Sharding by balanced label propagation: documents are linked by equal texts and by given edges between texts; linked
+documents move towards their neighbours' shards as far as quotas allow, documents without links make way and fill up
+what is left.
 
-Documents are linked by equal texts. Members of a group in one shard are interchangeable, so labels spread over cells
-(group, shard, how many) and a group of any size is as many rows as shards that it touches. Groups of more than a
-SHARE-th of a shard, SHARE a shard at most, are placed first and on the driver, the largest first; a group is cut only
-where no shard has room for it. Counts are at most one apart.
+Documents of one text are interchangeable neighbours of each other, so they are one node with as many places as documents.
+Nodes first go whole to the shard where most of their documents are, else to their next best one; those of more than a
+SHARE-th of a shard, SHARE a shard at most, first and on the driver, the largest first; a node is cut only where no shard
+has room for it. Then labels spread over the edges between nodes: in each round a join brings each node its neighbours'
+present shards, a node whose neighbours are mostly elsewhere asks to move there, and as many move as the shard has room
+for. Rounds go on while they cut fewer edges. Counts are at most one apart.
 
 Edge cases: a null text counts as an empty one; rows that repeat an id and a text are placed each; an empty table gives
 an empty result; with fewer documents than shards the last shards stay empty; an id may be null. Columns other than the
@@ -13,11 +16,14 @@ id and the text are not read.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.shared import before, hot_join, ranked, written
 
+LOG = logging.getLogger(__name__)
 OVERHEAD = 16  # bytes that each document adds to its text's
 SHARE = 50
 
@@ -84,18 +90,79 @@ def propagated(cells: DataFrame, want: list[int], rounds: int) -> DataFrame:
     return out
 
 
-def shards(docs: DataFrame, n_shards: int = 40, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard, linked) of all documents, law "rows"."""
+def node(text: Column) -> Column:
+    """The node of a text."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def alike(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Edges (a, b) between texts that differ in case, digits, white space and punctuation alone: each to the smallest node
+    of its kind, so a kind of any size has as many edges as texts."""
+    bare = F.sha2(F.trim(F.regexp_replace(F.lower(text_col), r"[^\p{L}]+", " ")), 256)
+    texts = written(docs.where(F.length(text_col) > 0).select(bare.alias("kind"), node(F.col(text_col)).alias("a")).distinct(), "kinds")
+    hubs = written(texts.groupBy("kind").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
+    return hot_join(texts, hubs, "kind").where("a <> b").select("a", "b")
+
+
+def cut_edges(edges: DataFrame, labels: DataFrame) -> int:
+    """How many edges join different shards. labels: (g, shard), a row for each node."""
+    ends = labels.withColumnsRenamed({"g": "b", "shard": "there"})
+    return hot_join(written(edges.join(labels.withColumnRenamed("g", "a"), "a"), "ends"), ends, "b").where("shard <> there").count()
+
+
+def spread(cells: DataFrame, edges: DataFrame, want: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
+    """cells (g, shard, n) after label propagation over edges (a, b), each once, and the edges that are cut before and after
+    each round that was kept. Nodes that lie in several shards count as in that with most of them, and stay."""
+    cells, both = written(cells, "cells"), written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    first = F.max(F.struct("n", (-F.col("shard")).alias("low")))
+    label = lambda c: written(c.groupBy("g").agg(first.alias("f"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n")).select("g", (-F.col("f.low")).alias("shard"), "parts", "n"), "labels")
+    labels = label(cells)
+    cuts = [cut_edges(edges, labels.select("g", "shard"))]
+    for k in range(rounds):
+        if not cuts[-1]:
+            break
+        told = hot_join(both, labels.select(F.col("g").alias("b"), "shard"), "b")
+        votes = told.groupBy("a", "shard").agg(F.count(F.lit(1)).alias("votes")).join(labels.select(F.col("g").alias("a"), F.col("shard").alias("own"), "parts", "n"), "a")
+        ranked_votes = votes.groupBy("a", "own", "parts", "n").agg(F.max(F.struct("votes", (-F.col("shard")).alias("low"))).alias("best"), F.coalesce(F.max(F.when(F.col("shard") == F.col("own"), F.col("votes"))), F.lit(0)).alias("held"))
+        # Half of the nodes at a time, or two neighbours would change places for ever.
+        turn = F.pmod(F.xxhash64("a", F.lit(k)), F.lit(2)) == 0
+        asking = ranked_votes.where((F.col("best.votes") > F.col("held")) & (F.col("parts") == 1) & turn)
+        asking = written(asking.select(F.col("a").alias("g"), (-F.col("best.low")).alias("to"), "n"), "asking")
+        load = {r["shard"]: r["n"] for r in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+        room = [w - load.get(i, 0) for i, w in enumerate(want)]
+        queued = before(asking, ["to"], ["g"], "n", "queue")
+        moving = written(queued.where(F.col("queue") + F.col("n") <= by_number(room, F.col("to"))).select("g", F.col("to").alias("shard"), "n"), "moving")
+        following = written(cells.join(moving.select("g"), "g", "left_anti").unionByName(moving), "cells")
+        now = label(following)
+        cut = cut_edges(edges, now.select("g", "shard"))
+        if cut >= cuts[-1]:
+            break
+        cells, labels = following, now
+        cuts.append(cut)
+    return cells, cuts
+
+
+def shards(docs: DataFrame, n_shards: int = 40, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", edges: DataFrame | None = None) -> DataFrame:
+    """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard, linked) of all documents, law "rows". edges: further
+    links (a, b) between nodes, see node(); documents of equal texts are linked without."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     start = F.pmod(F.xxhash64(F.col(id_col), text), F.lit(n_shards)).cast("int")
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("g"), start.alias("shard")
+        F.col(id_col).alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), node(text).alias("g"), start.alias("shard")
     )
     rows = written(rows, "rows")
     total = rows.count()
     cells = rows.groupBy("g", "shard").agg(F.count(F.lit(1)).alias("n"))
     linked = cells.groupBy("g").agg(F.sum("n").alias("all")).where("all > 1").select("g")
+    if edges is not None:
+        edges = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        edges = edges.join(rows.select(F.col("g").alias("a")).distinct(), "a", "left_semi").join(rows.select(F.col("g").alias("b")).distinct(), "b", "left_semi")
+        edges = written(edges, "given")
+        linked = linked.unionByName(edges.select(F.explode(F.array("a", "b")).alias("g"))).distinct()
     cells = propagated(written(cells.join(linked, "g"), "cells"), quotas(total, n_shards), rounds)
+    if edges is not None:
+        cells, cuts = spread(cells, edges, quotas(total, n_shards), rounds)
+        LOG.info("edges cut, before and after each round: %s", cuts)
     spans = cells.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("spans"))  # n_shards entries at most
     spans = written(spans, "spans")
     alone = rows.join(spans.select("g"), "g", "left_anti")

@@ -9,13 +9,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return root.rstrip("/")
+from palimpsest.operators.store import shared_root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -50,20 +44,28 @@ def fresh(df: DataFrame, name: str) -> str:
 HOT_PART, HOT_BYTES = 1000, 16 << 20
 
 
+HOT_SALTS = 32
+
+
 def hot_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left joined with right on key, a column of both that is unique in right. The rows of right whose key many rows of
-    left have, HOT_PART at most, are sent to every task where together they are HOT_BYTES at most, so no task gets all of
-    a hot key's rows; all other keys meet in a shuffle. left and right are read twice, so pass written ones."""
+    left have, HOT_PART at most, are sent to every task where together they are HOT_BYTES at most; where they are more, a
+    hot key's rows are dealt over HOT_SALTS tasks and meet a copy of its row in each. So no task gets all of a hot key's
+    rows; all other keys meet in a shuffle. left and right are read twice, so pass written ones."""
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
     total = left.count()
     hot = counts.where(F.col("__n") * HOT_PART > total).select(key)
     few = right.join(F.broadcast(hot), key, "left_semi")
     size = few.agg(F.sum(F.octet_length(F.to_json(F.struct(*few.columns))))).first()[0] or 0
-    if not 0 < size <= HOT_BYTES:
+    if not size:
         return left.join(right, key)
     few = written(few, "hot")
     mine = few.select(key)
-    hot_rows = left.join(F.broadcast(few), key)
+    if size <= HOT_BYTES:
+        hot_rows = left.join(F.broadcast(few), key)
+    else:
+        salted = left.join(F.broadcast(mine), key).withColumn("__salt", F.floor(F.rand(1) * HOT_SALTS).cast("int"))
+        hot_rows = salted.join(few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))), [key, "__salt"]).drop("__salt")
     return hot_rows.unionByName(left.join(F.broadcast(mine), key, "left_anti").join(right, key))
 
 

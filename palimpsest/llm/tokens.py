@@ -54,6 +54,10 @@ def safe_starts(data: np.ndarray, rule: str) -> np.ndarray:
     return space
 
 
+#: Normalisers that treat what stands between white space alike wherever a text begins and ends.
+EACH_BY_ITSELF = ("Lowercase", "NFC", "NFD", "NFKC", "NFKD", "StripAccents", "Replace")
+
+
 class Group:
     """Some texts' bytes cut into pieces, equal pieces found by a polynomial hash and then compared byte by byte.
     offsets: where texts begin and end; the last is the length of data. rule: where they may be cut, see safe_starts()."""
@@ -117,6 +121,9 @@ class Encoder:
         added = [t["content"] for t in made.get("added_tokens", [])]
         if any(" " in a or "\n" in a for a in added) or any(t.get("lstrip") or t.get("rstrip") for t in made.get("added_tokens", [])):
             return "whole"
+        normal = made.get("normalizer") or {}
+        if any(n.get("type") not in EACH_BY_ITSELF for n in normal.get("normalizers", [normal] if normal else [])):
+            return "whole"
         first = steps[0]
         if first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in first["pattern"].get("Regex", ""):
             return "dropped"

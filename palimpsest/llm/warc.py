@@ -2,6 +2,7 @@
 
 The reader checks each record (version line, headers, lengths, CRC of the member, block digest). After a failed check it
 searches for the next gzip member or version line that passes, goes on from there, and reports the bytes between as a gap.
+A record whose headers are longer than HEAD_BYTES fails its checks.
 
 Edge cases: a null payload is empty. Records with equal payloads of REVISIT_BYTES or more: those with the smallest id are
 responses, the others revisit; a row that repeats id and payload is a response each time; a null id is never the smallest
@@ -12,6 +13,7 @@ ends in URLs are percent-encoded. Columns other than id, url and payload are not
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 import uuid
 import zlib
@@ -22,7 +24,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.shared import scratch_path, written
+from palimpsest.llm.shared import HOT_PART, scratch_path, written
+
+LOG = logging.getLogger(__name__)
+SHOWN_GAPS = 20  # in the log's text; all are in the table
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 64 << 20  # an archive is closed at the first record beyond; a task writes as many as it needs
@@ -33,7 +38,6 @@ VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRY = "archive string, offset long, record_id string, record_type string, page_id string, url string, payload_bytes long, payload_digest string, refers_to_id string"
-GAP = "archive string, gap_start long, gap_bytes long, reason string"
 
 
 def record_id(page_id: str | None, digest: str) -> str:
@@ -70,9 +74,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
     long = F.octet_length("payload") >= REVISIT_BYTES
-    seen = rows.where(long).groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first", F.lit(True).alias("again"))
-    told = rows.join(seen, (rows["digest"] == seen["d"]) & long, "left")
-    is_response = F.col("again").isNull() | F.col("id").eqNullSafe(F.col("first"))
+    counts = rows.groupBy("digest").agg(F.min(F.when(long, F.col("id"))).alias("first"), F.count(F.lit(1)).alias("n"), F.max(long).alias("again"))
+    counts = written(counts.where("n > 1").select(F.col("digest").alias("d"), "first", "n", "again"), "repeated")
+    # A payload that more than one in HOT_PART pages has goes to every task with its first page, so no task gets all of its
+    # pages: HOT_PART rows at most. Pages of other repeated payloads meet in a shuffle, those of single ones don't matter.
+    total = rows.count()
+    hot = F.broadcast(counts.where(F.col("n") * HOT_PART > total).drop("n"))
+    cold = counts.where(F.col("n") * HOT_PART <= total).drop("n")
+    told = rows.join(hot, F.col("digest") == F.col("d"))
+    told = told.unionByName(rows.join(hot, F.col("digest") == F.col("d"), "left_anti").join(cold, F.col("digest") == F.col("d"), "left"))
+    is_response = ~F.coalesce("again", F.lit(False)) | F.col("id").eqNullSafe(F.col("first"))
     told = told.select(F.col("id").cast("string").alias("id"), "url", "payload", "digest", F.col("first").cast("string").alias("first"), is_response.alias("is_response"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +246,22 @@ def payload_of(block: bytes) -> bytes:
     return block.partition(b"\r\n\r\n")[2]
 
 
-def _read(archives: DataFrame, kind: str, rows_of, schema: str) -> DataFrame:
+def told_of(offset: int, headers: dict[str, str], block: bytes) -> tuple:
+    """A record's fields of ENTRY behind the archive, and its payload."""
+    payload = payload_of(block)
+    kind = headers.get("warc-type")
+    digest = hashlib.sha256(payload).hexdigest() if kind == "response" else headers.get("warc-payload-digest", "").partition(":")[2]
+    size = len(payload) if kind == "response" else None
+    return offset, headers.get("warc-record-id"), kind, headers.get("x-page-id"), headers.get("warc-target-uri"), size, digest, headers.get("warc-refers-to"), payload
+
+
+def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
+    """Records and gaps of archives (archive, bytes) in one pass: the columns of ENTRY[, payload] of a record that passes its
+    checks, gap_bytes and reason null; or, for a run of quarantined bytes, archive, offset, gap_bytes and reason alone."""
     n = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ENTRY + ", payload binary" * with_payload + ", gap_bytes long, reason string"
+    names = [c.split()[0] for c in schema.split(", ")]
+    arrow = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.binary() if c.endswith("binary") else pa.string()) for c in schema.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,36 +270,47 @@ def _read(archives: DataFrame, kind: str, rows_of, schema: str) -> DataFrame:
                 rows, held = [], 0
                 with store.open_input_stream(path, compression=None) as stream:
                     for found, *rest in salvage(stream, size):
-                        if found == kind:
-                            rows.append((uri, *rows_of(*rest)))
-                            held += sum(len(x) for x in rows[-1] if isinstance(x, (str, bytes))) + 200
+                        if found == "gap":
+                            rows.append({"archive": uri} | dict(zip(("offset", "gap_bytes", "reason"), rest)))
+                        else:
+                            rows.append(dict(zip(names, (uri, *told_of(*rest)[: None if with_payload else -1]))))
+                        held += sum(len(x) for x in rows[-1].values() if isinstance(x, (str, bytes))) + 200
                         if held >= FLUSH_BYTES:
-                            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
                             rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    names = [c.split()[0] for c in schema.split(", ")]
-    arrow = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.binary() if c.endswith("binary") else pa.string()) for c in schema.split(", ")])
     return archives.select("archive", "bytes").repartition(n).mapInArrow(run, schema)
 
 
-def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
-    """A row per record that passes its checks; payload_bytes and payload_digest are of the bytes read. archives: (archive, bytes)."""
+def records_of(read: DataFrame) -> DataFrame:
+    return read.where("gap_bytes IS NULL").drop("gap_bytes", "reason")
+
 
-    def row(offset: int, headers: dict[str, str], block: bytes) -> tuple:
-        payload = payload_of(block)
-        kind = headers.get("warc-type")
-        digest = hashlib.sha256(payload).hexdigest() if kind == "response" else headers.get("warc-payload-digest", "").partition(":")[2]
-        found = (offset, headers.get("warc-record-id"), kind, headers.get("x-page-id"), headers.get("warc-target-uri"), len(payload) if kind == "response" else None, digest, headers.get("warc-refers-to"))
-        return (*found, payload) if with_payload else found
+def gaps_of(read: DataFrame) -> DataFrame:
+    """Runs of quarantined bytes: archive, gap_start, gap_bytes, reason."""
+    return read.where("gap_bytes IS NOT NULL").select("archive", F.col("offset").alias("gap_start"), "gap_bytes", "reason")
 
-    return _read(archives, "record", row, ENTRY + ", payload binary" * with_payload)
+
+def read_records(archives: DataFrame, with_payload: bool = False) -> DataFrame:
+    """A row per record that passes its checks; payload_bytes and payload_digest are of the bytes read. archives: (archive, bytes)."""
+    return records_of(read_archives(archives, with_payload))
 
 
 def read_gaps(archives: DataFrame) -> DataFrame:
     """A row per run of quarantined bytes: archive, gap_start, gap_bytes, reason."""
-    return _read(archives, "gap", lambda offset, n, reason: (offset, n, reason), GAP)
+    return gaps_of(read_archives(archives))
+
+
+def logged(gaps: DataFrame) -> DataFrame:
+    """gaps, after a warning for each of the first few; the table itself is the whole log."""
+    first = gaps.limit(SHOWN_GAPS + 1).collect()
+    for r in first[:SHOWN_GAPS]:
+        LOG.warning("%s: %d bytes from %d on quarantined: %s", r["archive"], r["gap_bytes"], r["gap_start"], r["reason"])
+    if len(first) > SHOWN_GAPS:
+        LOG.warning("and %d further gaps", gaps.count() - SHOWN_GAPS)
+    return gaps
 
 
 def archives_in(spark: SparkSession, folder: str) -> DataFrame:
@@ -292,9 +328,11 @@ def resolved(records: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Archives of pages in the shared folder, read back."""
+    """Archives of pages in the shared folder, read back in one pass; what of them can't be read is logged, and the pages of
+    those records are missing from the result."""
     spark = pages.sparkSession
-    archives = write_archives(pages, scratch_path(spark, "warc"))
+    read = written(read_archives(write_archives(pages, scratch_path(spark, "warc"))), "records")
+    logged(gaps_of(read))
     kind = pages.schema["page_id"].dataType
-    back = resolved(written(read_records(archives), "records"))
+    back = resolved(records_of(read))
     return back.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))

@@ -957,3 +957,99 @@ def test_stages_on_odd_tables(spark, odd, empty, documents):
             p = pii.Pseudonyms(pii.session_key(spark))
             assert kept == Counter({k: 0 for k in ()}) + sum((Counter({(i, t if t is None else p.replaced(t)[0]): n}) for (i, t), n in rows.items()), Counter())
             assert stage(spark, df.drop("n_chars"), SF).columns == df.drop("n_chars").columns
+
+
+# later additions
+
+
+def test_edges_pull_documents_together_under_quotas(spark):
+    """Chains of unlike texts, strewn by hash: rounds cut fewer and fewer edges, and sizes stay even."""
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(4000)], "doc_id long, text string")
+    pairs = [(f"text number {i}", f"text number {i + 1}") for i in range(1200) if i % 6 != 5]
+    edges = spark.createDataFrame(pairs, "x string, y string").select(sharding.node(F.col("x")).alias("a"), sharding.node(F.col("y")).alias("b"))
+    start = [(hashlib.sha256(f"text number {i}".encode()).hexdigest(), i * 7919 % 8, 1) for i in range(1200)]
+    cells, cuts = sharding.spread(spark.createDataFrame(start, "g string, shard int, n long"), edges, [500] * 8, 6)
+    assert len(cuts) > 2 and all(a > b for a, b in zip(cuts, cuts[1:])) and cuts[-1] < 0.6 * cuts[0]
+    load = Counter()
+    for r in cells.collect():
+        load[r["shard"]] += r["n"]
+    assert sum(load.values()) == 1200 and max(load.values()) <= 500
+    of = lambda df: {r["doc_id"]: r["shard"] for r in df.collect()}
+    kept = lambda s: sum(s[i] == s[i + 1] for i in range(1200) if i % 6 != 5)
+    without, given = of(sharding.shards(docs, 8)), of(sharding.shards(docs, 8, rounds=6, edges=edges))
+    assert kept(given) > 2 * kept(without) and set(Counter(given.values()).values()) == {500}
+
+
+def test_alike_texts_are_linked_by_a_star(spark):
+    texts = ["Hello, World 1", "hello world 22", "HELLO -- world", "other", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {(r["a"], r["b"]) for r in sharding.alike(docs).collect()}
+    kinds = defaultdict(list)
+    for t in texts[:3]:
+        kinds[" ".join("".join(c if c.isalpha() else " " for c in t.lower()).split())].append(key(t))
+    assert got == {(g, min(gs)) for gs in kinds.values() for g in gs if g != min(gs)}
+
+
+def test_round_trip_logs_the_gaps_of_a_damaged_archive(spark, monkeypatch, caplog):
+    """One byte of an archive changes between writing and reading: the other records come back, the gap is logged."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 40) for i in range(12)], "page_id long, url string, html string")
+    write = warc.write_archives
+
+    def damaged(*args, **kwargs):
+        archives = write(*args, **kwargs)
+        path = archives.first()["archive"].removeprefix("file://")
+        data = bytearray(open(path, "rb").read())
+        data[len(data) // 2] ^= 0xFF
+        open(path, "wb").write(data)
+        return archives
+
+    monkeypatch.setattr(warc, "write_archives", damaged)
+    with caplog.at_level("WARNING"):
+        got = {r["page_id"] for r in warc.round_trip(pages).collect()}
+    assert len(got) == 11 and "quarantined" in caplog.text
+
+
+def test_a_payload_of_many_pages_is_no_single_task(spark, monkeypatch):
+    """The empty page and an error page repeated: the same records whichever way their pages meet."""
+    error = "error page " * 20
+    rows = [(i, "u", "" if i % 3 == 0 else error if i % 3 == 1 else f"page {i} " * 30) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: ("revisit", 1) if i % 3 == 1 and i > 1 else ("response", None) for i in range(300)}
+    for part in (1000, 1):
+        monkeypatch.setattr(warc, "HOT_PART", part)
+        assert {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(9,0)", "date", "binary", "string"])
+def test_decontamination_takes_ids_of_any_type(spark, kind, monkeypatch):
+    leak = "this passage of the benchmark has eleven words in all here"
+    docs = spark.createDataFrame([(1, leak), (2, "nothing of it")], "n int, text string")
+    cast = {"date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")), "binary": F.col("n").cast("string").cast("binary")}.get(kind, F.col("n").cast(kind))
+    docs = docs.select(cast.alias("doc_id"), "text")
+    bench = docs.where("text like 'this%'").select(F.col("doc_id").alias("item_id"), "text")
+    for most in (decontamination.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+        assert [r["coverage"] for r in decontamination.matches(docs, bench).collect()] == [1.0]
+        assert decontamination.cleaned(docs, bench).count() == 1
+
+
+def test_hot_keys_too_wide_to_send_are_dealt(spark, monkeypatch):
+    from palimpsest.llm import shared
+
+    left = written(spark.range(3000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("k"), "id"), "left")
+    right = written(spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")), "right")
+    want = Counter(map(tuple, left.join(right, "k").select("k", "id", "v").collect()))
+    monkeypatch.setattr(shared, "HOT_BYTES", 1)
+    assert Counter(map(tuple, shared.hot_join(left, right, "k").select("k", "id", "v").collect())) == want
+
+
+def test_a_normaliser_that_sees_text_ends_is_not_cut():
+    import json
+
+    encoder = tokens.Encoder(WORD, None, None)
+    assert encoder.cut_rule() == "dropped"
+    made = json.loads(encoder.tokenizer.to_str())
+    made["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "Prepend", "prepend": "_"}, {"type": "Lowercase"}]}
+    encoder.tokenizer = Tokenizer.from_str(json.dumps(made))
+    assert encoder.cut_rule() == "whole"
