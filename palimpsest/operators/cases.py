@@ -48,15 +48,18 @@ def heading_fits(question: Column, heading: Column) -> Column:
     return out
 
 
-def fitting(questions: DataFrame, headings: DataFrame, question: str, heading: str) -> DataFrame:
-    """heading_fits() of every question and every heading of a stated set, which goes to every task: adds family and fits.
-    What is read from either text is read once, before they meet."""
+def fitting(questions: DataFrame, headings: DataFrame, question: str, heading: str, key: str) -> DataFrame:
+    """Rows (question's columns, family, key) of the questions and headings for which heading_fits() holds, found by an index
+    from families and long words to headings, so pairs that share neither never meet. key: headings' own column."""
     weak = F.array(*map(F.lit, D.WEAK_WORDS))
-    asked = questions.withColumns({"family": theme(F.col(question)), "__asked": F.array_except(long_words(F.col(question)), weak)})
-    told = headings.withColumns({"__families": all_of(fold(F.col(heading)), tuple((n, p) for n, _, p in D.THEMES)), "__told": long_words(F.col(heading))})
-    shared = F.size(F.array_intersect("__asked", "__told")) >= 2
-    both = asked.crossJoin(F.broadcast(told))
-    return both.withColumn("fits", F.when(F.col("family").isNotNull(), F.array_contains("__families", F.col("family"))).otherwise(shared)).drop("__asked", "__told", "__families")
+    asked = questions.withColumns({"__q": F.monotonically_increasing_id(), "family": theme(F.col(question))})
+    told = headings.select(key, fold(F.col(heading)).alias("__plain"), F.array_distinct(long_words(F.col(heading))).alias("__words"))
+    by_family = told.select(key, F.explode(all_of(F.col("__plain"), tuple((n, p) for n, _, p in D.THEMES))).alias("family"))
+    themed = asked.where("family IS NOT NULL").join(by_family, "family")
+    words = asked.where("family IS NULL").withColumn("__word", F.explode(F.array_distinct(F.array_except(long_words(F.col(question)), weak))))
+    shared = words.join(told.select(key, F.explode("__words").alias("__word")), "__word").groupBy("__q", *questions.columns, "family", key).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 2")
+    columns = [*questions.columns, "family", key]
+    return themed.select(*columns).unionByName(shared.select(*columns))
 
 
 def focus(heading: Column, body: Column) -> Column:

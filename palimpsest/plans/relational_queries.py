@@ -137,9 +137,11 @@ def f_in(t):
     return t("orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).join(building, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def anti_missing(t):
-    return R.missing(t("customer").select("c_custkey"), t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers without an urgent order."""
+    urgent = t("orders").where("o_orderpriority = '1-URGENT'")
+    return R.missing(t("customer").select("c_custkey"), urgent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT doc_id, (contains(lower(text), 'the') OR contains(lower(text), 'der')) AND (contains(lower(text), 'and') OR contains(lower(text), 'und')) AS pertinent FROM documents")
@@ -246,15 +248,14 @@ def ingest_counts(t):
     return t("documents").groupBy(F.coalesce("lang", F.lit("sin idioma")).alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("""WITH b AS (SELECT doc_id // 1000 AS block, sha256(string_agg(doc_id || ':' || md5(text), chr(10) ORDER BY doc_id)) AS hash, count(*) AS n FROM documents GROUP BY 1)
-       SELECT sha256(string_agg(block || ':' || hash, chr(10) ORDER BY block)) AS hash, CAST(sum(n) AS BIGINT) AS n FROM b""")
+@query("""WITH r AS (SELECT md5(CAST(doc_id AS VARCHAR)) AS path, doc_id || ':' || coalesce(md5(text), chr(0)) || ':' || count(*) AS h, count(*) AS n FROM documents GROUP BY doc_id, text),
+       d AS (SELECT CASE WHEN count(DISTINCT path) > 256 THEN 1 ELSE 0 END AS depth FROM r),
+       leaves AS (SELECT substr(path, 1, 2 * depth) AS path, sha256(string_agg(h, chr(10) ORDER BY path, h)) AS h, sum(n) AS n FROM r, d GROUP BY substr(path, 1, 2 * depth)),
+       top AS (SELECT sha256(string_agg(h, chr(10) ORDER BY path)) AS above, min(h) AS alone, sum(n) AS n FROM leaves)
+       SELECT CASE depth WHEN 0 THEN alone ELSE above END AS hash, CAST(n AS BIGINT) AS n FROM top, d""")
 def content_hash(t):
-    """Of ranges of a thousand ids: each range's rows by their digests, then the ranges by theirs, in order, so that no more
-    than a thousandth of the corpus' digests ever meets."""
-    each = F.struct("doc_id", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5("text")).alias("h"))
-    joined = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["h"]), "\n"), 256)
-    blocks = t("documents").groupBy(F.floor(F.col("doc_id") / 1000).alias("block")).agg(joined(each).alias("hash"), F.count(F.lit(1)).alias("n"))
-    return blocks.agg(joined(F.struct("block", F.concat_ws(":", F.col("block").cast("string"), "hash").alias("h"))).alias("hash"), F.sum("n").alias("n"))
+    """Of all ids and texts. The SQL knows trees of up to 65,536 keys."""
+    return R.digest_tree(t("documents"), F.col("doc_id"), F.md5("text"))
 
 
 @query("SELECT substr(sha256(count(*) || '|' || strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') || '|' || max(o_orderkey)), 1, 16) AS fingerprint, count(*) AS n FROM orders")
