@@ -1053,3 +1053,21 @@ def test_a_normaliser_that_sees_text_ends_is_not_cut():
     made["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "Prepend", "prepend": "_"}, {"type": "Lowercase"}]}
     encoder.tokenizer = Tokenizer.from_str(json.dumps(made))
     assert encoder.cut_rule() == "whole"
+
+
+def test_similar_sets_have_room_behind_their_first_shared_shingle(spark):
+    """Random sets around a similarity of 0.8: none that is similar fails in the cell of its first shared shingle."""
+    r, rows, none = np.random.default_rng(3), [], np.zeros(0, np.uint64)
+    for _ in range(600):
+        n = int(r.integers(1, 120))
+        whole = r.choice(1 << 40, n + 40, replace=False).astype(np.uint64)
+        a = np.sort(whole[:n])
+        b = np.sort(np.concatenate((r.permutation(a)[: n - int(r.integers(0, n // 6 + 1))], whole[n : n + int(r.integers(0, n // 6 + 1))])))
+        if 9 * len(np.intersect1d(a, b)) < 4 * (len(a) + len(b)):
+            continue
+        pa_, pb = jaccard.prefix(a, none, none).tolist(), jaccard.prefix(b, none, none).tolist()
+        first = next(h for h in pa_ if h in pb)
+        rows.append((len(a), len(a) - pa_.index(first), len(b), len(b) - pb.index(first)))
+    df = spark.createDataFrame(rows, "n int, nr int, m int, mr int")
+    assert len(rows) > 200 and df.where(jaccard.room(*map(F.col, ("n", "nr", "m", "mr")))).count() == len(rows)
+    assert df.where(jaccard.room(F.col("n"), F.col("nr"), F.col("n") * 2, F.col("n") * 2)).count() == 0
