@@ -147,6 +147,16 @@ def test_grid_keeps_strangers_apart(spark):
     assert 90 * 1000 < placed.count() < 110 * 1000 and placed.groupBy("cell").count().where("count > 1").count() < 50
 
 
+def test_sketch_is_a_lower_bound():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 700, 30_000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for changed in (0, 1, n // 9, n):
+            other = np.concatenate([base[changed:], rng.integers(0, 2**63, changed, dtype=np.uint64)])
+            apart = sum(int(w).bit_count() for w in np.bitwise_xor(jaccard.sketch(base), jaccard.sketch(other)).view(np.uint64))
+            assert apart <= len(np.setxor1d(base, other))
+
+
 def test_near_duplicates_edges(odd, empty):
     got = sorted(((r["doc_id"] or 0), r["fingerprint"] == "0" * 16, r["component_id"]) for r in simhash.near_duplicates(odd).collect())
     assert len(got) == 11 and [g for g in got if g[1]] == [(1, True, 1), (1, True, 1), (2, True, 1), (3, True, 1)]
