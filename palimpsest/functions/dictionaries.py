@@ -209,6 +209,16 @@ AMOUNT_LABELS = (
 )
 PERCENT_LABELS = (("tope_contractual", r"tope|maximo", r"tope|maximo"), ("penalidad_diaria", r"penalidad|clausula penal|pena diaria", r"diari|por (?:cada )?dia"))
 
+#: Labels of dates, by what stands before or behind them, and terms in digits, over the folded text; months as shown.
+DATE_LABELS = (
+    ("fecha_entrega_pactada", r"entreg|vencim|plazo pactado"),
+    ("fecha_requerimiento", r"comunicacion|requerim|intimacion|plazo adicional"),
+    ("fecha_abandono", r"abandon"),
+    ("fecha_contrato", r"contrat|pacto"),
+)
+TERM = r"\b(\d+\s+(?:dias?|meses|anos?))\b"
+SHOWN_MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
+
 #: Limitations that declare something missing, those that never say anything, and words that name nothing.
 MISSING_CLAIM = (
     r"(?i)(?:no\s+(?:se\s+)?(?:conoce|consta|indica|menciona|precisa|especifica|aclara|informa|sabe|detalla|dispone\s+de|cuenta\s+con)|se\s+desconoce|falta(?:n)?\s+(?:datos?|informaci[oó]n)"

@@ -40,9 +40,13 @@ def long_words(c: Column) -> Column:
 
 def heading_fits(question: Column, heading: Column) -> Column:
     """Whether a heading answers a question: by the pattern of the question's theme, or else by two long words of both."""
-    family, plain = theme(question), fold(heading)
-    shared = F.size(F.array_intersect(F.array_except(long_words(question), F.array(*map(F.lit, D.WEAK_WORDS))), long_words(heading))) >= 2
-    out = shared
+    return fits_family(theme(question), question, heading)
+
+
+def fits_family(family: Column, question: Column, heading: Column) -> Column:
+    """heading_fits() of a question whose theme is known; any other name is none."""
+    plain = fold(heading)
+    out = F.size(F.array_intersect(F.array_except(long_words(question), F.array(*map(F.lit, D.WEAK_WORDS))), long_words(heading))) >= 2
     for name, _, pattern in D.THEMES:
         out = F.when(family == name, F.rlike(plain, F.lit(pattern))).otherwise(out)
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dictionaries as D
-from palimpsest.functions.text import fold, words
+from palimpsest.functions.text import collapsed, fold, spans, words
 
 
 def quoted(source: Column, quote: Column) -> Column:
@@ -151,6 +151,48 @@ def mislabelled(text: Column, facts: Column) -> Column:
     return F.concat(of(D.AMOUNT, D.AMOUNT_LABELS), of(D.PERCENT, D.PERCENT_LABELS))
 
 
+def misdated(text: Column, account: Column, facts: Column) -> Column:
+    """array<struct<fault, label, figure>> of a text's dates and terms, in this order, that don't hold: dates that the account
+    hasn't, dates beside the label of a fact with another date, terms in digits (of days, months, years) that the account
+    hasn't. facts: map<label, date in words>. Null for a null text or account.
+
+    The label nearest to a date counts, of those among the 65 characters before and 55 behind it within its sentence; of two
+    as near, the first by name. Texts are compared folded, white space as one space.
+    """
+
+    def cut(told: Column, d: Column) -> Column:
+        """A date with what stands before and behind it."""
+        end = d["at"] + F.length(d["text"])
+        before = F.element_at(F.split(F.substring(told, F.greatest(d["at"] - 64, F.lit(1)), F.least(d["at"], F.lit(65))), "[.;]"), -1)
+        behind = F.element_at(F.split(F.substring(told, end + 1, F.lit(55)), "[.;]"), 1)
+        return F.struct(d["text"].alias("text"), before.alias("before"), behind.alias("behind"))
+
+    def nearest(d: Column) -> Column:
+        near = []
+        for label, pattern in D.DATE_LABELS:
+            upto, at = F.length(F.regexp_extract(d["before"], f"(?s)^.*(?:{pattern})", 0)), F.regexp_instr(d["behind"], F.lit(pattern))
+            there = facts[label].isNotNull()
+            near.append(F.when(there & (upto > 0), F.struct((F.length(d["before"]) - upto).alias("far"), F.lit(label).alias("label"))))
+            near.append(F.when(there & (at > 0), F.struct((at - 1).alias("far"), F.lit(label).alias("label"))))
+        return F.struct(d["text"].alias("text"), F.array_min(F.array(*near))["label"].alias("label"))
+
+    def judged(known: Column, d: Column) -> Column:
+        wrong = lambda name, label: F.struct(F.lit(name).alias("fault"), label.alias("label"), d["text"].alias("figure"))
+        other = collapsed(fold(facts[d["label"]])) != d["text"]
+        return F.when(~F.contains(known, d["text"]), wrong("fecha_no_verificada", F.lit(None).cast("string"))).when(other, wrong("fecha_con_evento_equivocado", d["label"]))
+
+    def faults(b: Column) -> Column:
+        dates = F.transform(F.transform(spans(b["told"], D.CASE_DATE), lambda d: cut(b["told"], d)), nearest)
+        wrong = F.filter(F.transform(dates, lambda d: judged(b["known"], d)), lambda x: x.isNotNull())
+        terms = lambda c: F.regexp_extract_all(c, F.lit(D.TERM), F.lit(1))
+        new = F.filter(terms(b["told"]), lambda x: ~F.array_contains(terms(b["known"]), x))
+        return F.concat(wrong, F.transform(new, lambda x: F.struct(F.lit("duracion_no_verificada").alias("fault"), F.lit(None).cast("string").alias("label"), x.alias("figure"))))
+
+    # an array of one, so that both texts are folded once
+    bound = F.array(F.struct(collapsed(fold(text)).alias("told"), collapsed(fold(account)).alias("known")))
+    return F.get(F.transform(bound, faults), F.lit(0))
+
+
 def pruned_context(items: DataFrame, account_col: str, evidence_col: str, name_col: str, kind_col: str) -> DataFrame:
     """items with reason: null for what an account holds literally, else why it goes. kind: hechos, actores or relaciones;
     an actor's name has to stand in the account as well as its evidence."""
@@ -237,10 +279,30 @@ def facts_filled(text: Column, facts: Column) -> Column:
 
 
 def shown_amount(value: Column) -> Column:
-    """Bs 1.234.567,50: points between thousands, a comma and two places where there are cents."""
-    whole = F.regexp_replace(F.format_number(F.floor(value), 0), ",", ".")
-    cents = F.lpad((F.bround(value * 100).cast("long") % 100).cast("string"), 2, "0")
-    return F.concat(F.lit("Bs "), whole, F.when(cents != "00", F.concat(F.lit(","), cents)).otherwise(F.lit("")))
+    """Bs 1.234.567,50: points between thousands, a comma and two places, half to even, unless the amount is whole."""
+    places = lambda n: F.translate(F.format_number(value, n), ",.", ".,")
+    return F.concat(F.lit("Bs "), F.when(value % 1 == 0, places(0)).otherwise(places(2)))
+
+
+def shown(value: Column, unit: Column) -> Column:
+    """A fact's value (text) as readers see it, by its unit: a date (from ISO form) in words, days, a share with a comma, an
+    amount of bolivianos; anything else as it stands. Null where a date or an amount can't be read."""
+    date = value.try_cast("date")
+    worded = F.concat_ws(" de ", F.day(date).cast("string"), F.element_at(F.array(*map(F.lit, D.SHOWN_MONTHS)), F.month(date)), F.year(date).cast("string"))
+    return (
+        F.when(unit == "fecha", F.when(date.isNotNull(), worded))
+        .when(unit == "días", F.concat(value, F.lit(" días")))
+        .when(unit == "%", F.concat(F.replace(value, F.lit("."), F.lit(",")), F.lit("%")))
+        .when(unit == "BOB", shown_amount(value.try_cast("decimal(24,6)")))
+        .otherwise(value)
+    )
+
+
+def template_fault(text: Column, facts: Column, declared: Column, articles: Column, codes: Column, evidence: Column) -> Column:
+    """Why a draft with markers of facts doesn't hold: fact_fault()'s reason, else prose_fault()'s over what stands beside the
+    markers, or null. declared: null where a draft declares nothing."""
+    rest = F.array(F.regexp_replace(text, D.FACT_MARKER, " "))  # an array of one, so that markers go once
+    return F.coalesce(fact_fault(text, facts, declared), F.get(F.transform(rest, lambda r: prose_fault(r, articles, codes, evidence)), F.lit(0)))
 
 
 #: Names: words with a capital that don't open a sentence, or do and are followed by another one.
