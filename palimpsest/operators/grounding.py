@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dictionaries as D
-from palimpsest.functions.text import collapsed, fold, spans, words
+from palimpsest.functions.text import any_of, collapsed, fold, spans, words
 
 
 def quoted(source: Column, quote: Column) -> Column:
@@ -114,7 +114,7 @@ def prose_fault(text: Column, articles: Column, codes: Column, evidence: Column,
     of strings), codes: the names of their codes, evidence: their texts and the account."""
     foreign = F.array_except(cited_articles(text), articles)
     return (
-        F.when(external_authority(text).isNotNull(), "norma_externa_en_prosa")
+        F.when(any_of(text, D.AUTHORITIES), "norma_externa_en_prosa")
         .when(F.size(foreign) > 0, "articulo_fuera_de_fuentes")
         .when(F.rlike(text, F.lit(D.INTERNAL_MARK)), "identificador_interno_en_prosa")
         .when(F.rlike(text, F.lit(D.STATUS_CLAIM)), "vigencia_o_razonamiento_en_prosa")
@@ -319,7 +319,7 @@ def unsupported_names(text: Column, evidence: Column, known: tuple[str, ...] = (
 
 def without_foreign(text: Column, articles: Column, codes: Column) -> Column:
     """A text without the sentences that name authorities, articles or codes outside the sources; paragraphs stay."""
-    foreign = lambda s: external_authority(s).isNotNull() | (F.size(F.array_except(cited_articles(s), articles)) > 0) | (F.size(foreign_codes(s, codes)) > 0)
+    foreign = lambda s: any_of(s, D.AUTHORITIES) | (F.size(F.array_except(cited_articles(s), articles)) > 0) | (F.size(foreign_codes(s, codes)) > 0)
     kept = lambda p: F.array_join(F.transform(F.filter(F.split(p, r"(?<=[.!?])\s+(?=[A-ZÁÉÍÓÚÑ¿])"), lambda s: ~foreign(s)), lambda s: F.trim(s)), " ")
     paragraphs = F.filter(F.transform(F.split(text, r"\n\s*\n"), kept), lambda p: F.trim(p) != "")
     return F.array_join(paragraphs, "\n\n")
