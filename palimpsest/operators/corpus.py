@@ -102,6 +102,37 @@ def parsed_articles(texts: DataFrame, profile: Profile, key: str = "source", tex
     return grouped.select(key, F.col("h.number").alias("number"), heading.alias("heading"), text_of.alias("body"), *kept)
 
 
+def sequence_faults(articles: DataFrame, expected: int, key: str = "source", number: str = "number") -> DataFrame:
+    """Rows (key, fault, low, high) where a source's articles aren't those from 1 to expected, each once: runs of numbers that
+    are missing, repeated numbers, and numbers beyond. A source without any article has no row; rows without a key
+    or a number take no part.
+
+    Each number looks at the one before it in its source, a sort without anything held, and says what lies between.
+    """
+    each = articles.where(F.col(key).isNotNull() & F.col(number).isNotNull()).groupBy(key, F.col(number).cast("long").alias("n")).agg(F.count(F.lit(1)).alias("times"))
+    inside = (F.col("n") >= 1) & (F.col("n") <= expected)
+    own = Window.partitionBy(key).orderBy("n")
+    around = each.select(key, "n", "times", inside.alias("inside"), F.lag("n").over(own).alias("before"), F.lead("n").over(own).alias("after"))
+    fault = lambda cond, name, low, high: F.when(cond, F.struct(F.lit(name).alias("fault"), low.cast("long").alias("low"), high.cast("long").alias("high")))
+    before = F.greatest(F.coalesce("before", F.lit(0)), F.lit(0))  # of numbers below 1 none are between
+    upto = F.least(F.col("n") - 1, F.lit(expected))
+    last = F.greatest(F.col("n"), F.lit(0))
+    found = F.array(
+        fault((upto > before), "missing", before + 1, upto),
+        fault(F.col("after").isNull() & (last < expected), "missing", last + 1, F.lit(expected)),
+        fault(F.col("times") > 1, "repeated", F.col("n"), F.col("n")),
+        fault(~F.col("inside"), "beyond", F.col("n"), F.col("n")),
+    )
+    return around.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select(key, "x.*")
+
+
+def whole_sources(articles: DataFrame, profile: Profile, key: str = "source", number: str = "number") -> DataFrame:
+    """The articles of those sources that have all that the profile expects, each once, and no other: nothing of a source that
+    was read in part is stored. Rows without a key or a number go."""
+    faulty = sequence_faults(articles, profile.expected, key, number).select(key).distinct()
+    return articles.where(F.col(key).isNotNull() & F.col(number).isNotNull()).join(faulty, key, "left_anti")
+
+
 def heading_split(raw: Column) -> tuple[Column, Column]:
     """An article's heading, in brackets over four lines at most, and what follows it; (null, raw) without one."""
     there = F.rlike(raw, F.lit(HEADING))

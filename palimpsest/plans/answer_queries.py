@@ -289,6 +289,16 @@ def parse_articles(t):
     return K.parsed_articles(texts, K.PROFILES["codigo_civil"]).select("source", "number", "heading", "body", "libro", "capitulo")
 
 
+@query("""WITH n AS (SELECT l_orderkey AS source, l_linenumber AS n, count(*) AS times FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT source FROM n),
+       gone AS (SELECT source, g.i AS i FROM s CROSS JOIN (SELECT unnest(range(1, 7)) AS i) g ANTI JOIN n ON n.source = s.source AND n.n = g.i)
+       SELECT source, 'missing' AS fault, min(i)::BIGINT AS low, max(i)::BIGINT AS high FROM (SELECT *, i - row_number() OVER (PARTITION BY source ORDER BY i) AS run FROM gone) GROUP BY source, run
+       UNION ALL SELECT source, 'repeated', n, n FROM n WHERE times > 1 UNION ALL SELECT source, 'beyond', n, n FROM n WHERE n > 6""")
+def article_gaps(t):
+    """Numbers that a source lacks, has twice or shouldn't have: an order's lines as articles, of which six are expected."""
+    lines = t("lineitem").select(F.col("l_orderkey").alias("source"), F.col("l_linenumber").alias("number"))
+    return K.sequence_faults(lines, 6)
+
+
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_name || ' Y OTROS' END AS heading, CASE WHEN n_nationkey % 4 = 0 THEN 'Cuerpo sin título.' ELSE 'Cuerpo (con paréntesis).' END AS body FROM nation""")
 def epigraph(t):
     """An article's heading, over some lines, and its text."""

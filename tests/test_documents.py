@@ -1,10 +1,14 @@
 """Segmentation, extraction, classification, risk rules and comparison on legal texts."""
 
+import dataclasses
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dictionaries as D
 from palimpsest.functions import text as X
+from palimpsest.operators import corpus as K
 from palimpsest.operators import documents as O
 from palimpsest.operators import grounding as G
 from palimpsest.operators import retrieval as R
@@ -133,3 +137,24 @@ def test_risk_rules_of_all_documents(spark, tmp_path):
     assert "PR-INTERES-CAPITALIZADO" in got[1, "prestamo"] and "GEN-SIN-FECHA" not in got[1, "prestamo"]
     assert got[2, "otro"] == got[4, "otro"] == {"GEN-SIN-CLAUSULAS", "GEN-SIN-FECHA", "GEN-SIN-CEDULA"}
     assert got[3, "arrendamiento"] == {"AR-SUBARRIENDO-SIN-AUTORIZACION"}
+
+
+def test_sequences_of_articles(spark):
+    rnd, told = random.Random(3), {}
+    for source in range(200):
+        told[source] = [rnd.randint(-1, 11) for _ in range(rnd.randint(1, 14))]
+    told |= {900: list(range(1, 10)), 901: [1, 2, 5, 6, 7, 8, 9], 902: [12], 903: [-2, 0]}
+    rows = [(s, n, "clash") for s, ns in told.items() for n in ns] + [(None, 1, ""), (905, None, "")]
+    df = spark.createDataFrame(rows, "source long, number int, times string")
+    want = set()
+    for s, ns in told.items():
+        lacking = [n for n in range(1, 10) if n not in ns]
+        for n in lacking:
+            if n - 1 not in lacking:
+                want.add((s, "missing", n, next(m for m in range(n, 11) if m + 1 not in lacking)))
+        want |= {(s, "repeated", n, n) for n in ns if ns.count(n) > 1} | {(s, "beyond", n, n) for n in ns if not 1 <= n <= 9}
+    got = [tuple(r) for r in K.sequence_faults(df, 9).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and (901, "missing", 3, 4) in want
+    profile = dataclasses.replace(K.PROFILES["codigo_civil"], expected=9)
+    assert {r["source"] for r in K.whole_sources(df, profile).collect()} == {s for s in told if sorted(told[s]) == list(range(1, 10))}
+    assert K.sequence_faults(df.where("false"), 9).isEmpty()
