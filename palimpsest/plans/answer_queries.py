@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators import cases as C
 from palimpsest.operators import corpus as K
 from palimpsest.operators import grounding as G
+from palimpsest.operators.relational import dealt
 from palimpsest.plans.contract_queries import contracts
 from palimpsest.plans.text_queries import ORACLE_SQL, QUERIES, query  # noqa: F401 - registered beside those
 
@@ -46,7 +47,7 @@ def answers(t):
 
 def customers(t, **texts):
     """Customers with texts made of their number, c."""
-    return t("customer").select(F.col("c_custkey").alias("c")).select("c", *(F.expr(x).alias(n) for n, x in texts.items()))
+    return dealt(t("customer").select(F.col("c_custkey").alias("c")), "c").select("c", *(F.expr(x).alias(n) for n, x in texts.items()))
 
 
 SOURCES = "(SELECT DISTINCT l_orderkey AS k, CAST(500 + l_partkey % 50 AS STRING) AS number FROM lineitem)"

@@ -100,3 +100,19 @@ def test_signals_of_what_is_asked(spark):
     score = lambda text, intent: C.chunk_score(asked, F.lit("plazo"), F.lit(text), F.lit(intent))
     got = one(spark, score("El plazo es de doce meses, con vencimiento", "plazo"), score("Nada dice", "plazo"), score("El plazo", None))
     assert [round(x, 6) for x in got] == [1 + 0.9 + 0.25, 0.0, 1.0]
+
+
+def test_what_a_fact_is_made_of_is_written_once(spark):
+    """Of higher-order functions whatever a lambda refers to is made anew for each element, so it must not be written into them."""
+    for column in (C.case_facts(F.col("t")), C.capped(C.case_facts(F.col("t")))):
+        df = spark.createDataFrame([("El precio es Bs 180.000. El tope es de 10%.",)], "t string").select(column.alias("x"))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(C.D.NEAR_AMOUNT[1][1]) <= 2 and plan.count("quisiera saber") == 1
+    assert df.first()["x"] == 18000
+
+
+def test_work_on_small_rows_is_dealt(spark):
+    from palimpsest.plans.catalog_queries import QUERIES
+
+    for name in ("case_facts", "derived_cap", "label_figures"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
