@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions import dictionaries as D
-from palimpsest.functions.text import any_of, fold, term_pattern
+from palimpsest.functions.text import fold, occurs, term_pattern
 from palimpsest.operators.relational import made_once
 
 CLAUSE = "array<struct<orden:int,encabezado:string,ordinal:string,texto:string,inicio:int,fin:int>>"
@@ -97,7 +97,7 @@ def counted(text: Column, kind: str) -> Column:
 def scores(plain: Column, dictionary: dict[str, tuple[tuple[str, float], ...]]) -> dict[str, Column]:
     """Weight of each class in a folded text: a term counts once however often it occurs. A term's first word is looked for
     before its pattern is."""
-    has = lambda term: F.contains(plain, F.lit(term.split()[0])) & F.rlike(plain, F.lit(term_pattern(term)))
+    has = lambda term: F.contains(plain, F.lit(term.split()[0])) & occurs(plain, term_pattern(term))
     return {name: reduce(add, (F.when(has(term), F.lit(weight)).otherwise(0.0) for term, weight in terms)) for name, terms in dictionary.items()}
 
 
@@ -115,11 +115,11 @@ def classified(df: DataFrame, text_col: str, dictionary: dict, threshold: float,
 def intent(text: Column, has_document: Column) -> Column:
     """What a request wants; a question neither saves nor analyses."""
     plain, asks = fold(text), F.contains(text, F.lit("?"))
-    law, doc = any_of(plain, D.LAW), any_of(plain, D.DOCUMENT)
+    law, doc = occurs(plain, *D.LAW), occurs(plain, *D.DOCUMENT)
     return (
         F.when(~has_document, "consulta_general")
-        .when(~asks & any_of(plain, D.ANALYSE), "analizar_documento")
-        .when(~asks & any_of(plain, D.SAVE), "guardar_documento")
+        .when(~asks & occurs(plain, *D.ANALYSE), "analizar_documento")
+        .when(~asks & occurs(plain, *D.SAVE), "guardar_documento")
         .when(law & doc, "consulta_documento_normativa")
         .when(law, "consulta_general")
         .otherwise("consulta_documento")

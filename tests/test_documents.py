@@ -158,3 +158,14 @@ def test_sequences_of_articles(spark):
     profile = dataclasses.replace(K.PROFILES["codigo_civil"], expected=9)
     assert {r["source"] for r in K.whole_sources(df, profile).collect()} == {s for s in told if sorted(told[s]) == list(range(1, 10))}
     assert K.sequence_faults(df.where("false"), 9).isEmpty()
+
+
+def test_word_edges_of_folded_texts_are_plain(spark):
+    """A sharp s is no part of a word there, as in SQL; Java's own edges took it for one."""
+    texts = ["undßgeber", "ßder", "der", "undes.", "runde", "hunder", None, "_und"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r["i"]: (r["class"], r["class_score"]) for r in O.classified(df, "text", {"german": (("der", 1.0), ("und", 1.5))}, 1.0).collect()}
+    none = (None, 0.0)
+    assert [got[i] for i in range(len(texts))] == [("german", 1.5), ("german", 1.0), ("german", 1.0), ("german", 1.5), none, none, none, none]
+    assert X.plain_edges(r"\bder(?:es|s)?\b") == r"d(?<!\wd)er(?:es|s)?" + X.EDGE and X.plain_edges(r"\bs?ol") == X.EDGE + "s?ol"
+    assert df.where(X.occurs(F.col("text"), r"\bde", "x")).count() == 2
