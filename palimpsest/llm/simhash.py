@@ -60,11 +60,13 @@ def embedding(fp: Column) -> Column:
 
 
 def manhattan(a: Column, b: Column) -> Column:
-    """Manhattan distance of two packed embeddings. Counts that differ by 2 have the segment's xor 10, by 1 01 or 11."""
+    """Manhattan distance of two packed embeddings, whose counts are 0 to 3. Counts that differ by 1 have the xor 01 or 11, by
+    2 10, by 3 11; those of 3 and 0 are told from those of 1 and 2 by their own two bits, which are equal."""
     x = a.bitwiseXOR(b)
-    low = x.bitwiseAND(F.lit(EVEN))
-    high = F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(EVEN)).bitwiseAND(F.bitwise_not(low))
-    return F.bit_count(low) + 2 * F.bit_count(high)
+    even = lambda c: c.bitwiseAND(F.lit(EVEN))
+    low, high = even(x), even(F.shiftrightunsigned(x, 1))
+    level = even(F.bitwise_not(a.bitwiseXOR(F.shiftrightunsigned(a, 1))))
+    return F.bit_count(low) + 2 * F.bit_count(high.bitwiseAND(F.bitwise_not(low).bitwiseOR(level)))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -1081,3 +1081,13 @@ def test_similar_sets_have_room_behind_their_first_shared_shingle(spark):
     df = spark.createDataFrame(rows, "n int, nr int, m int, mr int")
     assert len(rows) > 200 and df.where(jaccard.room(*map(F.col, ("n", "nr", "m", "mr")))).count() == len(rows)
     assert df.where(jaccard.room(F.col("n"), F.col("nr"), F.col("n") * 2, F.col("n") * 2)).count() == 0
+
+
+def test_manhattan_of_all_counts(spark):
+    """Counts of 3 occur in the embeddings of shingle sets; 3 and 0 are three apart."""
+    rng = random.Random(5)
+    counts = [(i, j) for i in range(4) for j in range(4)]
+    rows = [([i] * 32, [j] * 32) for i, j in counts] + [([rng.randrange(4) for _ in range(32)], [rng.randrange(4) for _ in range(32)]) for _ in range(50)]
+    long = lambda xs: simhash.signed(sum(x << 2 * k for k, x in enumerate(xs)))
+    df = spark.createDataFrame([(long(a), long(b), sum(abs(x - y) for x, y in zip(a, b))) for a, b in rows], "a long, b long, want int")
+    assert df.where(simhash.manhattan(F.col("a"), F.col("b")) != F.col("want")).count() == 0
