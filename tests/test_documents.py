@@ -169,3 +169,23 @@ def test_word_edges_of_folded_texts_are_plain(spark):
     assert [got[i] for i in range(len(texts))] == [("german", 1.5), ("german", 1.0), ("german", 1.0), ("german", 1.5), none, none, none, none]
     assert X.plain_edges(r"\bder(?:es|s)?\b") == r"d(?<!\wd)er(?:es|s)?" + X.EDGE and X.plain_edges(r"\bs?ol") == X.EDGE + "s?ol"
     assert df.where(X.occurs(F.col("text"), r"\bde", "x")).count() == 2
+
+
+def test_cosines_in_blocks(spark, monkeypatch):
+    """Equal vectors are ordered by id wherever they stand; other sizes, nulls and zeros don't score; blocks give the same."""
+    rng = random.Random(11)
+    made = [[rng.choice((-1.0, 0.0, 0.5, 2.0)) for _ in range(3)] for _ in range(40)]
+    vectors = [(f"v{i:03}", made[i % 40]) for i in range(300)] + [("w", [1.0]), ("x", None), ("y", [1.0, None, 2.0]), ("z", [0.0] * 3)]
+    asked = [(i, made[i]) for i in range(12) if any(made[i])] + [(99, [2.0]), (98, None)]
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = set()
+    for n, q in asked:
+        same = [(-round(sum(x * y for x, y in zip(v, q)) / (norm(v) * norm(q)), 9), i) for i, v in vectors if q and v and len(v) == len(q) and None not in v and norm(v)]
+        want |= {(n, i, -s, r) for r, (s, i) in enumerate(sorted(same)[:7], 1)}
+    frames = spark.createDataFrame(vectors, "id string, v array<float>"), spark.createDataFrame(asked, "query_id int, q array<float>")
+    for numbers, rows in ((4_000_000, 1024), (9, 5)):
+        monkeypatch.setattr(R, "SENT_NUMBERS", numbers)
+        monkeypatch.setattr(R, "ROWS", rows)
+        assert {(r["query_id"], r["id"], round(r["score"], 9), r["rank"]) for r in R.cosine_top(*frames, 7).collect()} == want
+    plan = R.cosine_top(*frames, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "aggregate(" not in plan
