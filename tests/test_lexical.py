@@ -134,3 +134,21 @@ def test_snippets_begin_at_the_first_hit(spark):
     df = spark.createDataFrame([(1,), (4,), (5,), (64,)], "first int")
     got = [r[0] for r in df.select(R.snippet(F.lit(text), F.col("first"), 3, 2)).collect()]
     assert got == ["Uno, dos; tres-cuatro", "tres-cuatro w0 w1", "w0 w1 w2", "w58 w59"]
+
+
+def test_matches_are_dealt_by_document(spark, monkeypatch):
+    """What postings make of many questions is grouped where it is made, by as many tasks as it needs, with the same rows."""
+    rng = random.Random(3)
+    post = spark.createDataFrame(list({(d, f"l{k}"): (d, f"l{k}", rng.randint(1, 9), rng.randint(1, 99)) for d in range(60) for k in rng.sample(range(12), 5)}.values()), "doc_id long, lexeme string, n long, first int")
+    asked = spark.createDataFrame([(q, f"l{k}") for q in range(20) for k in rng.sample(range(12), 3)], "query_id long, lexeme string")
+    want = sorted(map(tuple, post.join(asked, "lexeme").groupBy("query_id", "doc_id").agg(F.sum("n"), F.min("first")).collect()))
+    pairs = post.join(asked, "lexeme").count()
+    for sent in (L.sent, lambda df, most=0: df):
+        monkeypatch.setattr(L, "sent", sent)
+        monkeypatch.setattr(L, "PAIRS", 1_000_000)
+        assert sorted(map(tuple, L.matches(post, asked).collect())) == want
+        monkeypatch.setattr(L, "PAIRS", 100)
+        got = L.matches(post, asked)
+        assert sorted(map(tuple, got.collect())) == want
+        plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
+        assert f", {-(-pairs // 100)})" in plan.replace(", REPARTITION_BY_NUM", ")") and "hashpartitioning(query_id" not in plan
