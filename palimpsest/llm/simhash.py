@@ -116,7 +116,8 @@ def near_components(prints: DataFrame, radius: int = 4) -> DataFrame:
     nodes = prints.select("fp").distinct()
     placed = cells(spread(nodes))
     ends = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi")
-    shared = written(placed.join(ends, "cell"), "shared")
+    # Spark takes a table for as large as the one whose rows were exploded, so unhinted it may send all cells through the driver.
+    shared = written(placed.join(ends.hint("merge"), "cell"), "shared")
     close = lambda x, y: (x != y) & (manhattan(embedding(x), embedding(y)) <= radius) & (hamming(x, y) <= radius)
     hubs = shared.select("fp", F.explode(F.array("lo", "hi")).alias("hub")).where(close(F.col("fp"), F.col("hub")))
     first = written(components(hubs.select(F.col("fp").alias("a"), F.col("hub").alias("b"))), "hubs").withColumnsRenamed({"node": "fp", "root": "comp"})

@@ -157,6 +157,20 @@ def test_sketch_is_a_lower_bound():
             assert apart <= len(np.setxor1d(base, other))
 
 
+@pytest.mark.parametrize("module", [simhash, jaccard])
+def test_cells_stay_off_the_driver(spark, documents, monkeypatch, module):
+    """However small the table of sets, its cells are many times as many rows: they aren't to be broadcast."""
+    plans = {}
+
+    def noted(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().sparkPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(module, "written", noted)
+    module.near_duplicates(documents)
+    assert "SortMergeJoin" in plans["shared"] and "BroadcastHashJoin" not in plans["shared"]
+
+
 def test_near_duplicates_edges(odd, empty):
     got = sorted(((r["doc_id"] or 0), r["fingerprint"] == "0" * 16, r["component_id"]) for r in simhash.near_duplicates(odd).collect())
     assert len(got) == 11 and [g for g in got if g[1]] == [(1, True, 1), (1, True, 1), (2, True, 1), (3, True, 1)]
