@@ -7,6 +7,7 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest.functions import stemming as S
 from palimpsest.functions.stemming import STOP_WORDS, stemmed
 from palimpsest.operators import lexical as L
 from palimpsest.operators import retrieval as R
@@ -152,3 +153,29 @@ def test_matches_are_dealt_by_document(spark, monkeypatch):
         assert sorted(map(tuple, got.collect())) == want
         plan = got._jdf.queryExecution().sparkPlan().toString() + got._jdf.queryExecution().executedPlan().toString()
         assert f", {-(-pairs // 100)})" in plan.replace(", REPARTITION_BY_NUM", ")") and "hashpartitioning(query_id" not in plan
+
+
+def test_counted_words(spark, monkeypatch):
+    """Words counted where texts are read are those of placed_words(), and no task groups more of them than it should."""
+    odd = [
+        (1, None), (2, ""), (3, "Él está àÀÉ ñandú STRASSE straße ẞ İstanbul ̀ àb x́̂ cão K Å ΑΣ n a_b 0x1F ý “b”–b"), (4, "a " * 17000 + "b b c"),
+        (5, "̀ ́ uno"), (6, "x" * 16382 + " y"), (7, " ".join(f"w{i % 50}" for i in range(16390))), (None, "nada aquí"), (8, "ß1 ő ű Ğ ŵ Ŵ ŀ œ ø ł đ"), (9, "casas casa casita"),
+    ]
+    df = spark.createDataFrame(odd, "doc_id long, text string")
+    placed, counted = L.placed_words(df, "doc_id", F.col("text")), L.counted_words(df, "doc_id", F.col("text"))
+    plain = placed.groupBy("doc_id", "word").agg(F.count_if(F.col("pos") < L.LAST).cast("int"), F.max(F.col("pos") == L.LAST), F.min("pos"))
+    assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, counted.collect()), key=repr)
+    known = L.vocabulary_of(counted)
+    monkeypatch.setattr(L, "WORDS", 20)
+    post = L.postings_of_counted(counted, known)
+    assert sorted(map(tuple, post.collect()), key=repr) == sorted(map(tuple, L.postings_of(placed, known).collect()), key=repr)
+    assert post.rdd.getNumPartitions() == -(-counted.count() // 20)
+
+
+def test_like_asked(spark):
+    """No word with an asked stem is left out before the words are stemmed."""
+    words = spark.createDataFrame([(f"{a}{b}{c}",) for a in ("", "a", "ag", "cre", "paci", "distrib") for b in ("", *S.PLAIN[:4], *S.AGENT[:3], "ucion", "encia", "amente", "gu", "iva") for c in ("", *S.VERBS[::9], *S.Y_VERBS[:3], *S.GU_VERBS, *S.PRONOUNS[::3], "os") if a + b + c], "word string").distinct()
+    stems = S.stemmed(words).localCheckpoint()
+    for asked in (stems, stems.where(F.crc32("lexeme") % 5 == 0)):
+        left = L.told_by(L.vocabulary_of(L.like_asked(words, asked)), asked).collect()
+        assert sorted(map(tuple, left)) == sorted(map(tuple, L.told_by(L.vocabulary_of(words), asked).collect()))
