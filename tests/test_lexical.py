@@ -179,3 +179,54 @@ def test_like_asked(spark):
     for asked in (stems, stems.where(F.crc32("lexeme") % 5 == 0)):
         left = L.told_by(L.vocabulary_of(L.like_asked(words, asked)), asked).collect()
         assert sorted(map(tuple, left)) == sorted(map(tuple, L.told_by(L.vocabulary_of(words), asked).collect()))
+
+
+def lists(spark, seed=4, key=int):
+    """Documents with areas, questions with areas (one has none, one isn't there), and what is known of their words."""
+    r = random.Random(seed)
+    words = ["casa", "casas", "ventas", "niño", "NIÑO", "nin\u0303o", "straße", "x1", "de", "“luz”", "mar–sol", "soles"]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 30))) for _ in range(120)] + ["casa " * 400, "", None, "a " * 17_000 + "casa casas", "nada"]
+    docs = spark.createDataFrame([(key(i), x, r.choice(["a", "b", None])) for i, x in enumerate(texts)], f"doc_id {'long' if key is int else 'string'}, text string, area string")
+    asks = spark.createDataFrame([(i, " ".join(r.sample(words, 3))) for i in range(12)], "item_id long, text string")
+    areas = spark.createDataFrame([(i, "ab"[i % 2] if i % 3 else None) for i in range(11)] + [(99, "a")], "query_id long, area string")
+    known = L.vocabulary((docs, F.col("text")), (asks, F.col("text")), stop_words=("de",)).localCheckpoint()
+    asked = L.lexemes(asks, "item_id", F.col("text"), known).localCheckpoint()
+    return docs, areas, L.told_by(known, asked).localCheckpoint(), asked
+
+
+@pytest.mark.parametrize("most", (L.SENT, 1))
+def test_postings_of_a_document_are_one_row(spark, most):
+    """Made where the text is read, with no shuffle; where too many words are known, or ids repeat, by Spark."""
+    docs, _, known, asked = lists(spark)
+    want = sorted(map(tuple, L.postings(docs, "doc_id", F.col("text"), known, asked).collect()))
+    got = L.held(docs, "doc_id", F.col("text"), known, "area", most=most)
+    assert sorted(map(tuple, L.posted(got).collect())) == want
+    assert got.select("doc_id").distinct().count() == got.count()
+    assert {tuple(x) for x in got.select("doc_id", "area").collect()} <= {tuple(x) for x in docs.select("doc_id", "area").collect()}
+    assert ("Exchange" in got._jdf.queryExecution().executedPlan().toString()) == (most == 1)
+    twice = docs.withColumn("doc_id", F.floor(F.col("doc_id") / 2))
+    plain = L.postings(twice.withColumn("doc_id", F.col("doc_id")), "doc_id", F.col("text"), known, asked)
+    assert {x[:2] for x in map(tuple, L.posted(L.held(twice, "doc_id", F.col("text"), known, most=most)).collect())} == {x[:2] for x in map(tuple, plain.collect())}
+    assert sorted(x["word"] for x in L.seen_words(docs, F.col("text")).distinct().collect()) == sorted(x["word"] for x in L.placed_words(docs, "doc_id", F.col("text")).select("word").distinct().collect())
+
+
+@pytest.mark.parametrize("key", (int, lambda i: f"d{i}"))
+@pytest.mark.parametrize("most", (L.SENT, 1))
+def test_best_matches_rank_as_all_matches(spark, monkeypatch, key, most):
+    """Ranks, places and totals are those of all matches, of which a task tells a question's first alone."""
+    docs, areas, known, asked = lists(spark, key=key)
+    held = L.held(docs, "doc_id", F.col("text"), known, "area").localCheckpoint()
+    found = L.matches(L.posted(held), asked).localCheckpoint()
+    for pairs in (1_000_000, 300):
+        monkeypatch.setattr(L, "PAIRS", pairs)
+        for limit in (1, 4, 200):
+            for given in (None, areas):
+                every = found if given is None else L.in_area(found, given, docs)
+                want = sorted(map(tuple, L.ranked(every, limit, True).collect()))
+                best = L.best_matches(held, asked, limit, given, most=most)
+                assert want and sorted(map(tuple, L.ranked(best, limit, True).select("query_id", "doc_id", "first", "score", "rank", "total").collect())) == want
+    told = L.best_matches(held, asked, 2, most=most)
+    if most > 1:
+        parts = held.rdd.getNumPartitions() + found.join(L.posted(held).select("doc_id").distinct(), "doc_id").count() * 3 // 300 + 1
+        assert told.count() <= 2 * 12 * parts < found.count() and "Exchange" not in told._jdf.queryExecution().executedPlan().toString()
+    assert not L.best_matches(held, asked.where("lexeme = 'none'"), 2).count()
