@@ -181,6 +181,24 @@ def test_like_asked(spark):
         assert sorted(map(tuple, left)) == sorted(map(tuple, L.told_by(L.vocabulary_of(words), asked).collect()))
 
 
+def test_words_are_their_stems_and_endings(spark):
+    """Every word is kept beside its own stem, and next to none that merely begins like a short one."""
+    heads, mids, tails = ("", "a", "ag", "cre", "aba", "segu", "constru"), ("", *S.WITHIN, "gu", "os"), ("", *S.PRONOUNS, "os", "a", "ue")
+    words = spark.createDataFrame([(w,) for w in {a + b + c + d for a in heads for b in mids for c in ("", *S.ENDINGS, "ucion", "uciones", "encia", "encias", "uyendo") for d in tails} if w], "word string")
+    stems = S.stemmed(words).where(F.crc32("word") % 4 == 0).localCheckpoint()
+    root = F.regexp_replace("lexeme", "(?<=en)te?$", "")
+    rest = F.substring(F.col("word"), F.length(root) + 1, F.length("word"))
+    assert stems.where(~(F.startswith(F.col("word"), root) & F.rlike(rest, F.lit(S.BEHIND)))).isEmpty()
+    r = random.Random(5)
+    strangers = [("of" + "".join(r.choice("bcdfghklmprt") for _ in range(r.randint(4, 9))),) for _ in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(w for (w,) in strangers[i::10]) + " of ofes ofado agencia agencias") for i in range(10)], "doc_id long, text string")
+    asked = spark.createDataFrame([(0, "of"), (0, "agent")], "query_id long, lexeme string")
+    left = L.like_asked(L.seen_words(docs, F.col("text")), asked).distinct().count()
+    assert left <= 10
+    got = {tuple(x) for x in L.asked_words(docs, F.col("text"), asked).select("word", "lexeme").collect()}
+    assert got == {tuple(x) for x in L.told_by(L.vocabulary_of(L.seen_words(docs, F.col("text"))), asked).select("word", "lexeme").collect()} and ("of", "of") in got
+
+
 def lists(spark, seed=4, key=int):
     """Documents with areas, questions with areas (one has none, one isn't there), and what is known of their words."""
     r = random.Random(seed)
